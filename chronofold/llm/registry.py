@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import packing
+from chronofold.llm import decontaminate, language, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_harmonic_packing": packing.op7_harmonic_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_language": language.op10_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL}
