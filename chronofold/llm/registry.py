@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import decontaminate, language, packing, toxicity
+from chronofold.llm import decontaminate, language, near_duplicates, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_harmonic_packing": packing.op7_harmonic_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language": language.op10_language,
 }
 
-SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL}
+SQL: dict[str, str] = {"op4_near_duplicates": near_duplicates.OP4_SQL, "op6_decontamination": decontaminate.OP6_SQL}
