@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import decontaminate, html_text, knn, language, near_duplicates, packing, toxicity
+from chronofold.llm import decontaminate, html_text, knn, language, near_duplicates, packing, repair, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repair_tokens": repair.op1_repair_tokens,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_top_k": knn.op5_top_k,
     "op6_decontamination": decontaminate.op6_decontamination,
