@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import grams as G
-from chronofold.llm.common import documents, map_arrow
+from chronofold.llm.common import documents, map_arrow, small_batches
 
 
 @dataclass(frozen=True)
@@ -40,16 +40,17 @@ def _document_counts(rows: DataFrame, least: int, most: int, bits: int) -> tuple
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], schema=kind)
 
-    found = rows.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # 2^bits + 1 rows at most
+    small_batches(rows.sparkSession)
+    found = rows.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # 2^bits + 1 rows at most
     out = np.zeros((1 << bits) + 1, np.int64)
-    out[found["gram"]] = found["n"]
+    out[found["gram"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", least: int = 1, most: int = 3, bits: int = 16, sample: int = 4_000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel | None:
     """Learn from the texts with a language that aren't held out; None if there are none.
 
-    Document frequencies come from all of them. The regression sees at most `sample` rows, those with the least hash of their id,
+    Document frequencies come from all of them. The regression sees about `sample` rows, those whose hash of the id is under a limit,
     a fifth of which sets the temperature; that bound is the only one.
     """
     rows = documents(docs).select("doc_id", "text").withColumn("lang", F.lit(None).cast("string")) if lang_col not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
@@ -59,7 +60,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", least: int = 1, most: int = 3,
         return None
     seen, n = _document_counts(rows, least, most, bits)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) if n > sample else rows
+    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     code = {x: i for i, x in enumerate(languages)}
 
     def make():
@@ -73,8 +74,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", least: int = 1, most: int = 3,
 
         return each
 
-    data = map_arrow(few, make, "y int, gram array<int>, times array<float>").toPandas()
-    examples = [(y, np.asarray(g), np.asarray(t) / np.sum(t) * idf[np.asarray(g)]) for y, g, t in zip(data["y"], data["gram"], data["times"]) if len(g)]
+    data = map_arrow(few, make, "y int, gram array<int>, times array<float>").toArrow().combine_chunks()
+    grams, times = (data[c].combine_chunks() for c in ("gram", "times"))
+    stop = np.cumsum(grams.value_lengths().to_numpy()).tolist()
+    grams, times = grams.flatten().to_numpy(), times.flatten().to_numpy()
+    examples = [(y, grams[a:b], times[a:b] / times[a:b].sum() * idf[grams[a:b]]) for y, a, b in zip(data["y"].to_pylist(), [0, *stop], stop) if b > a]
     order = np.random.default_rng(5).permutation(len(examples))
     apart = order[: len(order) // 5] if len(order) >= 50 else order
     weight, bias = _ftrl([examples[i] for i in order[len(order) // 5 if len(order) >= 50 else 0 :]], 1 << bits, len(languages), passes, alpha, beta, l1, l2)
