@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -74,9 +77,17 @@ def forget(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.chronofold_path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Python workers get at once, however long texts are; a smaller bound that was set stays."""
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if most is None or not most.isdigit() or not 0 < int(most) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
     """mapInArrow with a function that is made once for each task and yields dicts of columns for each batch."""
     kinds = spark_schema(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()

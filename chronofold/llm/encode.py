@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ class Encoder:
     letter is a piece of its own for the tokenizer, too, and is taken off. The store of words is emptied when it has `most`.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.most = most
         self._clear()
 
@@ -37,9 +40,13 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.used = 0
 
-    def _store(self, key: np.ndarray, found: list[list[int]]) -> None:
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+    def _together(self, key: np.ndarray, words: list[str]) -> None:
+        """Words of ASCII letters alone are one piece for the tokenizer, whose last id is one with the end mark; so many fit in one call."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        self._store(key, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1), flat)
+
+    def _store(self, key: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used // 2, 1 << 16), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -70,7 +77,13 @@ class Encoder:
             if new.any():
                 raw = data.tobytes()
                 fresh = [raw[a:b].decode() for a, b in zip(begin[one[new]].tolist(), stop[one[new]].tolist())]
-                self._store(unique[new], [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)])
+                plain = np.fromiter((x.isascii() and x.isalpha() for x in fresh), bool, len(fresh))
+                if plain.any():
+                    self._together(unique[new][plain], [x for x, p in zip(fresh, plain.tolist()) if p])
+                if not plain.all():
+                    rest = self.tokenizer.encode_batch_fast([x for x, p in zip(fresh, plain.tolist()) if not p], add_special_tokens=False)
+                    ids = [e.ids for e in rest]
+                    self._store(unique[new][~plain], np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for y in ids for x in y), np.uint32))
             place = np.searchsorted(self.key, unique)[back]
             size = self.size[place]
             yield rows[np.searchsorted(at, begin, "right") - 1], size, self.ids[V.ragged(self.at[place], size)]
@@ -93,6 +106,12 @@ class Encoder:
             done += 1
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that words stay known from task to task."""
+    return Encoder(path)
+
+
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import documents, map_arrow, written
-from chronofold.llm.encode import Encoder, crc, word_tokenizer
+from chronofold.llm.encode import crc, encoder, word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
 
@@ -59,7 +59,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     path = tokenizer or word_tokenizer()
 
     def make():
-        encoder = Encoder(path)
+        words = encoder(path)
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         seen: dict[int, int] = {}
@@ -68,7 +68,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             names = [f.name for f in map_fields]
             out = {n: [] for n in names}
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, ids in encoder.documents(batch.column("text"), end_id):
+            for i, ids in words.documents(batch.column("text"), end_id):
                 start = 0
                 for length in cuts(len(ids), capacity, least):
                     seen[length] = seen.get(length, 0) + 1
