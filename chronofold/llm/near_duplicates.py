@@ -202,3 +202,11 @@ least_of AS (SELECT a, min(b) c FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, coalesce(c, w.doc_id) component_id, coalesce(c, w.doc_id) = w.doc_id kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON least_of.a = w.doc_id
 """
+
+
+def clean(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows of docs but one of each component of near duplicates, with all their columns: the first row stays."""
+    key = "chronofold_rid"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    stays = near_duplicates(rows, id_col=key, width=width, percent=percent, **options).where("kept").select(F.col("doc_id").alias(key))
+    return rows.join(stays, key, "left_semi").drop(key)
