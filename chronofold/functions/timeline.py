@@ -77,3 +77,13 @@ def with_position(df: DataFrame, order: Column, keys: list[str], name: str = "po
         total += sizes[k]
     by = Window.partitionBy("_cf_range").orderBy(F.col("_cf_order").asc_nulls_last(), *[named(k) for k in keys])
     return marked.withColumn(name, offset + F.row_number().over(by) - 1).drop("_cf_order", "_cf_range")
+
+
+def table(spark, records) -> DataFrame:
+    """Records that the driver holds, as a DataFrame; times are without zone."""
+    blank = [c for c in records.columns if records[c].isna().all()]
+    df = spark.createDataFrame(records.drop(columns=blank))
+    kinds = {f.name: f.dataType for f in df.schema}
+    cols = {n: named(n).cast("timestamp_ntz").alias(n) if isinstance(k, T.TimestampType) else named(n) for n, k in kinds.items()}
+    empty = {c: F.lit(None).cast("double" if records[c].dtype.kind == "f" else "string").alias(c) for c in blank}
+    return df.select(*[(cols | empty)[c] for c in records.columns])

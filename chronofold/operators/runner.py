@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.metrics import EvaluationProfile, NativeModel, ResolvedEvaluationProfile
-from chronofold.functions.timeline import named, resolve
+from chronofold.functions.timeline import named, resolve, table
 from chronofold.operators.reporting import json_ready
 from chronofold.operators.splitting import TemporalBacktestSplitter, TemporalSimulation, membership
 from chronofold.plans.plan import PartitionPlan
@@ -175,7 +175,7 @@ class WalkForwardRunResult:
     FLAG = "retrained"
 
     def to_frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self.records)
+        return table(self.spark, self.records)
 
     def predictions_frame(self) -> DataFrame | None:
         return self.predictions

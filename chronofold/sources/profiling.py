@@ -1,0 +1,112 @@
+"""Profiles of columns in one pass, and what they suggest: time columns, targets, partitions."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chronofold.functions.timeline import as_time, named, us
+
+#: Parts of names that suggest a time column or a target.
+TIME_NAMES = ("time", "date", "timestamp", "datetime", "day", "hour", "month", "year", "at")
+TARGET_NAMES = ("target", "label", "y", "outcome", "class", "value", "sales", "price", "amount", "fare", "delay", "cnt", "count")
+FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")
+
+
+def parsed(name: str):
+    """A text column as a time by the first format that fits."""
+    return F.coalesce(*[F.try_to_timestamp(named(name), F.lit(f)) for f in FORMATS])
+
+
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """column, dtype, kind, n, non_null, nulls, null_ratio, unique_count, min, max, mean, parse_ratio of each column, by one aggregate."""
+    count = F.count_distinct if exact else F.approx_count_distinct
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(df.schema):
+        c, kind = named(f.name), f.dataType
+        simple = not isinstance(kind, T.ArrayType | T.MapType | T.StructType)
+        numeric = isinstance(kind, T.NumericType)
+        aggregates += [F.count(c).alias(f"c{i}"), (count(c) if simple else F.lit(None).cast("long")).alias(f"u{i}")]
+        aggregates += [(F.min(c).cast("string") if simple else F.lit(None).cast("string")).alias(f"a{i}"), (F.max(c).cast("string") if simple else F.lit(None).cast("string")).alias(f"b{i}")]
+        aggregates.append((F.avg(c.cast("double")) if numeric else F.lit(None).cast("double")).alias(f"m{i}"))
+        aggregates.append((F.avg(F.when(c.isNotNull(), parsed(f.name).isNotNull().cast("double"))) if isinstance(kind, T.StringType) else F.lit(None).cast("double")).alias(f"p{i}"))
+    r = df.agg(*aggregates).first()
+    rows = []
+    for i, f in enumerate(df.schema):
+        n, filled, unique, ratio = r["n"], r[f"c{i}"], r[f"u{i}"], r[f"p{i}"]
+        rows.append((f.name, f.dataType.simpleString(), _kind(f.dataType, unique, n, ratio), n, filled, n - filled, (n - filled) / n if n else 0.0, unique, r[f"a{i}"], r[f"b{i}"], r[f"m{i}"], ratio))
+    return df.sparkSession.createDataFrame(rows, "column string, dtype string, kind string, n long, non_null long, nulls long, null_ratio double, unique_count long, min string, max string, mean double, parse_ratio double")
+
+
+def _kind(kind: T.DataType, unique: int | None, n: int, ratio: float | None) -> str:
+    if isinstance(kind, T.BooleanType):
+        return "bool"
+    if isinstance(kind, T.NumericType):
+        return "numeric"
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        return "datetime"
+    if isinstance(kind, T.StringType):
+        return "categorical" if unique <= max(20, 0.2 * n) else "text"
+    return "other"
+
+
+def time_candidates(profiles: list[dict]) -> list[tuple[str, float]]:
+    """Columns that may be a timeline, best first: parsed share, a name, a type."""
+    out = []
+    for p in profiles:
+        lower = p["column"].lower()
+        score = (p["parse_ratio"] or 0) + 0.35 * any(t in lower for t in TIME_NAMES if len(t) > 2) + 0.4 * (p["kind"] == "datetime") + (p["kind"] == "datetime") * 0.6
+        if score >= 0.7 and p["kind"] != "numeric":
+            out.append((p["column"], round(min(score, 1.75), 4)))
+    return sorted(out, key=lambda x: -x[1])
+
+
+def target_candidates(profiles: list[dict]) -> list[tuple[str, float]]:
+    out = []
+    for p in profiles:
+        lower = p["column"].lower()
+        score = 0.8 if lower in TARGET_NAMES else 0.45 if any(t in lower for t in TARGET_NAMES if len(t) > 1) else 0.0
+        score += 0.2 * (p["kind"] in ("numeric", "bool", "categorical"))
+        if score >= 0.45:
+            out.append((p["column"], round(score, 4)))
+    return sorted(out, key=lambda x: -x[1])
+
+
+def inspect_dataset(df: DataFrame, examples: int = 3) -> dict[str, object]:
+    """Profiles of all columns with a few values, and candidates for the timeline and the target."""
+    rows = [r.asDict() for r in profile(df).collect()]  # a row for each column
+    some = df.limit(50).collect()
+    for p in rows:
+        p["examples"] = [str(v) for v in dict.fromkeys(r[p["column"]] for r in some if r[p["column"]] is not None and not isinstance(r[p["column"]], list | dict))][:examples]
+    return {"total_rows": rows[0]["n"] if rows else 0, "columns": rows, "time_candidates": time_candidates(rows), "target_candidates": target_candidates(rows)}
+
+
+def time_span(df: DataFrame, time_col: str) -> DataFrame:
+    """rows, low, high and the median step of a timeline in seconds. The lag needs the rows in order; times are made distinct first."""
+    micro = us(as_time(df, time_col)).alias("t")
+    each = df.select(micro).where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    # Neighbours are found within days, and across days from each day's ends, so that no task holds the whole timeline.
+    day = Window.partitionBy("d").orderBy("t")
+    ordered = each.withColumn("d", F.expr("t div 86400000000L")).withColumn("before", F.lag("t").over(day))
+    ends = ordered.groupBy("d").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    joined = ends.withColumn("last", F.lag("b").over(Window.orderBy("d"))).select("d", "a", "last")  # a row for each day
+    steps = ordered.join(joined, "d").withColumn("gap", F.col("t") - F.coalesce("before", "last"))
+    zero = steps.agg(F.sum("n").alias("rows"), F.min("t").alias("low"), F.max("t").alias("high"), F.median("gap").alias("gap"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    when = lambda c: F.timestamp_add("MICROSECOND", F.col(c), epoch)
+    return zero.select("rows", when("low").alias("low"), when("high").alias("high"), (F.col("gap") / 1e6).alias("median_step_s"))
+
+
+def suggest_partition_policy(df: DataFrame, time_col: str, objective: str = "general") -> dict[str, object]:
+    """Sizes in whole days: a test of a day or (weekly) seven, a train part of the span."""
+    r = time_span(df, time_col).first()
+    span = r["high"] - r["low"]
+    step = dt.timedelta(seconds=r["median_step_s"] or 0)
+    test = dt.timedelta(days=7) if objective == "weekly" else max(span * 0.1, step, dt.timedelta(days=1))
+    share = 0.3 if objective == "online" else 0.6
+    train = max(span * share, test * 3, step * 10)
+    days = lambda d: f"{max(1, round(d / dt.timedelta(days=1)))}D"
+    return {"time_col": time_col, "layout": "train_test", "train_size": days(train), "test_size": days(test), "step": days(test), "strategy": "rolling", "span_days": span / dt.timedelta(days=1), "median_step_s": r["median_step_s"]}
