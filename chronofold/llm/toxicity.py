@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import grams as G
-from chronofold.llm.common import col, documents, map_arrow
+from chronofold.llm.common import col, documents, map_arrow, small_batches, written
 from chronofold.llm.textvec import ragged
 
 
+#: Labels that are broadcast (some 16 MB); more are joined by a shuffle.
+MOST_LABELS = 500_000
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """gram: sorted buckets with a weight; weight: log-count ratio times learned coefficient; a text scores 1 / (1 + exp(-(bias + sum)))."""
@@ -41,33 +45,32 @@ def _counts(rows: DataFrame, least: int, most: int, bits: int) -> DataFrame:
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((some, total[1][some], total[0][some]), kind.types)], schema=kind)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, "gram int, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int = 3, most: int = 6, bits: int = 20, sample: int = 20_000, clear: float = 4.0, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int = 3, most: int = 6, bits: int = 20, sample: int = 10_000, clear: float = 4.0, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> ToxicityModel:
     """Learn from the labelled texts that aren't held out.
 
     Log-count ratios come from the counts over all of them. Buckets whose ratio isn't `clear` standard errors from zero have
-    weight zero. The coefficients are fitted by logistic regression on at most `sample` labelled rows, those with the least
-    hash of their id; that bound is the only one. Rows with another label than 0 and 1 take no part; without rows of both, the
+    weight zero. The coefficients are fitted by logistic regression on about `sample` labelled rows, those whose hash of the
+    id is under a limit; that bound is the only one. Rows with another label than 0 and 1 take no part; without rows of both, the
     model has a bias alone.
     """
     truth = labels.select(col("doc_id").cast("long").alias("doc_id"), col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    truth = truth.groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = documents(docs).where(~G.held_out(F.col("doc_id"))).join(truth, "doc_id").select("doc_id", "label", "text")
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    truth = truth.groupBy("doc_id").agg(F.max("label").alias("label")).where(~G.held_out(F.col("doc_id")))
+    n = {r["label"]: r["n"] for r in truth.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = documents(docs).where(~G.held_out(F.col("doc_id"))).join(F.broadcast(truth) if sum(n.values()) <= MOST_LABELS else truth, "doc_id").select("doc_id", "label", "text")
     pos, neg = n.get(1, 0), n.get(0, 0)
     bias = float(np.log((pos + 0.5) / (neg + 0.5)))
     if not pos or not neg:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), bias, least, most, bits)
-    found = _counts(rows.select("text", "label"), least, most, bits).where(F.col("pos") + F.col("neg") >= 5).toPandas()  # 2^bits rows at most
-    p, q = found["pos"].to_numpy() + smooth, found["neg"].to_numpy() + smooth
-    ratio = np.log(p / (pos + 2 * smooth)) - np.log(q / (neg + 2 * smooth))
-    sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q) >= clear
-    gram, ratio = found["gram"].to_numpy()[sure].astype(np.int64), ratio[sure]
-    order = np.argsort(gram)
-    gram, ratio = gram[order], ratio[order]
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) if pos + neg > sample else rows
+    p, q = F.col("pos") + smooth, F.col("neg") + smooth
+    ratio = F.log(p / (pos + 2 * smooth)) - F.log(q / (neg + 2 * smooth))
+    found = _counts(rows.select("text", "label"), least, most, bits).where("pos + neg >= 5").select("gram", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("sure"))
+    found = found.where(F.col("sure") >= clear).orderBy("gram").toArrow()  # 2^bits rows at most
+    gram, ratio = found["gram"].to_numpy().astype(np.int64), found["ratio"].to_numpy()
+    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / (pos + neg))))
 
     def make():
         def each(batch: pa.RecordBatch):
@@ -83,12 +86,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int
 
         return each
 
-    data = map_arrow(few.select("label", "text"), make, "label int, at array<int>").toPandas()
-    y = data["label"].to_numpy(float)
-    at = np.concatenate([*data["at"], np.zeros(0, np.int64)]).astype(np.int64)
-    size = data["at"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(y)), size)
-    w, b = _logistic(row, at, ratio, y, bias, ridge, steps)
+    data = map_arrow(few.select("label", "text"), make, "label int, at array<int>").toArrow().combine_chunks()
+    y = data["label"].to_numpy().astype(float)
+    if not len(y):
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), bias, least, most, bits)
+    lists = data["at"].combine_chunks()
+    at, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    w, b = _logistic(np.repeat(np.arange(len(y), dtype=np.int32), size), at, ratio, y, bias, ridge, steps)
     return ToxicityModel(gram, ratio * w, b, least, most, bits)
 
 
@@ -154,3 +158,11 @@ def _active(texts: pa.Array, m: ToxicityModel):
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score(docs, fit(docs, labels))
+
+
+def clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns."""
+    key = "chronofold_rid"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    gone = score(rows.select(col(key).alias("doc_id"), "text"), model, threshold).where("predicted = 1").select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").drop(key)
