@@ -401,21 +401,21 @@ _DAILY = "WITH lo AS (SELECT min(ts) + INTERVAL '5 day' a FROM events), q AS (SE
 
 
 def _batches(result) -> DataFrame:
-    return result.to_frame().select(F.col("batch").cast("int").alias("batch"), F.col("batch_rows").cast("long").alias("batch_rows"), F.round("mae", 6).alias("mae"))
+    return result.to_frame().select(F.col("batch").cast("int").alias("batch"), F.col("batch_rows").cast("long").alias("batch_rows"), F.round("mae", 4).alias("mae"))
 
 
-@query(_ROWS100 + "SELECT batch, batch_rows, round(mae, 6) mae FROM r")
+@query(_ROWS100 + "SELECT batch, batch_rows, round(mae, 4) mae FROM r")
 def online_rows100(spark, d):
     return _batches(_online(100).run(_events(spark, d)))
 
 
-@query(_DAILY + "SELECT batch, batch_rows, round(mae, 6) mae FROM r")
+@query(_DAILY + "SELECT batch, batch_rows, round(mae, 4) mae FROM r")
 def online_daily(spark, d):
     return _batches(_online("1D", "5D").run(_events(spark, d)))
 
 
 @query("""WITH q AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 p FROM events), x AS (SELECT *, avg(value) OVER (ORDER BY p ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) m FROM q),
-s AS (SELECT (p - 1000) // 1000 b, m FROM x WHERE p >= 1000 AND (p - 1000) % 1000 = 0) SELECT b::INTEGER AS batch, count(*) batch_rows, round(avg(abs(value - s.m)), 6) mae FROM x JOIN s ON (p - 1000) // 1000 = b WHERE p >= 1000 GROUP BY b""")
+s AS (SELECT (p - 1000) // 1000 b, m FROM x WHERE p >= 1000 AND (p - 1000) % 1000 = 0) SELECT b::INTEGER AS batch, count(*) batch_rows, round(avg(abs(value - s.m)), 4) mae FROM x JOIN s ON (p - 1000) // 1000 = b WHERE p >= 1000 GROUP BY b""")
 def online_refit_last_n(spark, d):
     return _batches(_online(1000, model=_Mean(), update_strategy=RefitUpdateStrategy(500)).run(_events(spark, d)))
 
