@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def made_since() -> Iterator[list[str]]:
+    """The paths that work_path gives meanwhile."""
+    before, made = len(_written), []
+    yield made
+    made.extend(path for _, path in _written[before:])
+
+
+def drop_made(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        drop_path(spark, path)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import shingles as S
 from chronofold.llm import textvec as V
-from chronofold.llm.common import documents, map_arrow, written
+from chronofold.llm.common import documents, forget, map_arrow, written
 from chronofold.llm.components import components
 
 SIGNED = "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary"
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = written(nodes.select("node", F.explode("bands").alias("bucket")), "entries")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "size")
     mixed = written(entries.join(shared, "bucket"), "buckets")
+    forget(entries)
     weight = mixed.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = mixed.join(weight, "node").select("bucket", "node", F.struct("weight", (-F.col("node")).alias("id")).alias("rank"))
     centres = ranked.groupBy("bucket").agg((-F.max("rank")["id"]).alias("b"))
