@@ -30,51 +30,54 @@ from chronofold.llm.textvec import ragged
 BLOCK_IDS = 1 << 20
 #: Slots in which pairs are counted.
 SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 HEAD = struct.Struct("<4s5I")
 FILE = "shard int, block int, payload binary"
 
 
 def compress(ids: np.ndarray, first: int, end_id: int, rounds: int = 6, each: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, expansion lengths). Each round makes rules of the most frequent pairs that occur `least` times, and replaces them from left to right."""
-    seq = ids.astype(np.uint32)
+    seq = ids.astype(np.uint32)  # a copy
     rules: list[np.ndarray] = []
     lengths = [np.zeros(0, np.int64)]
     top = first
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        left, right = seq[:-1], seq[1:]
-        inner = np.flatnonzero((left != end_id) & (right != end_id))
-        key = left[inner].astype(np.uint64) << np.uint64(32) | right[inner]
         # Pairs are counted by slots of a hash; a slot stands for the last pair in it, and the occurrences of that pair are counted exactly.
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        frequent = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
-        maybe = frequent[slot]
-        inner, key, slot = inner[maybe], key[maybe], slot[maybe]
-        pair = np.zeros(1 << SLOT_BITS, np.uint64)
-        pair[slot] = key
-        same = pair[slot] == key
+        left, right = seq[:-1], seq[1:]
+        slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+        end = np.flatnonzero(seq == end_id)
+        slot[np.concatenate([end[end < len(slot)], end[end > 0] - 1])] = SLOTS
+        frequent = np.bincount(slot, minlength=SLOTS + 1) >= least
+        frequent[SLOTS] = False
+        inner = np.flatnonzero(frequent[slot])
+        slot, a, b = slot[inner], left[inner], right[inner]
+        pair = np.zeros((2, SLOTS), np.uint32)
+        pair[0, slot] = a
+        pair[1, slot] = b
+        same = (pair[0][slot] == a) & (pair[1][slot] == b)
         inner, slot = inner[same], slot[same]
-        count = np.bincount(slot, minlength=1 << SLOT_BITS)
+        count = np.bincount(slot, minlength=SLOTS)
         good = np.flatnonzero(count >= least)
         good = good[np.argsort(-count[good], kind="stable")[:each]]
         if not len(good):
             break
-        new = np.full(1 << SLOT_BITS, -1, np.int32)
+        new = np.full(SLOTS, -1, np.int32)
         new[good] = top + np.arange(len(good))
         symbol = new[slot]
-        at, symbol = inner[symbol >= 0], symbol[symbol >= 0]
+        some = symbol >= 0
+        at, symbol = inner[some], symbol[some]
         # Of overlapping pairs in a row every other one is replaced, from the left.
         run = np.concatenate([[True], at[1:] != at[:-1] + 1])
         begin = np.flatnonzero(run)
         odd = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 1
         at, symbol = at[~odd], symbol[~odd]
-        seq = seq.copy()
         seq[at] = symbol
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        made = np.stack([pair[good] >> np.uint64(32), pair[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        made = pair[:, good].T.copy()
         known = np.concatenate(lengths)
         lengths.append(sum(np.where(made[:, k] < first, 1, known[np.maximum(made[:, k].astype(np.int64) - first, 0)] if len(known) else 1) for k in (0, 1)))
         rules.append(made)
