@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import decontaminate, html_text, knn, language, lines, near_duplicates, packing, repair, toxicity
+from chronofold.llm import decontaminate, html_text, knn, language, lines, near_duplicates, packing, quality, repair, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": repair.op1_repair_tokens,
+    "op2_quality": quality.op2_quality,
     "op3_line_classes": lines.op3_line_classes,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_top_k": knn.op5_top_k,
