@@ -1,8 +1,9 @@
 """Duplicate lines by a segment-partition edit join.
 
-A line of at least `least` characters is cut into edits + 1 segments. If two lines are within that many edits, one segment of the shorter (or equal)
-line appears unchanged in the other, at a place that its length and the segment's number leave few choices for. Lines meet in buckets
-of (length, segment number, segment); pairs are verified by a banded bit-parallel edit distance after common ends are cut off. A bucket isn't
+Two lines of at least `least` characters are near if they are within as many edits as the shorter one allows: one for each `per` characters, at least
+one and at most `edits`. Lengths are dealt into classes; a line of a class is cut into segments of one size, one more than its edits. Of two near lines,
+the i-th segment of the shorter, for some i, appears unchanged in the other, at most i places away: the first segments up to it hold i edits in all, and it
+holds none. Lines meet in buckets of (class, segment number, segment); pairs are verified by a banded bit-parallel edit distance after common ends are cut off. A bucket isn't
 spread into all pairs: members are compared with one centre first, then, where a bucket still has several classes, in blocks.
 Shorter lines are only equal or not.
 """
@@ -26,6 +27,8 @@ _U = np.uint64
 BLOCK = 1000
 #: Ids that may be broadcast (8 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
+#: Edits that two lines may be apart: one for each PER characters of the shorter one, at most EDITS.
+EDITS, PER = 8, 20
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -62,14 +65,21 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, size) of each segment of lines of such lengths; the last segments are a character longer where it doesn't come out even."""
-    size, more = length // (edits + 1), length % (edits + 1)
-    out, start = [], np.zeros_like(length)
-    for i in range(edits + 1):
-        own = size + (i >= edits + 1 - more)
-        out.append((start, own))
-        start = start + own
+def allowed(length: int, edits: int, per: int | None) -> int:
+    """Edits that a line of such a length may be apart from one as long or longer; without `per` the same for all lengths."""
+    return edits if per is None else min(edits, max(length // per, 1))
+
+
+def length_classes(longest: int, least: int, edits: int, per: int | None) -> list[tuple[int, int, int]]:
+    """(least length, edits, size of a segment) of each class up to a length; all lengths of a class allow as many edits."""
+    out, low = [], max(least, edits + 1 if per is None else 2)
+    while low <= longest:
+        own = allowed(low, edits, per)
+        out.append((low, own, low // (own + 1)))
+        up = low + max(low // 8, 2 * edits, 20)
+        if per is not None and own < edits:
+            up = min(up, (max(low // per, 1) + 1) * per)
+        low = up
     return out
 
 
@@ -97,7 +107,7 @@ def _chunks(texts: pa.Array, size: int = V.CHUNK) -> Iterator[tuple[list[str], l
         yield held, rows, firsts
 
 
-def line_keys(texts: pa.Array, edits: int, least: int) -> Iterator[dict[str, np.ndarray | pa.Array]]:
+def line_keys(texts: pa.Array, edits: int, least: int, per: int | None = None) -> Iterator[dict[str, np.ndarray | pa.Array]]:
     """row, line_no, id (64-bit hash of the line) and bucket keys of every line that isn't blank."""
     for held, rows, firsts in _chunks(texts):
         data = np.frombuffer(("\n".join(held) + "\n").encode("utf-32-le"), np.uint32)
@@ -118,19 +128,15 @@ def line_keys(texts: pa.Array, edits: int, least: int) -> Iterator[dict[str, np.
 
         length = end - start
         line = value(start, length, length)
-        long = np.flatnonzero(length >= max(least, edits + 1))
         owner, keys = [], []
-        for short in range(edits + 1):  # lengths of the other line: as long, or so much shorter
-            of = length[long] - short
-            for i, (at, size) in enumerate(segments(of, edits)):
-                low = np.maximum(np.maximum(at - i, at + short - (edits - i)), 0)
-                high = np.minimum(np.minimum(at + i, at + short + (edits - i)), length[long] - size)
-                for place in range(-2 * edits, 2 * edits + 1):
-                    p = at + place
-                    ok = (p >= low) & (p <= high)
-                    if ok.any():
-                        owner.append(long[ok])
-                        keys.append(value(start[long[ok]] + p[ok], size[ok], (of[ok] << 8) + i + (1 << 60)))
+        classes = length_classes(int(length.max(initial=0)), least, edits, per)
+        for (low, own, size), up in zip(classes, [*(c[0] for c in classes[1:]), 1 << 40]):
+            long = np.flatnonzero((length >= low) & (length < up + own))  # its lines, and longer ones that are near enough to one of them
+            for i in range(own + 1 if len(long) else 0):
+                for p in range(max(i * size - i, 0), i * size + i + 1):
+                    some = long[length[long] >= p + size]
+                    owner.append(some)
+                    keys.append(value(start[some] + p, np.full(len(some), size), np.full(len(some), (low << 8) + i + (1 << 60))))
         who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         key = np.concatenate(keys) if keys else np.zeros(0, _U)
         order = np.lexsort((key, who))
@@ -141,7 +147,7 @@ def line_keys(texts: pa.Array, edits: int, least: int) -> Iterator[dict[str, np.
         yield {"row": np.array(rows)[part], "line_no": number, "id": line.view(np.int64), "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64)))}
 
 
-def _near(mixed: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _near(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
     """Links (a, b) of each member of a bucket with its centre."""
     weight = mixed.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = mixed.join(weight, "node").select("bucket", "node", F.struct("weight", "node").alias("rank"))
@@ -150,13 +156,14 @@ def _near(mixed: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(p, q, edits) <= edits for p, q in zip(x, y)], dtype=bool)
+        most = [allowed(min(len(p), len(q)), edits, per) for p, q in zip(x, y)]
+        return pd.Series([edit_distance(p, q, m) <= m for p, q, m in zip(x, y, most)], dtype=bool)
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     return both.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near("x", "y")).select("a", "b")
 
 
-def _inside(mixed: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
     """Links between classes inside buckets that have several. mixed: bucket, node, size, component."""
     chunks = mixed.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = chunks.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
@@ -178,11 +185,12 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             by_size.setdefault(len(text), []).append(p)
         found = []
         for p in range(len(node)):
-            for size in range(len(line[p]), len(line[p]) + edits + 1):
+            most = allowed(len(line[p]), edits, per)
+            for size in range(len(line[p]), len(line[p]) + most + 1):
                 for q in by_size.get(size, ()):
                     if (size > len(line[p]) or q > p) and not (across and chunk[p] == chunk[q]):
                         x, y = root(own[p]), root(own[q])
-                        if x != y and edit_distance(line[p], line[q], edits) <= edits:
+                        if x != y and edit_distance(line[p], line[q], most) <= most:
                             home[max(x, y)] = min(x, y)
                             found.append((node[p], node[q]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -190,21 +198,21 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return spread.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, least: int = 20) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 20, per: int | None = PER) -> DataFrame:
     """rid, doc_id, line_no (from 0), line_id, class_id, copies, kept of every line with a character that isn't white space.
 
-    Lines of a class are linked by chains of at most `edits` insertions, deletions and replacements of characters (lines under `least` characters: equal). class_id
-    is the least line_id; copies counts lines equal to this one. One line of a class is kept: the first by doc_id (nulls first), row and
+    Lines of a class are linked by chains of insertions, deletions and replacements of characters, in each link at most one for each `per` characters of
+    the shorter line, one at least and `edits` at most (lines under `least` characters: equal). class_id is the least line_id; copies counts lines equal to this one. One line of a class is kept: the first by doc_id (nulls first), row and
     number. Null and empty texts have no lines. rid tells rows of the same doc_id apart.
     """
     rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")), "rows")
-    return _classes(rows, edits, least)
+    return _classes(rows, edits, least, per)
 
 
-def _classes(rows: DataFrame, edits: int, least: int) -> DataFrame:
+def _classes(rows: DataFrame, edits: int, least: int, per: int | None) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch):
-            for found in line_keys(batch.column("text"), edits, least):
+            for found in line_keys(batch.column("text"), edits, least, per):
                 row = pa.array(found.pop("row"))
                 yield {"rid": batch.column("rid").take(row), "doc_id": batch.column("doc_id").take(row), **found}
 
@@ -229,11 +237,11 @@ def _classes(rows: DataFrame, edits: int, least: int) -> DataFrame:
     few = ids.count() <= MOST_IDS
     texts = map_arrow(text.where(F.length("line") >= least), hashed, "node long, line string")
     texts = written(texts.join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "texts")
-    links = written(_near(mixed, texts, edits).distinct(), "near")
+    links = written(_near(mixed, texts, edits, per).distinct(), "near")
     found = written(components(links), "components")
     large = mixed.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    more = written(_inside(large.join(apart, "bucket"), texts, edits), "inside")
+    more = written(_inside(large.join(apart, "bucket"), texts, edits, per), "inside")
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "components")
     labelled = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("component", "id"))
@@ -244,11 +252,11 @@ def _classes(rows: DataFrame, edits: int, least: int) -> DataFrame:
     return out.select("rid", "doc_id", "line_no", F.col("id").alias("line_id"), "class_id", "copies", kept.alias("kept"))
 
 
-def clean(docs: DataFrame, edits: int = 1, least: int = 20) -> DataFrame:
+def clean(docs: DataFrame, edits: int = EDITS, least: int = 20, per: int | None = PER) -> DataFrame:
     """docs without the lines that aren't kept, n_chars set anew; documents that had lines and lose all of them go. Other columns stay."""
     key = "chronofold_rid"
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = _classes(rows.select(F.col(key).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), edits, least)
+    found = _classes(rows.select(F.col(key).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), edits, least, per)
     per = found.groupBy("rid").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no").cast("int"))).alias("chronofold_gone"), F.max("kept").alias("chronofold_some"))
     out = rows.join(per.withColumnRenamed("rid", key), key, "left").where(F.coalesce("chronofold_some", F.lit(True)))
     text = F.when(F.coalesce(F.size("chronofold_gone"), F.lit(0)) > 0, F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(chronofold_gone, i)), '\n')")).otherwise(F.col("text"))
