@@ -37,31 +37,29 @@ def word_counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def word_grams(word: list[np.ndarray], least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all n-grams of each word, one word after the other; how many each has). A word is marked at both ends; n counts bytes."""
+    """(buckets of all n-grams of each word, one word after the other; how many each has). A word is marked at both ends; n counts characters, in lower case."""
     data, start, end = word
-    size = end - start
+    joined = np.full(int((end - start + 1).sum()), 10, np.uint8)  # no word has a line feed
+    joined[V.ragged(np.cumsum(end - start + 1) - (end - start + 1), end - start)] = data[V.ragged(start, end - start)]
+    code = np.frombuffer(joined.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+    stop = np.flatnonzero(code == 10)
+    start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64)
+    size = stop - start
     place = np.concatenate([[0], np.cumsum(size + 2)[:-1]]).astype(np.int64)
-    marked = np.full(int((size + 2).sum()), 32, np.uint8)
-    marked[V.ragged(place + 1, size)] = data[V.ragged(start, size)]
-    grams, owner = [], []
-    for n in range(least, most + 1):
-        many = np.maximum(size + 2 - n + 1, 0)
-        first = V.ragged(place, many)
-        for a in range(0, len(first), V.CHUNK):
-            b = first[a : a + V.CHUNK]
-            grams.append(_hash(marked, b, n, bits))
-        owner.append(np.repeat(np.arange(len(size)), many))
-    who = np.concatenate(owner)
-    order = np.argsort(who, kind="stable")
-    return np.concatenate(grams)[order] if grams else np.zeros(0, np.int64), np.bincount(who, minlength=len(size))
-
-
-def _hash(data: np.ndarray, first: np.ndarray, n: int, bits: int) -> np.ndarray:
-    value = np.full(len(first), n, np.uint64)
-    table = V.byte_values(True)
-    for k in range(n):
-        value = value * np.uint64(0x9DDFEA08EB382D69) + table[data[first + k]]
-    return (V.mix(value) >> np.uint64(64 - bits)).astype(np.int64)
+    marked = np.full(int((size + 2).sum()), 32, np.uint64)
+    marked[V.ragged(place + 1, size)] = code[V.ragged(start, size)]
+    marked = V.mix(marked + np.uint64(1))
+    counts = [np.maximum(size + 2 - n + 1, 0) for n in range(least, most + 1)]
+    total = np.sum(counts, axis=0, dtype=np.int64)
+    out, at = np.zeros(int(total.sum()), np.int64), np.cumsum(total) - total
+    value = np.zeros(len(marked), np.uint64)  # of the n characters from each place on
+    for n in range(1, most + 1):
+        value = value[: len(marked) - n + 1] * np.uint64(0x9DDFEA08EB382D69) + marked[n - 1 :]
+        if n >= least:
+            many = counts[n - least]
+            out[V.ragged(at, many)] = (V.mix(value + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64)[V.ragged(place, many)]
+            at = at + many
+    return out, total
 
 
 def distinct(texts: pa.Array, least: int, most: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
