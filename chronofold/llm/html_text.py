@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 A page becomes lines: one for each block element, without markup. Regions that are boilerplate by their element or their class have
-lines of no length, as have lines that are mostly links. Text lengths are summed over sliding windows of lines; a surge, where the sum rises
+lines of no length, as have lines that are mostly links outside article and main, whose text weighs more. Text lengths are summed over sliding windows of lines; a surge, where the sum rises
 to the level of the page and stays, opens a run of text, and a dive, where a whole window is empty, closes it. Text between the first
 surge and its dive is kept; further runs are kept too, and short lines inside a run stay.
 """
@@ -122,24 +122,29 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def kept(rows: list[tuple[str, int, bool, bool]], window: int = 3, level: float = 0.2) -> list[bool]:
-    """Which lines lie between a surge and its dive."""
+def kept(rows: list[tuple[str, int, bool, bool]], window: int = 3, level: float = 0.2, weight: float = 4.0) -> list[bool]:
+    """Which lines lie between a surge and its dive.
+
+    Text inside article or main counts `weight` times, links in it as text; elsewhere lines that are mostly links have no length. Boilerplate has none anywhere.
+    """
     if not rows:
         return []
-    marked = any(main and not bad for _, _, bad, main in rows)
-    size = np.array([0 if bad or marked and not main or 2 * linked > len(text) else len(text) for text, linked, bad, main in rows], float)
-    # The distribution is over lines that can be text; what is excluded by its place takes part as an empty line.
+    size = np.array([0 if bad or not main and 2 * linked > len(text) else len(text) * (weight if main else 1) for text, linked, bad, main in rows], float)
     padded = np.concatenate([size, np.zeros(window)])
     block = np.convolve(padded, np.ones(window))[window - 1 : window - 1 + len(size)]
-    surge = min(block.max() * level, 80.0) if not marked else 0.0
+    surge = min(block.max() * level, 80.0)
     out = [False] * len(rows)
     on = False
     for i in range(len(rows)):
         if not on and size[i] and block[i] >= surge:
             on = True
+            j = i  # short lines of the article right before it, such as headlines
+            while j and size[j - 1] and rows[j - 1][3]:
+                j -= 1
+                out[j] = True
         elif on and not block[i]:
             on = False
-        out[i] = on and not rows[i][2] and (not marked or rows[i][3]) and (size[i] > 0 or marked)
+        out[i] = bool(on and size[i] > 0)
     return out
 
 
