@@ -67,7 +67,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Learned scores and tokens: SQL cannot express the stages; tests hold them against brute-force versions.
+#: Learned scores and tokens: SQL cannot express the stages; tests check that they drop rows and keep columns, not which rows.
 ORACLE_SQL = None
 
 
