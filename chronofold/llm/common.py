@@ -23,6 +23,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use yet, for rows that pass through an operator with all their columns."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -128,5 +136,8 @@ def spark_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that an operator works on, as doc_id long and text string; other columns, whatever their names, are left."""
+    """The two columns that an operator works on, as doc_id long and text string; other columns, whatever their names, are left.
+
+    Ids are whole numbers or text that reads as one; another id is an error of the cast, so that no two documents become one.
+    """
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))

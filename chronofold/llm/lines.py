@@ -1,11 +1,16 @@
 """Duplicate lines by a segment-partition edit join.
 
-Two lines of at least `least` characters are near if they are within as many edits as the shorter one allows: one for each `per` characters, at least
-one and at most `edits`. Lengths are dealt into classes; a line of a class is cut into segments of one size, one more than its edits. Of two near lines,
-the i-th segment of the shorter, for some i, appears unchanged in the other, at most i places away: the first segments up to it hold i edits in all, and it
-holds none. Lines meet in buckets of (class, segment number, segment); pairs are verified by a banded bit-parallel edit distance after common ends are cut off. A bucket isn't
-spread into all pairs: members are compared with one centre first, then, where a bucket still has several classes, in blocks.
-Shorter lines are only equal or not.
+Two lines are near if they are within as many edits as the shorter one allows: one for each `per` characters, rounded, and at most `edits`. Where that
+rounds to none (under half of `per`), lines are near if they are equal. Lengths are dealt into classes of lines that allow as many edits. In a class of k edits a
+line has k + 1 segments of one size: the first half of them measured from its start, the others from its end, and what is over lies between them.
+
+Take two near lines, and the first segment i (from 0) of the shorter such that at most i edits lie in or before it: exactly i lie before it, none in it and at most k - i
+behind it. So it stands unchanged in the longer line, at most i places away from its place from the start, and at most k - i from that
+from the end: min(i, k - i) places from where it is measured. A segment's key is the least hash of the q-grams in it, q being three quarters of its size. The longer
+line has the key of every such place, and neighbouring places mostly share one, so a line has about two keys for each segment instead of
+one for each place, and no near pair is without a common key. Pairs are verified by an edit distance over the band of k cells beside the diagonal.
+
+A bucket isn't spread into all its pairs: members are compared with one centre first, then, where a bucket still has several classes, in blocks.
 """
 
 from __future__ import annotations
@@ -19,20 +24,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as V
-from chronofold.llm.common import col, map_arrow, written
-from chronofold.llm.components import components
+from chronofold.llm.common import col, free, map_arrow, small_batches, written
+from chronofold.llm.components import components, extended
 
 _U = np.uint64
-#: Members of a bucket that a task compares with as many others.
+#: Members of a bucket that a task compares with as many others, and their bytes.
 BLOCK = 1000
+BLOCK_BYTES = 16 << 20
 #: Ids that may be broadcast (8 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
 #: Edits that two lines may be apart: one for each PER characters of the shorter one, at most EDITS.
 EDITS, PER = 8, 20
+#: Bits of the map of shared keys that executors get (8 MB); with more keys it lets more pass, and a join decides.
+MAP_BITS = 26
+#: A character that makes a line one that isn't blank.
+INK = r"[^\x00-\x20\xA0]"
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or most + 1 if it is larger: bit-parallel columns over the band of `most` cells on each side of the diagonal."""
+    """Levenshtein distance, or most + 1 if it is larger: bit-parallel columns of the band of `most` cells on each side of the diagonal."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     i, n = 0, min(len(a), len(b))
@@ -44,107 +54,251 @@ def edit_distance(a: str, b: str, most: int) -> int:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return min(max(len(a), len(b)), most + 1)
-    # Columns of the matrix as bit vectors of vertical differences (+1 and -1), cut to the rows within `most` of the diagonal.
-    where: dict[str, int] = {}
-    for row, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << row
-    rows = (1 << len(a)) - 1
-    plus, minus, score = rows, 0, len(a)
-    last = 1 << (len(a) - 1)
+    # Column c holds the rows c - most to c + most as one word of vertical differences; the word moves down a row with each column, so
+    # its lowest bit leaves and a new highest one comes in. `where` has the rows of each character, as of the column it was last seen in.
+    width = 2 * most + 1
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    plus, minus = mask ^ ((1 << most) - 1), 0
+    where: dict[str, tuple[int, int]] = {}
+
+    def seen(c: str, row: int, column: int) -> None:
+        bits, since = where.get(c, (0, column))
+        where[c] = (bits >> (column - since) | 1 << (row - column + most), column)
+
+    for row in range(min(most, len(a))):
+        seen(a[row], row, 0)
+    score = min(most, len(a))  # of the cell in the band's last row
     for column, c in enumerate(b):
-        band = rows & ((1 << (column + most + 1)) - 1) if column + most + 1 < len(a) else rows
-        equal = where.get(c, 0) & band
-        vertical = equal | minus
-        across = (((equal & plus) + plus) ^ plus) | equal
-        rise, fall = (minus | ~(across | plus)) & rows, plus & across
-        score += bool(rise & last) - bool(fall & last)
-        if score - (len(b) - column - 1) > most:
-            return most + 1
-        rise, fall = rise << 1 | 1, fall << 1
-        plus, minus = (fall | ~(vertical | rise)) & rows, rise & vertical & rows
+        if column + most < len(a):
+            seen(a[column + most], column + most, column)
+        bits, since = where.get(c, (0, column))
+        equal = bits >> (column - since)
+        diagonal = ((((equal & plus) + plus) ^ plus) | equal | minus) & mask
+        rise, fall = minus | ~(diagonal | plus) & mask, diagonal & plus
+        if column + most < len(a):
+            score += not diagonal & top
+            if score > 2 * most + len(b) - len(a):
+                return most + 1
+        else:  # the last row of the matrix is in the band, one bit lower with each column
+            last = 1 << (len(a) - 1 - column + most)
+            score += bool(rise & last) - bool(fall & last)
+            if score - (len(b) - column - 1) > most:
+                return most + 1
+        down = diagonal >> 1
+        plus, minus = (fall | ~(down | rise)) & mask, down & rise
     return min(score, most + 1)
 
 
 def allowed(length: int, edits: int, per: int | None) -> int:
     """Edits that a line of such a length may be apart from one as long or longer; without `per` the same for all lengths."""
-    return edits if per is None else min(edits, max(length // per, 1))
+    return edits if per is None else min(edits, (length + per // 2) // per)
 
 
-def length_classes(longest: int, least: int, edits: int, per: int | None) -> list[tuple[int, int, int]]:
-    """(least length, edits, size of a segment) of each class up to a length; all lengths of a class allow as many edits."""
-    out, low = [], max(least, edits + 1 if per is None else 2)
-    while low <= longest:
+def length_classes(longest: int, edits: int, per: int | None) -> list[tuple[int, int, int]]:
+    """(least length, edits, size of a segment) of each class up to a length; all lengths of a class allow as many edits, one at least."""
+    out, low = [], edits + 1 if per is None else max(per - per // 2, 2)
+    while edits and low <= longest:
         own = allowed(low, edits, per)
         out.append((low, own, low // (own + 1)))
-        up = low + max(low // 8, 2 * edits, 20)
+        up = low + max(low // 5, 2 * edits, 20)
         if per is not None and own < edits:
-            up = min(up, (max(low // per, 1) + 1) * per)
+            up = min(up, (own + 1) * per - per // 2)
         low = up
     return out
 
 
-def _chunks(texts: pa.Array, size: int = V.CHUNK) -> Iterator[tuple[list[str], list[int], list[int]]]:
-    """Texts in groups of about a size, long ones in parts that end at line ends: (parts, text of each, number of its first line)."""
-    held, rows, firsts, total = [], [], [], 0
+def _chunks(texts: pa.Array, size: int = V.CHUNK) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts in groups of about a size, long ones in parts that end at line ends: (parts, text of each)."""
+    held, rows, total = [], [], 0
     for i, text in enumerate(texts.to_pylist()):
-        text, at, number = text or "", 0, 0
+        text, at = text or "", 0
         while True:
             end = len(text)
             if end - at > size and (cut := text.find("\n", at + size)) >= 0:
                 end = cut
             held.append(text[at:end])
             rows.append(i)
-            firsts.append(number)
             total += end - at + 1
-            number += text.count("\n", at, end) + 1
             if total >= size:
-                yield held, rows, firsts
-                held, rows, firsts, total = [], [], [], 0
+                yield held, rows
+                held, rows, total = [], [], 0
             if end == len(text):
                 break
             at = end + 1
     if held:
-        yield held, rows, firsts
+        yield held, rows
+
 
+def _least_of(value: np.ndarray, width: int) -> np.ndarray:
+    """The least of `width` values from each place on."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        value = np.minimum(value[:-step], value[step:])
+        have += step
+    return value
 
-def line_keys(texts: pa.Array, edits: int, least: int, per: int | None = None) -> Iterator[dict[str, np.ndarray | pa.Array]]:
-    """row, line_no, id (64-bit hash of the line) and bucket keys of every line that isn't blank."""
-    for held, rows, firsts in _chunks(texts):
-        data = np.frombuffer(("\n".join(held) + "\n").encode("utf-32-le"), np.uint32)
+
+def line_entries(texts: pa.Array, edits: int = EDITS, per: int | None = PER, keys: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """For groups of lines: (text and 64-bit hash of each distinct line, line and bucket key of its entries, the lines). Lines that allow no edit aren't among them."""
+    least = min((c[0] for c in length_classes(1 << 20, edits, per)), default=1 << 62)
+    for held, rows in _chunks(texts):
+        whole = "\n".join(held) + "\n"
+        data = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         end = np.flatnonzero(data == 10)
         start = np.concatenate([[0], end[:-1] + 1])
-        part_lines = np.array([h.count("\n") + 1 for h in held])
-        part = np.repeat(np.arange(len(held)), part_lines)
-        number = np.arange(len(end)) - np.repeat(np.cumsum(part_lines) - part_lines, part_lines) + np.array(firsts)[part]
+        part = np.searchsorted(np.cumsum([h.count("\n") + 1 for h in held]), np.arange(len(end)), "right")
         ink = np.concatenate([[0], np.cumsum((data > 32) & (data != 0xA0))])
-        some = ink[end] > ink[start]
-        start, end, part, number = start[some], end[some], part[some], number[some]
+        some = (ink[end] > ink[start]) & (end - start >= least)
+        start, end, part = start[some], end[some], part[some]
         up, down = V.powers(len(data) + 1)
         total = np.zeros(len(data) + 1, _U)
         np.cumsum(V.mix(data.astype(_U) + _U(1)) * up[: len(data)], out=total[1:])
-
-        def value(a: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
-            return V.mix((total[a + size] - total[a]) * down[a] + V.mix(salt.astype(_U)))  # noqa: B023
-
         length = end - start
-        line = value(start, length, length)
-        owner, keys = [], []
-        classes = length_classes(int(length.max(initial=0)), least, edits, per)
-        for (low, own, size), up in zip(classes, [*(c[0] for c in classes[1:]), 1 << 40]):
-            long = np.flatnonzero((length >= low) & (length < up + own))  # its lines, and longer ones that are near enough to one of them
-            for i in range(own + 1 if len(long) else 0):
-                for p in range(max(i * size - i, 0), i * size + i + 1):
-                    some = long[length[long] >= p + size]
-                    owner.append(some)
-                    keys.append(value(start[some] + p, np.full(len(some), size), np.full(len(some), (low << 8) + i + (1 << 60))))
+        name = V.mix((total[end] - total[start]) * down[start] + V.mix(length.astype(_U)))
+        name, first = np.unique(name, return_index=True)
+        start, length, part = start[first], length[first], part[first]
+        owner, found = [], []
+        classes = length_classes(int(length.max(initial=0)), edits, per) if keys else []
+        for (low, own, size), high in zip(classes, [*(c[0] for c in classes[1:]), 1 << 40]):
+            lines = np.flatnonzero((length >= low) & (length < high + own))  # those of the class, and longer ones that are near enough to one of them
+            if not len(lines):
+                continue
+            q = max(1, size * 3 // 4)
+            # Hashes of the q-grams of these lines, one line after the other, and the least hash of those in a segment from each place on.
+            n = length[lines] - q + 1
+            at = V.ragged(start[lines], n)
+            least_hash = _least_of((((total[at + q] - total[at]) * down[at]) * _U(0xD6E8FEB86659FD93)) ^ _U(0x5851F42D4C957F2D), size - q + 1)
+            place = np.cumsum(n) - n
+            for i in range(own + 1):
+                shift = min(i, own - i)
+                begin = place + (i * size if i <= own - i else length[lines] - (own + 1 - i) * size)
+                value = least_hash[begin[:, None] + np.arange(-shift, shift + 1)]
+                value.sort(axis=1)
+                new = np.ones(value.shape, bool)
+                new[:, 1:] = value[:, 1:] != value[:, :-1]
+                line, _ = np.nonzero(new)
+                owner.append(lines[line])
+                found.append(V.mix(value[new] + V.mix(np.full(1, (low << 8) + i + 1, _U))))
         who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        key = np.concatenate(keys) if keys else np.zeros(0, _U)
-        order = np.lexsort((key, who))
-        who, key = who[order], key[order]
-        new = np.concatenate([[True], (who[1:] != who[:-1]) | (key[1:] != key[:-1])])[: len(who)]
-        who, key = who[new], key[new]
-        offsets = np.searchsorted(who, np.arange(len(line) + 1))
-        yield {"row": np.array(rows)[part], "line_no": number, "id": line.view(np.int64), "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64)))}
+        key = np.concatenate(found) if found else np.zeros(0, _U)
+        texts_of = [] if keys else [whole[a : a + n] for a, n in zip(start.tolist(), length.tolist())]
+        yield np.array(rows)[part], name.view(np.int64), who, key.view(np.int64), texts_of
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(_U) >> _U(64 - MAP_BITS)).astype(np.int64)
+
+
+def _map_of(shared: DataFrame) -> np.ndarray:
+    """Which of 2^MAP_BITS slots a key falls in, as bits; at most 2^(MAP_BITS - 6) words come to the driver."""
+    word = F.shiftrightunsigned("bucket", 64 - MAP_BITS + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(bucket, {64 - MAP_BITS}) & 63 as int))")
+    found = shared.select(word.cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << MAP_BITS - 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _entries(rows: DataFrame, edits: int, per: int | None, slots=None) -> DataFrame:
+    """node (hash of a line), bucket of every line's keys; with slots, only of keys that may be shared."""
+
+    def make():
+        wanted = None if slots is None else slots.value
+
+        def each(batch: pa.RecordBatch):
+            for _, name, who, key, _ in line_entries(batch.column("text"), edits, per):
+                if wanted is not None:
+                    slot = _slot(key)
+                    some = (wanted[slot >> 6] >> (slot & 63).astype(_U) & _U(1)).astype(bool)
+                    who, key = who[some], key[some]
+                yield {"node": name[who], "bucket": key}
+
+        return each
+
+    return map_arrow(rows.select("text"), make, "node long, bucket long")
+
+
+def _members(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
+    """node, bucket, size of all buckets that several lines are in."""
+    spark = rows.sparkSession
+    entries = _entries(rows, edits, per)
+    shared = written(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
+    slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
+    members = written(_entries(rows, edits, per, slots).join(shared, "bucket", "left_semi").distinct(), "members")
+    return members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").select("bucket", "node", "size")
+
+
+def _texts(rows: DataFrame, ids: DataFrame, edits: int, per: int | None) -> DataFrame:
+    """node, line of the lines whose hash is a node of ids. Two lines of one hash both are there."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            for _, name, _, _, lines in line_entries(batch.column("text"), edits, per, keys=False):
+                yield {"node": name, "line": lines}
+
+        return each
+
+    few = ids.count() <= MOST_IDS
+    found = map_arrow(rows.select("text"), make, "node long, line string")
+    return found.join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node", F.md5(F.col("line").cast("binary")).alias("line_id")).agg(F.min("line").alias("line"))
+
+
+def near_lines(xs: list[str], ys: list[str], edits: int, per: int | None) -> np.ndarray:
+    """Whether each pair of lines is near: the columns of edit_distance for many pairs at once, short lines of like length together."""
+    n, m = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
+    limit = np.array([allowed(v, edits, per) for v in np.minimum(n, m).tolist()], np.int64)
+    out = np.array([x == y for x, y in zip(xs, ys)], bool)
+    todo = np.flatnonzero(~out & (np.abs(n - m) <= limit))
+    todo = todo[np.argsort(m[todo], kind="stable")]
+    at = 0
+    while at < len(todo):
+        width = int(m[todo[at]]) + 64
+        stop = min(at + max(1, (1 << 20) // width), int(np.searchsorted(m[todo], width, "right")))
+        some, at = todo[at:stop], stop
+        if width > 4096 or len(some) < 12 or edits > 25:
+            out[some] = [edit_distance(xs[i], ys[i], k) <= k for i, k in zip(some.tolist(), limit[some].tolist())]
+        else:
+            out[some[_banded([xs[i] for i in some], [ys[i] for i in some], n[some], m[some], limit[some])]] = True
+    return out
+
+
+def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs within their limits; no limit is over 25."""
+    most = int(limit.max())
+    mask, top = _U((1 << 2 * most + 1) - 1), _U(2 * most)
+    x, y = (np.full((len(texts), int(size.max()) + 2 * most + 1), fill, np.uint32) for texts, size, fill in ((xs, n, 0xFFFFFFFE), (ys, m, 0xFFFFFFFF)))
+    for i, (a, b) in enumerate(zip(xs, ys)):
+        x[i, most : most + len(a)] = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+        y[i, : len(b)] = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bits = 2.0 ** np.arange(2 * most + 1)
+    who = np.arange(len(xs))
+    plus, minus = np.full(len(xs), int(mask) ^ ((1 << most) - 1), _U), np.zeros(len(xs), _U)
+    score = np.minimum(most, n)
+    good = []
+    for column in range(int(m.max())):
+        window = x[:, column : column + 2 * most + 1]
+        if window.shape[1] < len(bits):
+            window = np.pad(window, ((0, 0), (0, len(bits) - window.shape[1])), constant_values=0xFFFFFFFE)
+        equal = ((window == y[:, column, None]) @ bits).astype(_U)
+        diagonal = ((((equal & plus) + plus) ^ plus) | equal | minus) & mask
+        rise, fall = minus | ~(diagonal | plus) & mask, diagonal & plus
+        bit = (n - 1 - column + most).clip(0, 63).astype(_U)
+        last = (rise >> bit & _U(1)).astype(np.int64) - (fall >> bit & _U(1)).astype(np.int64)
+        score = score + np.where(column + most < n, 1 - (diagonal >> top & _U(1)).astype(np.int64), last)
+        down = diagonal >> _U(1)
+        plus, minus = (fall | ~(down | rise)) & mask, down & rise
+        ended = m == column + 1
+        if ended.any():
+            good.extend(who[ended & (score <= limit)].tolist())
+        if ended.any() or column % 16 == 15:
+            left = np.where(column + most < n, most + m - n, m - column - 1)
+            stay = ~ended & (score - left <= limit)
+            if not stay.any():
+                break
+            if not stay.all():
+                who, x, y, n, m, limit, plus, minus, score = (v[stay] for v in (who, x, y, n, m, limit, plus, minus, score))
+    return np.array(good, np.int64)
 
 
 def _near(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
@@ -156,113 +310,137 @@ def _near(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> Da
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        most = [allowed(min(len(p), len(q)), edits, per) for p, q in zip(x, y)]
-        return pd.Series([edit_distance(p, q, m) <= m for p, q, m in zip(x, y, most)], dtype=bool)
+        return pd.Series(near_lines(x.tolist(), y.tolist(), edits, per), dtype=bool)
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     return both.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near("x", "y")).select("a", "b")
 
 
 def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """Links between classes inside buckets that have several. mixed: bucket, node, size, component."""
-    chunks = mixed.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    spread = chunks.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        across = int(group["i"].iloc[0]) != int(group["j"].iloc[0])
-        node, chunk, home = group["node"].tolist(), group["chunk"].tolist(), {}
-        line, own = group["line"].tolist(), group["component"].tolist()
-
-        def root(c: int) -> int:
-            while c in home:
-                c = home[c]
-            return c
-
-        by_size: dict[int, list[int]] = {}
-        for p, text in enumerate(line):
-            by_size.setdefault(len(text), []).append(p)
-        found = []
-        for p in range(len(node)):
-            most = allowed(len(line[p]), edits, per)
-            for size in range(len(line[p]), len(line[p]) + most + 1):
-                for q in by_size.get(size, ()):
-                    if (size > len(line[p]) or q > p) and not (across and chunk[p] == chunk[q]):
-                        x, y = root(own[p]), root(own[q])
-                        if x != y and edit_distance(line[p], line[q], most) <= most:
-                            home[max(x, y)] = min(x, y)
-                            found.append((node[p], node[q]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return spread.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-
-
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 20, per: int | None = PER) -> DataFrame:
+    """Links between classes inside buckets that have several. mixed: bucket, node, component.
+
+    A bucket's members are dealt into chunks of bounded number and bytes, and a task compares two chunks. A pair is compared in the least of the
+    buckets that it shares.
+    """
+    lengths = mixed.join(texts.select("node", F.octet_length("line").alias("bytes")), "node")
+    size = lengths.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("chunks"))
+    buckets = mixed.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # as many as a line has keys
+    members = written(texts.select("node", "line").join(buckets, "node"), "lines-compared")
+    dealt = mixed.join(size, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = dealt.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Groups may go on from one batch to the next: the last one of a batch waits.
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            key = frame[["bucket", "i", "j"]].to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield _compared(frame.iloc[a:b], edits, per)
+            held = frame.iloc[edge[-1] :]
+        if held is not None and len(held):
+            yield _compared(held, edits, per)
+
+    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // 2000))
+    ordered = spread.join(members, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ordered.mapInPandas(run, "a long, b long").distinct()
+
+
+def _compared(group: pd.DataFrame, edits: int, per: int | None) -> pd.DataFrame:
+    """Links between classes among the lines of one bucket or of two chunks of one."""
+    bucket, across = int(group["bucket"].iloc[0]), int(group["i"].iloc[0]) != int(group["j"].iloc[0])
+    line, node, chunk = group["line"].tolist(), group["node"].to_numpy(), group["chunk"].to_numpy()
+    shared = [set(b.tolist()) for b in group["buckets"]]
+    size = np.array([len(x) for x in line])
+    most = np.array([allowed(n, edits, per) for n in size.tolist()])
+    own = group["component"].to_numpy().copy()
+    # An edit changes the counts of at most two characters by one each, so lines whose counts differ by more in all are left out.
+    tally = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64) for x in line]).astype(np.int32)
+    label, where = np.unique(own, return_inverse=True)
+    main = where == np.bincount(where).argmax()  # members of the largest class needn't be compared with each other
+    number, found = np.arange(len(own)), []
+    waiting: list[tuple[int, int]] = []
+
+    def decide() -> None:
+        for (p, q), near in zip(waiting, near_lines([line[p] for p, _ in waiting], [line[q] for _, q in waiting], edits, per)):
+            if near and own[p] != own[q]:
+                own[own == max(own[p], own[q])] = min(own[p], own[q])
+                found.append((node[p], node[q]))
+        waiting.clear()
+
+    for p in np.flatnonzero(~main).tolist():
+        some = np.flatnonzero((own != own[p]) & (main | (number > p)) & ((chunk != chunk[p]) | (not across)))
+        limit = np.minimum(most[some], most[p])
+        some, limit = (v[np.abs(size[some] - size[p]) <= limit] for v in (some, limit))
+        some = some[np.abs(tally[some] - tally[p]).sum(axis=1) <= 2 * limit]
+        waiting.extend((p, q) for q in some.tolist() if min(shared[p] & shared[q]) == bucket)
+        if len(waiting) >= 256:
+            decide()
+    decide()
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per: int | None = PER) -> DataFrame:
     """rid, doc_id, line_no (from 0), line_id, class_id, copies, kept of every line with a character that isn't white space.
 
     Lines of a class are linked by chains of insertions, deletions and replacements of characters, in each link at most one for each `per` characters of
-    the shorter line, one at least and `edits` at most (lines under `least` characters: equal). class_id is the least line_id; copies counts lines equal to this one. One line of a class is kept: the first by doc_id (nulls first), row and
-    number. Null and empty texts have no lines. rid tells rows of the same doc_id apart.
+    the shorter line (rounded) and at most `edits`. line_id is the md5 of the line's UTF-8 bytes; copies counts lines equal to this one. One line of a class is
+    kept: the first by doc_id (nulls first), row and number; class_id is its line_id. Null and empty texts have no lines. Rows may repeat: rid tells rows of
+    the same doc_id apart. Long texts and lines are taken whole. An empty table gives no rows.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")), "rows")
-    return _classes(rows, edits, least, per)
-
-
-def _classes(rows: DataFrame, edits: int, least: int, per: int | None) -> DataFrame:
-    def make():
-        def each(batch: pa.RecordBatch):
-            for found in line_keys(batch.column("text"), edits, least, per):
-                row = pa.array(found.pop("row"))
-                yield {"rid": batch.column("rid").take(row), "doc_id": batch.column("doc_id").take(row), **found}
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    return _classes(rows, edits, per)
 
-        return each
 
-    lines = written(map_arrow(rows, make, "rid long, doc_id long, line_no long, id long, keys array<long>"), "lines")
+def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
+    each = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(INK))
+    lines = written(each.select("rid", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("id")), "lines")
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("first"), F.count("*").alias("copies"))
-    entries = lines.select(F.col("id").alias("node"), F.explode("keys").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    members = written(entries.join(shared, "bucket").distinct(), "members")
-    mixed = written(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket"), "buckets")
-    ids = written(mixed.select("node").distinct(), "ids")
-    text = rows.select(F.explode(F.split("text", "\n")).alias("line"))
-
-    def hashed():
-        def each(batch: pa.RecordBatch):
-            for found in line_keys(batch.column("line"), 0, 1 << 40):
-                yield {"node": found["id"], "line": batch.column("line").take(pa.array(found["row"]))}
-
-        return each
-
-    few = ids.count() <= MOST_IDS
-    texts = map_arrow(text.where(F.length("line") >= least), hashed, "node long, line string")
-    texts = written(texts.join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "texts")
+    mixed = written(_members(rows, edits, per), "buckets")
+    texts = written(_texts(rows, written(mixed.select("node").distinct(), "ids"), edits, per), "texts")
     links = written(_near(mixed, texts, edits, per).distinct(), "near")
     found = written(components(links), "components")
     large = mixed.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    large = written(large, "large")
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    more = written(_inside(large.join(apart, "bucket"), texts, edits, per), "inside")
+    more = written(_inside(large.join(written(apart, "apart"), "bucket"), texts, edits, per), "inside")
     if not more.isEmpty():
-        found = written(components(links.unionByName(more)), "components")
-    labelled = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("component", "id"))
-    first = labelled.groupBy("class_id").agg(F.min("first").alias("first"))
-    whole = labelled.select("id", "copies", "class_id").join(first, "class_id")
-    out = lines.select("rid", "doc_id", "line_no", "id").join(whole, "id")
-    kept = F.col("rid").eqNullSafe(F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no"))
-    return out.select("rid", "doc_id", "line_no", F.col("id").alias("line_id"), "class_id", "copies", kept.alias("kept"))
-
-
-def clean(docs: DataFrame, edits: int = EDITS, least: int = 20, per: int | None = PER) -> DataFrame:
-    """docs without the lines that aren't kept, n_chars set anew; documents that had lines and lose all of them go. Other columns stay."""
-    key = "chronofold_rid"
+        found = written(extended(found, more), "components")
+    named = texts.join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
+    labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))
+    whole = labelled.select("id", "copies", "class").join(first, "class")
+    out = lines.join(whole.select("id", "copies", "least"), "id")
+    kept = F.col("rid").eqNullSafe(F.col("least.first.rid")) & (F.col("line_no") == F.col("least.first.line_no"))
+    return out.select("rid", "doc_id", "line_no", F.lower(F.hex("id")).alias("line_id"), F.lower(F.hex("least.id")).alias("class_id"), "copies", kept.alias("kept"))
+
+
+def clean(docs: DataFrame, edits: int = EDITS, per: int | None = PER) -> DataFrame:
+    """docs without the lines that aren't kept, n_chars set anew; documents that had lines and lose all of them go. Other columns stay, whatever their names."""
+    key, gone = free(docs, "chronofold_rid"), free(docs, "chronofold_gone")
+    some = free(docs, gone + "_some")
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = _classes(rows.select(F.col(key).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), edits, least, per)
-    per = found.groupBy("rid").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no").cast("int"))).alias("chronofold_gone"), F.max("kept").alias("chronofold_some"))
-    out = rows.join(per.withColumnRenamed("rid", key), key, "left").where(F.coalesce("chronofold_some", F.lit(True)))
-    text = F.when(F.coalesce(F.size("chronofold_gone"), F.lit(0)) > 0, F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(chronofold_gone, i)), '\n')")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    found = _classes(rows.select(col(key).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), edits, per)
+    lost = found.groupBy(F.col("rid").alias(key)).agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias(gone), F.max("kept").alias(some))
+    out = rows.join(lost, key, "left").where(F.coalesce(col(some), F.lit(True)))
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, numbers: pd.Series) -> pd.Series:
+        def rest(t, n):
+            if t is None or n is None or not len(n):
+                return t
+            away = set(n.tolist())
+            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in away)
+
+        return pd.Series([rest(t, n) for t, n in zip(text, numbers)], dtype=object)
+
+    changed = F.coalesce(F.size(gone), F.lit(0)) > 0
+    out = out.withColumn("text", without(F.col("text").cast("string"), col(gone)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.coalesce(F.size("chronofold_gone"), F.lit(0)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[col(c) for c in docs.columns])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chronofold.llm import shingles as S
 from chronofold.llm import textvec as V
 from chronofold.llm.common import documents, forget, map_arrow, written
-from chronofold.llm.components import components
+from chronofold.llm.components import components, extended
 
 SIGNED = "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary"
 #: Coordinates, a byte each, that estimate a similarity before sets are fetched.
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     more = written(_inside(large.join(apart, "bucket"), sets, percent), "inside")
     if not more.isEmpty():
-        found = written(components(links.unionByName(more)), "components")
+        found = written(extended(found, more), "components")
     out = members.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 

@@ -9,7 +9,7 @@ from chronofold.llm import shingles, textvec
 from chronofold.llm.decontaminate import Automaton
 from chronofold.llm.encode import Encoder, word_tokenizer
 from chronofold.llm.html_text import main_text
-from chronofold.llm.lines import edit_distance, line_keys
+from chronofold.llm.lines import edit_distance, line_entries, near_lines
 from chronofold.llm.packing import cuts, leftovers
 from chronofold.llm.repair import Block, pack_block
 
@@ -70,17 +70,41 @@ def edited(r, a, most):
     return "".join(b)
 
 
+def keys_of(a, b, *options):
+    """The bucket keys of two lines."""
+    (_, name, who, key, _), = line_entries(pa.array([f"{a}\n{b}"]), *options)
+    return [set(key[who == i].tolist()) for i in range(len(name))]
+
+
 def test_edit_distance_and_shared_segments():
     r = random.Random(2)
-    for _ in range(3000):
-        a = "".join(r.choice("abé") for _ in range(r.randint(0, 12)))
-        b = edited(r, a, r.randint(0, 4))
-        for most in (1, 2, 3):
+    for _ in range(1500):
+        a = "".join(r.choice("abé") for _ in range(r.randint(0, 25)))
+        b = edited(r, a, r.randint(0, 9)) if r.random() < 0.8 else "".join(r.choice("abé") for _ in range(r.randint(0, 25)))
+        for most in (0, 1, 2, 3, 8):
             assert edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
-        for most in (1, 2):
-            if min(len(a), len(b)) >= 4 and levenshtein(a, b) <= most:
-                keys = [set(k.as_py()) for f in line_keys(pa.array([f"{a}\n{b}"]), most, 4) for k in f["keys"]]
-                assert keys[0] & keys[1]
+        for most in (1, 2, 3):
+            if a != b and min(len(a), len(b)) > most and levenshtein(a, b) <= most:
+                x, y = keys_of(a, b, most, None)
+                assert x & y
+
+
+def test_near_lines_agree_with_the_plain_distance():
+    r = random.Random(3)
+    pairs = []
+    for _ in range(800):
+        a = "".join(r.choice("abé ") for _ in range(r.choice([0, 3, 9, 10, 15, 29, 30, 31, 50, 90, 170, 200])))
+        pairs.append((a, edited(r, a, r.randint(0, 11))))
+    got = near_lines([a for a, _ in pairs], [b for _, b in pairs], 8, 20)
+    want = [levenshtein(a, b) <= min((min(len(a), len(b)) + 10) // 20, 8) for a, b in pairs]
+    assert got.tolist() == want and 100 < sum(want) < 700
+
+
+def test_edit_distance_of_long_lines_takes_only_the_band():
+    a = "abcdefghij" * 30_000
+    assert edit_distance("x" + a[:-1], a[1:] + "y", 8) <= 4
+    assert edit_distance("x" + a, a[5:] + "zz", 8) == 8
+    assert edit_distance(a[::-1], a, 8) == 9
 
 
 def test_signatures_estimate_similarity():
