@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from chronofold.plans.spec import instant
 
-#: Ranges into which rows are dealt before positions are counted.
-RANGES = 64
+#: The column that holds a row's place in a plan by position.
+POSITION = "_cf_position"
+#: Cells of time in which rows are numbered: at least and at most so many, one for each RANGE_ROWS rows between.
+LEAST_CELLS, MOST_CELLS, RANGE_ROWS = 16, 1 << 19, 1_000_000
 
 
 def resolve(df: DataFrame, ref: str | int) -> str:
@@ -60,23 +62,45 @@ def between(time: Column, low: int, high: int) -> Column:
     return (time >= at(low)) & (time < at(high))
 
 
-def with_position(df: DataFrame, order: Column, keys: list[str], name: str = "position") -> DataFrame:
-    """df with each row's place (from 0) by time, nulls last, ties by the keys.
+def with_position(df: DataFrame, order: Column, keys: list[str], name: str = POSITION) -> DataFrame:
+    """df with each row's place (from 0) by time, nulls last, ties by the keys; without keys by all columns that can be sorted, so that only equal rows are tied.
 
-    Rows are dealt into ranges of the time by its quantiles and numbered in each range; the ranges' sizes give the offsets. So no task holds all
-    rows, and the place of a row is the same whenever it is computed.
+    Rows are dealt into cells of time and numbered in each; the cells' sizes, which the driver adds up, give the offsets. Cells with many
+    rows are cut again as long as they span more than an instant, so no task holds all rows, only those of one instant stay together. The
+    place of a row is the same whenever it is computed.
     """
+    keys = keys or [f.name for f in df.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    spark, t = df.sparkSession, F.col("_cf_order")
     marked = df.withColumn("_cf_order", us(order))
-    cuts = sorted({c for c in marked.approxQuantile("_cf_order", [i / RANGES for i in range(1, RANGES)], 0.001) if c is not None})
-    part = F.when(F.col("_cf_order").isNull(), F.lit(len(cuts) + 1)).otherwise(sum((F.when(F.col("_cf_order") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    marked = marked.withColumn("_cf_range", part)
-    sizes = {r["_cf_range"]: r["count"] for r in marked.groupBy("_cf_range").count().collect()}  # RANGES + 1 rows at most
-    offset, total = F.lit(0).cast("long"), 0
-    for k in sorted(sizes):
-        offset = F.when(F.col("_cf_range") == k, F.lit(total)).otherwise(offset)
-        total += sizes[k]
-    by = Window.partitionBy("_cf_range").orderBy(F.col("_cf_order").asc_nulls_last(), *[named(k) for k in keys])
-    return marked.withColumn(name, offset + F.row_number().over(by) - 1).drop("_cf_order", "_cf_range")
+    span = marked.agg(F.min(t).alias("low"), F.max(t).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, high, n = span["low"] or 0, span["high"] or 0, span["n"]
+    width = (high - low) // min(MOST_CELLS, max(LEAST_CELLS, n // RANGE_ROWS)) + 1
+    # A cell is called by the time at which it starts; rows without a time have the last one.
+    marked = marked.withColumn("_cf_cell", F.coalesce(t - F.pmod(t - F.lit(low), F.lit(width)), F.lit(high + 1)))
+    sizes, widths, seen = {}, {}, marked
+    while True:
+        found = {r["_cf_cell"]: r["count"] for r in seen.groupBy("_cf_cell").count().collect()}
+        sizes |= found
+        large = {c: widths.get(c, width) for c, many in found.items() if many > 4 * RANGE_ROWS and c <= high and widths.get(c, width) > 1}
+        if not large:
+            break
+        finer = {c: w // min(1024, 1 + sizes[c] // RANGE_ROWS) + 1 for c, w in large.items()}
+        cut = F.broadcast(spark.createDataFrame(list(finer.items()), "_cf_cell long, _cf_width long"))  # n / RANGE_ROWS / 4 rows at most
+        marked = marked.join(cut, "_cf_cell", "left").withColumn("_cf_cell", F.coalesce(t - F.pmod(t - F.col("_cf_cell"), F.col("_cf_width")), F.col("_cf_cell"))).drop("_cf_width")
+        inside = [(t >= c) & (t < c + large[c]) for c in large]
+        sizes = {c: m for c, m in sizes.items() if c not in large}
+        condition = inside[0]
+        for i in inside[1:]:
+            condition = condition | i
+        seen = marked.where(condition)
+        widths |= {c + i * finer[c]: finer[c] for c, w in large.items() for i in range(-(-w // finer[c]))}
+    total, offsets = 0, []
+    for c in sorted(sizes):
+        offsets.append((c, total))
+        total += sizes[c]
+    by = Window.partitionBy("_cf_cell").orderBy(t.asc_nulls_last(), *[named(k) for k in keys])
+    table = spark.createDataFrame(offsets, "_cf_cell long, _cf_offset long")  # a row for each cell
+    return marked.withColumn(name, F.row_number().over(by).cast("long") - 1).join(F.broadcast(table), "_cf_cell").withColumn(name, F.col(name) + F.col("_cf_offset")).select(*[named(c) for c in df.columns], name)
 
 
 def table(spark, records) -> DataFrame:

@@ -81,23 +81,23 @@ def estimate_prediction_band_by_fold(workflow, X, *, model, target_col, band_est
     plan = resolve_workflow(workflow, df)
     runs = FoldRuns(plan, model, target_col, feature_cols, EvaluationProfile(metrics).resolve(), key_col)
     target, features = runs.target, runs.features
-    id_kind = dict(runs.rows.dtypes)["row_id"]
+    id_kind = dict(runs.rows.dtypes)["_cf_row"]
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        train, test = (group[group["segment"] == s].sort_values("row_id") for s in ("train", "test"))
+        train, test = (group[group["_cf_segment"] == s].sort_values("_cf_row") for s in ("train", "test"))
         own = copy.deepcopy(model)
         own = own.fit(train[features], train[target]) or own
         p = np.asarray(own.predict(test[features]), float)
-        fold = int(group["k"].iloc[0])
+        fold = int(group["_cf_k"].iloc[0])
         low, high, more = _checked(estimate(PredictionBandContext(fold, own, train[features], train[target], test[features], test[target], p)), len(test))
-        out = pd.DataFrame({"k": fold, "row_id": test["row_id"], "y": test[target].astype(float), "p": p, "low": low, "high": high})
+        out = pd.DataFrame({"k": fold, "row_id": test["_cf_row"], "y": test[target].astype(float), "p": p, "low": low, "high": high})
         out["artifacts"] = [{}] * len(out)
         if len(out):
             out.iat[0, out.columns.get_loc("artifacts")] = {str(k): str(v) for k, v in more.items()}
         return out
 
-    both = runs.rows.where(F.col("segment").isin("train", "test"))
-    scored = both.groupBy("k").applyInPandas(one, f"k int, row_id {id_kind}, y double, p double, low double, high double, artifacts map<string,string>")
+    both = runs.rows.where(F.col("_cf_segment").isin("train", "test"))
+    scored = both.groupBy("_cf_k").applyInPandas(one, f"k int, row_id {id_kind}, y double, p double, low double, high double, artifacts map<string,string>")
     folds = plan.spark.createDataFrame([(k, f.iteration, f.counts["train"], f.counts["test"]) for k, f in enumerate(plan.folds)], "k int, fold int, train_rows long, test_rows long")
     width = F.col("high") - F.col("low")
     extra = [f(F.col("y"), F.col("p")).alias(n) for n, f in runs.profile.metrics.items() if runs.profile.native[n]]

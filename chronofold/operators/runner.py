@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.metrics import EvaluationProfile, NativeModel, ResolvedEvaluationProfile
-from chronofold.functions.timeline import named, resolve, table
+from chronofold.functions.timeline import POSITION, named, resolve, table
 from chronofold.operators.reporting import json_ready
 from chronofold.operators.splitting import TemporalBacktestSplitter, TemporalSimulation, membership
 from chronofold.plans.plan import PartitionPlan
@@ -99,7 +99,7 @@ class DriftBasedRetrain(RetrainPolicy):
         if metric is None or len(h) and metric not in h:
             raise ValueError(f"no metric {metric!r} in the history")
         if not len(h):
-            return False
+            return True
         largest = context.metric_directions.get(metric, "min") == "max"
         latest = float(h[metric].iloc[-1])
         if self.baseline == "first":
@@ -110,30 +110,31 @@ class DriftBasedRetrain(RetrainPolicy):
             base = float(h[metric].max() if largest else h[metric].min())
         else:
             rows = h[h["fold"] == context.last_retrain_fold]
-            if not len(rows):
-                raise ValueError("the fold of the last fit isn't in the history")
-            base = float(rows[metric].iloc[0])
+            base = float((rows if len(rows) else h)[metric].iloc[0])
         return worsened(latest, base, self.threshold, largest, self.relative)
 
 
 def worsened(latest: float, base: float, threshold: float, largest: bool, relative: bool) -> bool:
-    """Whether the change for the worse reaches the threshold; a baseline of 0 is compared without a ratio."""
+    """Whether the change for the worse reaches the threshold. Next to a baseline of 0 no ratio exists: there the value itself has to pass the threshold."""
     change = base - latest if largest else latest - base
-    if relative and base != 0:
-        change /= abs(base)
-    return change >= threshold
+    if not relative:
+        return change >= threshold
+    return change / abs(base) >= threshold if base else change > threshold
 
 
 def policy_of(retrain, interval: int | None, policy: RetrainPolicy | None) -> RetrainPolicy:
+    """The policy that a runner's arguments name. An interval says how often True or 'periodic' fits; it means nothing to the others."""
     if policy is not None:
+        if interval is not None:
+            raise ValueError("a policy has its own rhythm: give it or an interval")
         return policy
-    if interval is not None or retrain == "periodic":
-        return PeriodicRetrain(interval or 1)
-    if retrain in (True, "always"):
-        return AlwaysRetrain()
-    if retrain in (False, "never"):
-        return NeverRetrain()
-    raise ValueError("retrain is True, False, 'always', 'never' or 'periodic'")
+    name = {True: "always" if interval in (None, 1) else "periodic", False: "never"}[retrain] if isinstance(retrain, bool) else retrain
+    if name == "periodic" and interval is None:
+        raise ValueError("a periodic policy needs retrain_interval")
+    made = {"always": AlwaysRetrain, "never": NeverRetrain, "periodic": lambda: PeriodicRetrain(interval)}
+    if name not in made:
+        raise ValueError("retrain is True, False, 'always', 'never' or 'periodic'")
+    return made[name]()
 
 
 def resolve_workflow(workflow, X) -> PartitionPlan:
@@ -153,7 +154,7 @@ def features_of(df: DataFrame, target_col, feature_cols, semantics) -> tuple[str
     if feature_cols is not None:
         features = [resolve(df, c) for c in feature_cols]
     else:
-        off = {target, "position", *(resolve(df, c) for c in (semantics.timeline_col, semantics.effective_order_col, *semantics.segment_time_cols.values()))}
+        off = {target, POSITION, *(resolve(df, c) for c in (semantics.timeline_col, semantics.effective_order_col, *semantics.segment_time_cols.values()))}
         features = [c for c in df.columns if c not in off]
     if not features:
         raise ValueError("no feature columns")
@@ -236,7 +237,13 @@ class WalkForwardRunner:
         if y is not None:
             if self.key_col is None:
                 raise ValueError("a separate target is joined by key_col")
-            df = df.join(y.withColumnRenamed([c for c in y.columns if c != self.key_col][0], "__target__"), self.key_col)
+            target = [c for c in y.columns if c != self.key_col]
+            if len(target) != 1:
+                raise ValueError("a separate target has a key and one other column")
+            both = df.join(y.select(named(self.key_col), named(target[0]).alias("__target__")), self.key_col)
+            if len({t.select(named(self.key_col)).count() for t in (df, y, both)}) != 1:
+                raise ValueError("a separate target has one row for each key of the table")
+            df = both
         plan = resolve_workflow(workflow, df)
         if not plan.folds:
             raise ValueError("the plan has no folds")
@@ -280,60 +287,61 @@ class FoldRuns:
         split = self.plan.split_of(self.plan.folds[0])
         self.target, self.features = features_of(split.frame, self.target_col, self.feature_cols, split.semantics)
         keys = list(getattr(self.model, "keys", ()))
-        names = list(dict.fromkeys([self.target, *self.features, *keys, *([self.key_col] if self.key_col else [])]))
+        # Without a key a row is known by its place in the scan, given before it goes to several folds.
+        frame = split.frame.withColumn("_cf_row", named(self.key_col) if self.key_col else F.monotonically_increasing_id())
+        names = list(dict.fromkeys([self.target, *self.features, *keys, "_cf_row"]))
         of = {f.iteration: k for k, f in enumerate(self.plan.folds)}
-        rows = membership(self.plan, names)
+        rows = membership(self.plan, names, "_cf_fold", "_cf_segment", frame)
         if of != {k: k for k in of}:
-            index = self.plan.spark.createDataFrame(list(of.items()), "fold int, k int")
-            rows = rows.join(F.broadcast(index), "fold")
+            index = self.plan.spark.createDataFrame(list(of.items()), "_cf_fold int, _cf_k int")
+            rows = rows.join(F.broadcast(index), "_cf_fold")
         else:
-            rows = rows.withColumn("k", F.col("fold"))
-        row_id = named(self.key_col) if self.key_col else F.monotonically_increasing_id()
-        self.rows = rows.withColumn("row_id", row_id)
+            rows = rows.withColumn("_cf_k", F.col("_cf_fold"))
+        self.rows = rows
 
     def _pairs(self, pairs) -> DataFrame:
-        return self.plan.spark.createDataFrame(list(pairs), "k int, m int")  # a row for each fold, or each pair of folds
+        return self.plan.spark.createDataFrame(list(pairs), "_cf_k int, _cf_m int")  # a row for each fold, or each pair of folds
 
     def states(self) -> DataFrame:
-        train = self.rows.where("segment = 'train'")
+        train = self.rows.where("_cf_segment = 'train'")
         keys = [named(c) for c in self.model.keys]
-        return train.groupBy(F.col("k").alias("m"), *keys).agg(*self.model.state(self.target, self.features))
+        return train.groupBy(F.col("_cf_k").alias("_cf_m"), *keys).agg(*self.model.state(self.target, self.features))
 
     def scored(self, pairs) -> DataFrame:
         """k, m, row_id, y, p of each test row of fold k under the state of fold m."""
-        test = self.rows.where("segment = 'test'").join(F.broadcast(self._pairs(pairs)), "k")
+        test = self.rows.where("_cf_segment = 'test'").join(F.broadcast(self._pairs(pairs)), "_cf_k")
         if isinstance(self.model, NativeModel):
             wanted = sorted({m for _, m in pairs})
-            states = self.states().where(F.col("m").isin(wanted))
+            states = self.states().where(F.col("_cf_m").isin(wanted))
             if self.model.keys:
-                overall = self.rows.where("segment = 'train'").groupBy(F.col("k").alias("m")).agg(self.model.state(self.target, self.features)[0].alias("_cf_all"))
-                out = test.join(states, ["m", *self.model.keys], "left").join(overall, "m")
+                overall = self.rows.where("_cf_segment = 'train'").groupBy(F.col("_cf_k").alias("_cf_m")).agg(self.model.state(self.target, self.features)[0].alias("_cf_all"))
+                out = test.join(states, ["_cf_m", *self.model.keys], "left").join(overall, "_cf_m")
             else:
-                out = test.join(states, "m")  # a row for each fitted fold
-            return out.select("k", "m", "row_id", named(self.target).alias("y"), self.model.predict(self.features).alias("p"))
+                out = test.join(states, "_cf_m")  # a row for each fitted fold
+            return out.select(F.col("_cf_k").alias("k"), F.col("_cf_m").alias("m"), F.col("_cf_row").alias("row_id"), named(self.target).alias("y"), self.model.predict(self.features).alias("p"))
         return self._python(pairs)
 
     def _python(self, pairs) -> DataFrame:
         """One group for each fitted state: its train rows, and the test rows of every fold that it is used for."""
         pairs = list(pairs)
         wanted = self._pairs(pairs)
-        fits = self.plan.spark.createDataFrame([(m,) for m in sorted({m for _, m in pairs})], "m int")
-        train = self.rows.where("segment = 'train'").join(F.broadcast(fits), F.col("k") == F.col("m"))
-        both = train.unionByName(self.rows.where("segment = 'test'").join(F.broadcast(wanted), "k"))
+        fits = self.plan.spark.createDataFrame([(m,) for m in sorted({m for _, m in pairs})], "_cf_m int")
+        train = self.rows.where("_cf_segment = 'train'").join(F.broadcast(fits), F.col("_cf_k") == F.col("_cf_m"))
+        both = train.unionByName(self.rows.where("_cf_segment = 'test'").join(F.broadcast(wanted), "_cf_k"))
         model, target, features = self.model, self.target, self.features
         kind = dict(self.rows.dtypes)[target]
         kind = kind if kind == "string" else "double"
-        id_kind = dict(self.rows.dtypes)["row_id"]
+        id_kind = dict(self.rows.dtypes)["_cf_row"]
 
         def fit_and_score(group: pd.DataFrame) -> pd.DataFrame:
             own = copy.deepcopy(model)
-            train = group[group["segment"] == "train"].sort_values("row_id")
-            test = group[group["segment"] == "test"].sort_values("row_id")
+            train = group[group["_cf_segment"] == "train"].sort_values("_cf_row")
+            test = group[group["_cf_segment"] == "test"].sort_values("_cf_row")
             own = own.fit(train[features], train[target]) or own
-            out = pd.DataFrame({"k": test["k"], "m": test["m"], "row_id": test["row_id"], "y": test[target], "p": own.predict(test[features]) if len(test) else []})
+            out = pd.DataFrame({"k": test["_cf_k"], "m": test["_cf_m"], "row_id": test["_cf_row"], "y": test[target], "p": own.predict(test[features]) if len(test) else []})
             return out if kind == "string" else out.astype({"y": float, "p": float})
 
-        return both.groupBy("m").applyInPandas(fit_and_score, f"k int, m int, row_id {id_kind}, y {kind}, p {kind}")
+        return both.groupBy("_cf_m").applyInPandas(fit_and_score, f"k int, m int, row_id {id_kind}, y {kind}, p {kind}")
 
     def metrics(self, scored: DataFrame) -> dict[tuple[int, int], dict[str, float]]:
         """Metrics of each (k, m): aggregates for native metrics; others get the arrays of their group."""

@@ -9,13 +9,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.functions.timeline import as_time, at, between, named, resolve, us, with_position
+from chronofold.functions.timeline import POSITION, as_time, at, between, named, resolve, us, with_position
 from chronofold.operators.counting import Histogram
 from chronofold.operators.reporting import SimulationChartData, SimulationSummary, build_summary
 from chronofold.plans.geometry import duration_windows, row_windows
 from chronofold.plans.plan import PartitionPlan, PlannedFold
 from chronofold.plans.spec import FeatureLookbackSpec, SegmentBoundaries, TemporalPartitionSpec, TemporalSemanticsSpec, common_step, instant, instant_us, validate_partition_spec, validate_step, validate_strategy, validate_temporal_semantics
-from chronofold.sources.adapters import PartitionEngineMetadata, coerce_tabular_input
+from chronofold.sources.adapters import ENGINES, PartitionEngine, PartitionEngineMetadata, coerce_tabular_input
 
 
 @dataclass(frozen=True)
@@ -39,19 +39,19 @@ class TimeSplit:
         low, high = self.bounds[name]
         frame = self.frame if frame is None else frame
         if self.positional:
-            return (F.col("position") >= low) & (F.col("position") < high)
+            return (F.col(POSITION) >= low) & (F.col(POSITION) < high)
         return between(as_time(frame, self.semantics.column_for_segment(name)), low, high)
 
     def segment(self, name: str) -> DataFrame:
         """The rows of a segment."""
         if name not in self.bounds:
             raise KeyError(name)
-        return self.frame.where(self.condition(name))
+        return self.frame.where(self.condition(name)).drop(POSITION)
 
     def slice(self, frame: DataFrame | None = None) -> dict[str, DataFrame]:
         if frame is None or frame is self.frame:
             return {n: self.segment(n) for n in self.bounds}
-        if self.positional and "position" not in frame.columns:
+        if self.positional and POSITION not in frame.columns:
             raise ValueError("a fold by position slices the frame that it was planned on")
         return {n: frame.where(self.condition(n, frame)) for n in self.bounds}
 
@@ -75,6 +75,39 @@ class TimeSplit:
         return {g: self.frame.where(between(time, instant_us(b.start), instant_us(b.end))) for g, b in self.feature_history_bounds(lookbacks, segment_name).items()}
 
 
+class TimeIndexer:
+    """A table by time: its span, and its rows by place or between times. Nothing but single values comes to the driver."""
+
+    def __init__(self, X, time_col, keys: Sequence[str] = ()):
+        self.frame, self.semantics, self.keys = coerce_tabular_input(X), TemporalSemanticsSpec.of(time_col), list(keys)
+        self._time = as_time(self.frame, self.semantics.timeline_col)
+        span = self.frame.select(us(self._time).alias("t")).agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n")).first()
+        self.total_rows, self.min_time, self.max_time = span["n"], *(None if t is None else instant(t) for t in (span["low"], span["high"]))
+
+    def slice_positional(self, start: int, end: int) -> DataFrame:
+        """Rows start to end in the order of the order column."""
+        placed = with_position(self.frame, as_time(self.frame, self.semantics.effective_order_col), self.keys)
+        return placed.where((F.col(POSITION) >= start) & (F.col(POSITION) < end)).drop(POSITION)
+
+    def timestamp_at(self, position: int):
+        """The time of the row at a place of the timeline; negative places count from the end."""
+        place = position + self.total_rows if position < 0 else position
+        if not 0 <= place < self.total_rows:
+            raise IndexError(f"no row at {position}")
+        found = with_position(self.frame, self._time, self.keys).where(F.col(POSITION) == place).select(us(self._time).alias("t")).first()["t"]
+        return None if found is None else instant(found)
+
+    def bounds_between(self, start, end) -> tuple[int, int]:
+        """How many rows of the timeline lie before start, and before end."""
+        row = self.frame.agg(*(F.count(F.when(self._time < at(instant_us(t)), 1)).alias(n) for n, t in (("a", start), ("b", end)))).first()
+        return row["a"], row["b"]
+
+    def slice_between(self, start, end, segment: str | None = None) -> DataFrame:
+        """Rows from start on and before end, by the timeline or by the time column of a segment."""
+        time = self._time if segment is None else as_time(self.frame, self.semantics.column_for_segment(segment))
+        return self.frame.where(between(time, instant_us(start), instant_us(end)))
+
+
 class TemporalBacktestSplitter:
     """Lays folds of a partition over a time column."""
 
@@ -86,6 +119,8 @@ class TemporalBacktestSplitter:
             step = next(iter(self.partition.segments.values())) if strategy == "single" else partition.test_size
         self.step = validate_step(step, self.partition.size_kind)
         validate_temporal_semantics(self.semantics, self.partition.size_kind)
+        if engine not in ENGINES:
+            raise ValueError(f"engine must be one of {', '.join(ENGINES)}")
         self.allow_partial, self.engine, self.keys = allow_partial, engine, list(keys)
 
     def _bound(self, X) -> DataFrame:
@@ -96,15 +131,17 @@ class TemporalBacktestSplitter:
             resolve(df, ref)
         return df
 
-    def plan(self, X, title: str | None = None, most: int | None = None) -> PartitionPlan:
-        """All folds with their row counts: one job for the span, one for a histogram of each time column."""
-        df = self._bound(X)
-        plan = self._plan(df, title, most)
+    def plan(self, X, title: str | None = None, most: int | None = None, metadata: PartitionEngineMetadata | None = None) -> PartitionPlan:
+        """All folds with their row counts: one job for the span, one for a histogram of each time column. metadata: what X was before, if it has been converted already."""
+        if metadata is None:
+            found = PartitionEngine.from_input(X, self.engine)
+            X, metadata = found.data, found.metadata
+        plan = self._plan(self._bound(X), title, most, metadata)
         if not plan.folds:
             raise ValueError("the partition has no fold on this table")
         return plan
 
-    def _plan(self, df: DataFrame, title: str | None = None, most: int | None = None) -> PartitionPlan:
+    def _plan(self, df: DataFrame, title: str | None = None, most: int | None = None, metadata: PartitionEngineMetadata = PartitionEngineMetadata("spark", "spark", False)) -> PartitionPlan:
         time = as_time(df, self.semantics.timeline_col)
         span = df.select(us(time).alias("t")).agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n")).first()
         if not span["n"]:
@@ -123,7 +160,7 @@ class TemporalBacktestSplitter:
             return TimeSplit(f.iteration, frame, f.boundaries, f.bounds, f.counts, self.semantics, kind != "duration", dict(f.metadata))
 
         def summary_of(chosen, name):
-            return SimulationResult(build_summary(chosen, span, self, name), [split_of(f) for f in chosen], PartitionEngineMetadata("spark", "spark", False), chosen, plan)
+            return SimulationResult(build_summary(chosen, span, self, name), [split_of(f) for f in chosen], metadata, chosen, plan)
 
         plan = PartitionPlan(df.sparkSession, tuple(folds), tuple(self.partition.segments), kind, self.strategy, split_of, summary_of, title)
         return plan
@@ -167,8 +204,8 @@ class TemporalBacktestSplitter:
         if self.semantics.effective_order_col != self.semantics.timeline_col:  # boundaries come from the timeline's own order
             ranked = with_position(df, as_time(df, self.semantics.timeline_col), self.keys)
         time = us(as_time(df, self.semantics.timeline_col)).alias("t")
-        places = df.sparkSession.createDataFrame([(p,) for p in wanted], "position long")  # two for each segment and fold
-        when = {r["position"]: r["t"] for r in ranked.select("position", time).join(F.broadcast(places), "position", "left_semi").collect()}
+        places = df.sparkSession.createDataFrame([(p,) for p in wanted], f"{POSITION} long")  # two for each segment and fold
+        when = {r[POSITION]: r["t"] for r in ranked.select(POSITION, time).join(F.broadcast(places), POSITION, "left_semi").collect()}
         last = max((t for t in when.values() if t is not None), default=0)
 
         def bound(a: int, b: int) -> SegmentBoundaries:
@@ -202,13 +239,39 @@ class TemporalBacktestSplitter:
         return membership(plan, keys)
 
 
-def membership(plan: PartitionPlan, keys: Sequence[str]) -> DataFrame:
-    """fold, segment, keys. A row's folds are a run of numbers where windows roll; each is tried against its own bounds."""
+#: Rows of the table by which values meet windows.
+MOST_MEETINGS = 200_000
+
+
+def meet(rows: DataFrame, at: str, windows: Sequence[tuple[int, int, int]], name: str) -> DataFrame:
+    """A row for each window (number, from, to) that a row's value `at` lies in, with the number as `name`.
+
+    Windows are listed by the cells of a grid that they reach into, so a row is joined by its cell to the windows there and compared with no others.
+    """
+    windows = [w for w in windows if w[2] > w[1]]
+    if not windows:
+        return rows.where(F.lit(False)).withColumn(name, F.lit(None).cast("int"))
+    low = min(a for _, a, _ in windows)
+    grid = max(min(b - a for _, a, b in windows), sum(b - a for _, a, b in windows) // MOST_MEETINGS, 1)
+    table = [(c, w, a, b) for w, a, b in windows for c in range((a - low) // grid, (b - 1 - low) // grid + 1)]
+    cells = rows.sparkSession.createDataFrame(table, f"_cf_grid long, `{name}` int, _cf_low long, _cf_high long")  # MOST_MEETINGS rows and two for each window at most
+    value = F.col(at) - F.lit(low)
+    placed = rows.withColumn("_cf_grid", F.expr(f"(`{at}` - {low}L - pmod(`{at}` - {low}L, {grid}L)) div {grid}L")).where(value >= 0)
+    return placed.join(F.broadcast(cells), "_cf_grid").where((F.col(at) >= F.col("_cf_low")) & (F.col(at) < F.col("_cf_high"))).drop("_cf_grid", "_cf_low", "_cf_high")
+
+
+def membership(plan: PartitionPlan, keys: Sequence[str], fold: str = "fold", segment: str = "segment", frame: DataFrame | None = None) -> DataFrame:
+    """fold, segment, keys. A row's folds are a run of numbers where windows roll; each is tried against its own bounds.
+
+    fold and segment name those two columns, which no key may be called. frame: the planned table with more columns.
+    """
+    if {fold.lower(), segment.lower()} & {k.lower() for k in keys}:
+        raise ValueError(f"a key is called {fold} or {segment}: give other names for these")
     split = plan.split_of(plan.folds[0])
-    frame = split.frame
+    frame = split.frame if frame is None else frame
     parts = []
     for name in plan.segments:
-        value = F.col("position") if split.positional else us(as_time(frame, split.semantics.column_for_segment(name)))
+        value = F.col(POSITION) if split.positional else us(as_time(frame, split.semantics.column_for_segment(name)))
         lows, highs = [f.bounds[name][0] for f in plan.folds], [f.bounds[name][1] for f in plan.folds]
         ids = [f.iteration for f in plan.folds]
         rows = frame.select(*[named(k) for k in keys], value.alias("_cf_at"))
@@ -218,11 +281,10 @@ def membership(plan: PartitionPlan, keys: Sequence[str]) -> DataFrame:
         if even:
             first = F.greatest(F.lit(ids[0]), F.expr(f"({ids[0]} + ((_cf_at - {highs[0]}) - pmod(_cf_at - {highs[0]}, {stride}L)) div {stride}L + 1)"))
             last = F.least(F.lit(ids[-1]), F.expr(f"({ids[0]} + (_cf_at - {lows[0]}) div {stride}L)"))
-            rows = rows.withColumn("fold", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
+            rows = rows.withColumn(fold, F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
         else:
-            windows = frame.sparkSession.createDataFrame(list(zip(ids, lows, highs)), "fold int, _cf_low long, _cf_high long")  # a row for each fold
-            rows = rows.join(F.broadcast(windows), (F.col("_cf_at") >= F.col("_cf_low")) & (F.col("_cf_at") < F.col("_cf_high")))
-        parts.append(rows.select("fold", F.lit(name).alias("segment"), *[named(k) for k in keys]))
+            rows = meet(rows, "_cf_at", list(zip(ids, lows, highs)), fold)
+        parts.append(rows.select(named(fold), F.lit(name).alias(segment), *[named(k) for k in keys]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -287,7 +349,8 @@ class TemporalSimulation:
         return df
 
     def plan(self, X, title: str | None = None) -> PartitionPlan:
-        return self.splitter.plan(self.select_input(X), title, self.max_folds)
+        found = PartitionEngine.from_input(X, self.splitter.engine)
+        return self.splitter.plan(self.select_input(found.data), title, self.max_folds, found.metadata)
 
     def run(self, X, title: str | None = None) -> SimulationResult:
         return self.plan(X, title).materialize()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronofold.functions.metrics import EvaluationProfile, NativeModel
 from chronofold.functions.timeline import as_time, at, named, table, us
 from chronofold.operators.runner import features_of, worsened
-from chronofold.operators.splitting import WalkForwardPolicy
+from chronofold.operators.splitting import WalkForwardPolicy, meet
 from chronofold.plans.spec import SizeSpec, TemporalSemanticsSpec, duration_us, instant, instant_us
 from chronofold.sources.adapters import coerce_tabular_input
 
@@ -54,6 +54,8 @@ class TrainGrowthResult(_Records):
 class PerformanceDecayResult(_Records):
     def find_drift_onset(self, *, metric: str = "rmse", threshold: float = 0.1, baseline: str | float = "first", relative: bool = True) -> dict[str, object] | None:
         """The first window whose metric is worse than the baseline by the threshold."""
+        if threshold < 0:
+            raise ValueError("threshold must not be negative")
         largest = self._metric(metric)
         values = self.records[metric]
         if isinstance(baseline, str):
@@ -67,7 +69,7 @@ class PerformanceDecayResult(_Records):
 
 
 class _Windows:
-    """Fits on windows of time and predicts others, all in one job: windows are a small table, rows meet them by a range."""
+    """Fits on windows of time and predicts others, all in one job: windows are a small table, rows meet those of their own grid cell."""
 
     def __init__(self, df: DataFrame, semantics: TemporalSemanticsSpec, model, target_col, feature_cols, metrics, metric_directions=None):
         self.df, self.semantics, self.model = df, semantics, model
@@ -85,38 +87,37 @@ class _Windows:
         keys = [named(c) for c in getattr(self.model, "keys", ())]
         cols = {c: named(c) for c in (self.target, *self.features)}
         reach = reach.select(*cols.values(), *[k for k, n in zip(keys, getattr(self.model, "keys", ())) if n not in cols], us(time).alias("_cf_t"))
-        table = self.df.sparkSession.createDataFrame(windows, "w int, _cf_a long, _cf_b long")  # a row for each window
-        return reach.join(F.broadcast(table), (F.col("_cf_t") >= F.col("_cf_a")) & (F.col("_cf_t") < F.col("_cf_b"))).drop("_cf_a", "_cf_b")
+        return meet(reach, "_cf_t", windows, "_cf_w")
 
     def counts(self, segment: str, windows) -> dict[int, int]:
-        return {r["w"]: r["count"] for r in self.rows(segment, windows).groupBy("w").count().collect()}
+        return {r["_cf_w"]: r["count"] for r in self.rows(segment, windows).groupBy("_cf_w").count().collect()}
 
     def evaluate(self, train: list[tuple[int, int, int]], test: list[tuple[int, int, int]], pairs: list[tuple[int, int]]) -> dict[tuple[int, int], dict[str, float]]:
         """Metrics of each pair (train window, test window)."""
         spark = self.df.sparkSession
-        wanted = spark.createDataFrame(pairs, "m int, w int")
-        tested = self.rows("test", test).join(F.broadcast(wanted), "w")
-        fitted = self.rows("train", train).withColumnRenamed("w", "m")
+        wanted = spark.createDataFrame(pairs, "_cf_m int, _cf_w int")
+        tested = self.rows("test", test).join(F.broadcast(wanted), "_cf_w")
+        fitted = self.rows("train", train).withColumnRenamed("_cf_w", "_cf_m")
         if isinstance(self.model, NativeModel):
             keys = list(self.model.keys)
-            states = fitted.groupBy("m", *keys).agg(*self.model.state(self.target, self.features))
+            states = fitted.groupBy("_cf_m", *keys).agg(*self.model.state(self.target, self.features))
             if keys:
-                tested = tested.join(states, ["m", *keys], "left").join(fitted.groupBy("m").agg(self.model.state(self.target, self.features)[0].alias("_cf_all")), "m")
+                tested = tested.join(states, ["_cf_m", *keys], "left").join(fitted.groupBy("_cf_m").agg(self.model.state(self.target, self.features)[0].alias("_cf_all")), "_cf_m")
             else:
-                tested = tested.join(states, "m")
-            scored = tested.select("m", "w", named(self.target).alias("y"), self.model.predict(self.features).alias("p"))
+                tested = tested.join(states, "_cf_m")
+            scored = tested.select(F.col("_cf_m").alias("m"), F.col("_cf_w").alias("w"), named(self.target).alias("y"), self.model.predict(self.features).alias("p"))
         else:
             model, target, features = self.model, self.target, self.features
-            both = fitted.withColumn("w", F.lit(-1)).unionByName(tested.select(fitted.columns[0], *[c for c in fitted.columns if c != fitted.columns[0]], "w"))
+            both = fitted.withColumn("_cf_w", F.lit(-1)).unionByName(tested.select(*[named(c) for c in fitted.columns], "_cf_w"))
 
             def run(group: pd.DataFrame) -> pd.DataFrame:
-                train = group[group["w"] < 0].sort_values("_cf_t", kind="stable")
-                test = group[group["w"] >= 0].sort_values("_cf_t", kind="stable")
+                train = group[group["_cf_w"] < 0].sort_values("_cf_t", kind="stable")
+                test = group[group["_cf_w"] >= 0].sort_values("_cf_t", kind="stable")
                 own = copy.deepcopy(model)
                 own = own.fit(train[features], train[target]) or own
-                return pd.DataFrame({"m": test["m"], "w": test["w"], "y": test[target].astype(float), "p": own.predict(test[features]) if len(test) else []}).astype({"p": float})
+                return pd.DataFrame({"m": test["_cf_m"], "w": test["_cf_w"], "y": test[target].astype(float), "p": own.predict(test[features]) if len(test) else []}).astype({"p": float})
 
-            scored = both.groupBy("m").applyInPandas(run, "m int, w int, y double, p double")
+            scored = both.groupBy("_cf_m").applyInPandas(run, "m int, w int, y double, p double")
         from chronofold.operators.runner import FoldRuns
 
         holder = FoldRuns.__new__(FoldRuns)

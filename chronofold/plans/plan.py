@@ -114,22 +114,21 @@ SimulationPlan = PartitionPlan
 
 
 def diagnose(plan: PartitionPlan, least_train: int = 10, least_test: int = 5) -> dict[str, object]:
-    """What is questionable about a plan: every fold of it is looked at."""
+    """What is wrong with a plan (issues) and what is merely worth a look (warnings): every fold of it is looked at."""
     folds = plan.folds
-    warnings = []
     if not folds:
-        return {"valid": False, "total_folds": 0, "warnings": ["no folds"]}
-    if any(n == 0 for f in folds for n in f.counts.values()):
-        warnings.append("empty segments")
-    if any(f.is_partial for f in folds):
-        warnings.append("partial folds")
-    if any("train" in f.boundaries and "test" in f.boundaries and f.boundaries["test"].start < f.boundaries["train"].end for f in folds):
-        warnings.append("test starts before train ends")
-    if min(f.counts["train"] for f in folds) < least_train:
-        warnings.append(f"fewer than {least_train} train rows")
-    if min(f.counts["test"] for f in folds) < least_test:
-        warnings.append(f"fewer than {least_test} test rows")
-    return {"valid": not warnings, "total_folds": len(folds), "warnings": warnings}
+        return {"valid": False, "total_folds": 0, "issues": ["the policy gives no folds"], "warnings": []}
+    issues = [f"{s} is empty in some fold" for s in plan.segments if any(f.counts[s] <= 0 for f in folds)]
+    edges = [(f.boundaries["train"].end, f.boundaries["test"].start) for f in folds if {"train", "test"} <= set(f.boundaries)]
+    if any(start < end for end, start in edges):
+        issues.append("test starts before train ends in some fold")
+    warnings = ["some folds are partial"] if any(f.is_partial for f in folds) else []
+    if any(start == end for end, start in edges):
+        warnings.append("test starts at the instant that train ends in some fold")
+    for segment, least in (("train", least_train), ("test", least_test)):
+        if any(f.counts.get(segment, least) < least for f in folds):
+            warnings.append(f"{segment} has fewer than {least} rows in some fold")
+    return {"valid": not issues, "total_folds": len(folds), "issues": issues, "warnings": warnings}
 
 
 def summarize(plan: PartitionPlan) -> dict[str, object]:

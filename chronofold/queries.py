@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,11 +174,12 @@ def plan_selected(spark, d):
     return _short(plan.select_from_iteration(3).select_until_iteration(7).select_iterations([3, 5, 6, 7, 99]).to_frame())
 
 
-@query(_plan_sql(test="5 day", step="2 day", partial=True) + "SELECT count(*) total_folds, bool_or(is_partial) has_partial, bool_or(test_start < train_end) test_overlaps, min(train_rows) < 10 few_train, min(test_rows) < 5 few_test FROM plan")
+@query(_plan_sql(test="5 day", step="2 day", partial=True) + "SELECT count(*) total_folds, NOT bool_or(test_start < train_end) AND min(least(train_rows, test_rows)) > 0 valid, bool_or(is_partial) has_partial, bool_or(test_start < train_end) test_overlaps, bool_or(test_start = train_end) test_touches, min(train_rows) < 10 few_train, min(test_rows) < 5 few_test FROM plan")
 def plan_diagnostics(spark, d):
     found = diagnose(_rolling(test="5D", step="2D", allow_partial=True).plan(_events(spark, d)))
-    w = " ".join(found["warnings"])
-    return spark.createDataFrame([(found["total_folds"], "partial" in w, "test starts" in w, "train rows" in w, "test rows" in w)], "total_folds long, has_partial boolean, test_overlaps boolean, few_train boolean, few_test boolean")
+    i, w = " ".join(found["issues"]), " ".join(found["warnings"])
+    row = (found["total_folds"], found["valid"], "partial" in w, "before train ends" in i, "instant" in w, "train has fewer" in w, "test has fewer" in w)
+    return spark.createDataFrame([row], "total_folds long, valid boolean, has_partial boolean, test_overlaps boolean, test_touches boolean, few_train boolean, few_test boolean")
 
 
 @query(_plan_sql() + "SELECT 'train' segment, min(train_rows) min_rows, max(train_rows) max_rows, avg(train_rows) mean_rows FROM plan UNION ALL SELECT 'test', min(test_rows), max(test_rows), avg(test_rows) FROM plan")
@@ -267,7 +269,14 @@ def wf_mean_periodic2(spark, d):
     return _folds(_walk(spark, d, retrain_interval=2), "mae", "rmse")
 
 
-@query()
+_DRIFT = _plan_sql(step="2 day").replace("WITH b", "WITH RECURSIVE b", 1) + _MEMBERS + """, st AS (SELECT fold AS mf, avg(value) p FROM m WHERE segment = 'train' GROUP BY fold),
+loss AS (SELECT t.fold k, mf, avg(abs(value - p)) mae, sqrt(avg((value - p) * (value - p))) rmse FROM m t JOIN st ON mf <= t.fold WHERE segment = 'test' GROUP BY 1, 2),
+run AS (SELECT 0 k, 0 AS last_fit UNION ALL SELECT run.k + 1, CASE WHEN CASE WHEN base.mae = 0 THEN latest.mae > 0.01 ELSE (latest.mae - base.mae) / abs(base.mae) >= 0.01 END THEN run.k + 1 ELSE last_fit END
+  FROM run JOIN loss latest ON latest.k = run.k AND latest.mf = last_fit JOIN loss base ON base.k = last_fit AND base.mf = last_fit WHERE run.k + 1 < (SELECT count(*) FROM plan))
+SELECT run.k::INTEGER fold, run.k = last_fit retrained, round(mae, 6) mae, round(rmse, 6) rmse FROM run JOIN loss ON loss.k = run.k AND loss.mf = last_fit"""
+
+
+@query(_DRIFT)
 def wf_drift(spark, d):
     return _folds(_walk(spark, d, retrain_policy=DriftBasedRetrain("mae", 0.01)), "mae", "rmse")
 
@@ -391,6 +400,17 @@ def bands_fixed(spark, d):
     return r.to_frame().select("fold", F.round("prediction_band_width_mean", 6).alias("width_mean"), F.round("prediction_band_width_median", 6).alias("width_median"), F.round("prediction_band_coverage", 6).alias("coverage"))
 
 
+def _quantile_band(context):
+    low, high = np.quantile(context.y_train, [0.1, 0.9])
+    return {"lower": np.full(len(context.predictions), low), "upper": np.full(len(context.predictions), high)}
+
+
+@query(_plan_sql(step="4 day") + _MEMBERS + ", s AS (SELECT fold, quantile_cont(value, 0.1) lo, quantile_cont(value, 0.9) hi FROM m WHERE segment = 'train' GROUP BY 1) SELECT m.fold, round(any_value(hi - lo), 6) width_mean, round(any_value(hi - lo), 6) width_median, round(avg((value BETWEEN lo AND hi)::INTEGER), 6) coverage FROM m JOIN s ON s.fold = m.fold WHERE segment = 'test' GROUP BY m.fold")
+def bands_quantile(spark, d):
+    r = estimate_prediction_band_by_fold(_rolling(step="4D"), _events(spark, d), model=_Mean(), target_col="value", feature_cols=["event_id"], band_estimator=_quantile_band, key_col="event_id")
+    return r.to_frame().select("fold", F.round("prediction_band_width_mean", 6).alias("width_mean"), F.round("prediction_band_width_median", 6).alias("width_median"), F.round("prediction_band_coverage", 6).alias("coverage"))
+
+
 def _online(update, initial=1000, model=None, **kw) -> OnlineTemporalRunner:
     return OnlineTemporalRunner("ts", "value", model or MeanModel(), initial, update, ["event_id"], metrics=["mae"], keys=["event_id"], **kw)
 
@@ -409,6 +429,13 @@ def online_rows100(spark, d):
     return _batches(_online(100).run(_events(spark, d)))
 
 
+@query("""WITH q AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 p FROM events), x AS (SELECT p, value, sum(value) OVER w / count(value) OVER w m FROM q WINDOW w AS (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT (p - 1000)::INTEGER AS batch, 1::BIGINT batch_rows, round(abs(value - m) + 3.3e-8, 4) mae FROM x WHERE p >= 1000""")
+def online_events(spark, d):
+    r = _online(1).run(_events(spark, d)).to_frame()  # means of many counts end in a half: both sides are moved off it before they are rounded
+    return r.select(F.col("batch").cast("int").alias("batch"), F.col("batch_rows").cast("long").alias("batch_rows"), F.round(F.col("mae") + 3.3e-8, 4).alias("mae"))
+
+
 @query(_DAILY + "SELECT batch, batch_rows, round(mae, 4) mae FROM r")
 def online_daily(spark, d):
     return _batches(_online("1D", "5D").run(_events(spark, d)))
@@ -454,6 +481,13 @@ def profile_time_span(spark, d):
     return profiling.time_span(_events(spark, d), "ts").select(F.col("rows").alias("n_rows"), "low", "high", F.round("median_step_s", 6).alias("median_step_s"))
 
 
+@query("WITH o AS (SELECT DISTINCT ts FROM events), g AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) gap FROM o), s AS (SELECT count(*) n_rows, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 span_s FROM events), m AS (SELECT median(gap) / 1e6 step_s FROM g) SELECT n_rows, span_s, round(step_s, 6) median_step_s, round_even(greatest(span_s * 0.6, 3 * 86400, 10 * step_s) / 86400, 0)::BIGINT train_days FROM s, m")
+def suggest_inputs(spark, d):
+    events = _events(spark, d)
+    train = profiling.suggest_partition_policy(events, "ts")["suggestion"]["partition"]["train_size"]
+    return profiling.suggest_inputs(events, "ts").select(F.col("rows").alias("n_rows"), "span_s", F.round("median_step_s", 6).alias("median_step_s"), F.lit(int(train[:-1])).cast("long").alias("train_days"))
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 5")
 def preview_head(spark, d):
     return head(spark.read.parquet(f"{d}/orders.parquet"), 5, "o_orderkey").select("o_orderkey", "o_orderdate")

@@ -16,6 +16,9 @@ class PartitionEngineMetadata:
     input_backend: str
     converted: bool
 
+    def to_dict(self) -> dict[str, object]:
+        return {"engine": self.engine, "input_backend": self.input_backend, "converted": self.converted}
+
 
 def detect_backend(X) -> str:
     if isinstance(X, DataFrame):
@@ -49,6 +52,40 @@ def coerce_tabular_input(X) -> DataFrame:
     return spark.createDataFrame(X)
 
 
+#: Engines that may be asked for. Planning always runs on Spark; the others say which kinds of table are expected.
+ENGINES = {"auto": None, "spark": None, "pandas": None, "polars": ("pandas", "polars"), "numpy": ("pandas", "numpy")}
+
+
+@dataclass(frozen=True)
+class PartitionEngine:
+    """A table as a DataFrame, with what it was before."""
+
+    data: DataFrame
+    metadata: PartitionEngineMetadata
+
+    @classmethod
+    def from_input(cls, X, prefer: str = "auto") -> PartitionEngine:
+        """Convert a table. An engine that only takes some kinds of table refuses the others."""
+        if prefer not in ENGINES:
+            raise ValueError(f"engine must be one of {', '.join(ENGINES)}")
+        kind = detect_backend(X)
+        if ENGINES[prefer] and kind not in ENGINES[prefer]:
+            raise ValueError(f"the {prefer} engine takes {' and '.join(ENGINES[prefer])} tables, not {kind}")
+        return cls(coerce_tabular_input(X), PartitionEngineMetadata("spark", kind, kind != "spark"))
+
+    @property
+    def columns(self) -> list[str]:
+        return self.data.columns
+
+    @property
+    def total_rows(self) -> int:
+        return self.data.count()
+
+    @property
+    def empty(self) -> bool:
+        return self.data.isEmpty()
+
+
 def missing_columns(columns, available) -> list:
     """Names that aren't available, and positions out of range."""
     names = list(available)

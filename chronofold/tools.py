@@ -36,18 +36,19 @@ def preview_local_dataset(spark, path: str, sample_rows: int = 5):
     return json_ready(preview_dataset(spark, path, sample_rows))
 
 
-def inspect_local_dataset(spark, source):
-    return json_ready(profiling.inspect_dataset(_table(spark, source)))
+def inspect_local_dataset(spark, source, sample_rows: int | None = 5_000, preview_rows: int = 5, full_scan: bool = False):
+    """Profiles and candidates from the first rows, or with full_scan from all."""
+    return json_ready(profiling.inspect_dataset(_table(spark, source), preview_rows=preview_rows, sample_rows=None if full_scan else sample_rows))
 
 
-def suggest_temporal_partition_policy(spark, source, time_col: str, objective: str = "general"):
+def suggest_temporal_partition_policy(spark, source, time_col: str | None = None, objective: str = "walk_forward"):
     return json_ready(profiling.suggest_partition_policy(_table(spark, source), time_col, objective))
 
 
-def inspect_and_recommend_local_dataset(spark, source, objective: str = "general"):
+def inspect_and_recommend_local_dataset(spark, source, objective: str = "walk_forward", sample_rows: int | None = 5_000, full_scan: bool = False):
     df = _table(spark, source)
-    found = profiling.inspect_dataset(df)
-    first = found["time_candidates"][0][0] if found["time_candidates"] else None
+    found = profiling.inspect_dataset(df, sample_rows=None if full_scan else sample_rows)
+    first = found["time_candidates"][0]["name"] if found["time_candidates"] else None
     return json_ready(found | {"recommendation": profiling.suggest_partition_policy(df, first, objective) if first else None})
 
 

@@ -177,3 +177,94 @@ def test_online_study(daily):
     assert list(r.records["updates"]) == [4, 2] and list(r.records["total_update_cost"]) == [4, 3]
     assert r.find_optimal_policy()["policy"] == "often" and r.find_optimal_policy(update_cost_weight=10)["policy"] == "seldom"
     assert r.metric_trajectory().count() == 6
+
+
+NAMES = ["position", "fold", "segment", "m", "k", "w", "batch", "y", "p", "row_id2"]
+
+
+@pytest.fixture
+def odd_names(daily):
+    return daily(12).selectExpr("*", *(f"feature AS {n}" for n in NAMES))
+
+
+def test_features_may_have_any_name(odd_names):
+    for model in (cf.MeanModel(), Mean()):
+        for size in ("4D", 4):
+            policy = cf.WalkForwardPolicy(time_col="timestamp", partition=cf.TemporalPartitionSpec(train_size=size, test_size="2D" if size == "4D" else 2), step="2D" if size == "4D" else 2, keys=["row_id"])
+            r = cf.WalkForwardRunner(model=model, target_col="target", feature_cols=NAMES, metrics=["mae"], key_col="row_id").run(policy, odd_names)
+            assert set(r.records["mae"]) == {3.0} and r.predictions.count() == 2 * len(r.records)
+        r = cf.OnlineTemporalRunner("timestamp", "target", model, 4, 2, NAMES, metrics=["mae"], keys=["row_id"]).run(odd_names)
+        assert list(r.records["batch_rows"]) == [2] * 4
+        study = cf.TrainHistoryPolicy("timestamp", cutoff="2024-01-08", train_sizes=["2D", "4D"], test_size="2D")
+        assert list(study.evaluate(odd_names, model=model, target_col="target", feature_cols=NAMES, metrics=["mae"]).records["train_rows"]) == [2, 4]
+    from chronofold.operators.runner import features_of
+
+    assert set(NAMES) <= set(features_of(odd_names, "target", None, cf.TemporalSemanticsSpec("timestamp"))[1])
+
+
+def test_positional_slices_keep_a_column_called_position(odd_names):
+    policy = cf.WalkForwardPolicy(time_col="timestamp", partition=cf.TemporalPartitionSpec(train_size=4, test_size=2), step=2, keys=["row_id"])
+    split = next(iter(policy.plan(odd_names).iter_splits()))
+    assert split.segment("test").columns == odd_names.columns and sorted(r["position"] for r in split.segment("test").collect()) == [4, 5]
+
+
+def test_retrain_arguments():
+    from chronofold.operators.runner import policy_of
+
+    assert type(policy_of(False, 2, None)) is type(policy_of("never", 3, None)) is cf.NeverRetrain
+    assert type(policy_of("always", 2, None)) is type(policy_of(True, 1, None)) is cf.AlwaysRetrain
+    assert policy_of(True, 3, None).every == policy_of("periodic", 3, None).every == 3
+    for bad in (("periodic", None, None), ("weekly", None, None), (True, 2, cf.NeverRetrain())):
+        with pytest.raises(ValueError):
+            policy_of(*bad)
+
+
+def test_zero_baseline():
+    assert not worsened(0.0, 0.0, 0.0, False, True) and not worsened(0.1, 0.0, 0.1, False, True) and worsened(0.11, 0.0, 0.1, False, True)
+    assert worsened(0.1, 0.0, 0.1, False, False) and not worsened(-0.1, 0.0, 0.1, True, True)
+
+
+def test_drift_falls_back_to_the_first_row():
+    import pandas as pd
+
+    history = pd.DataFrame({"fold": [3, 4], "retrained": [True, False], "mae": [1.0, 1.5]})
+    for last in (None, 9):
+        assert cf.DriftBasedRetrain("mae", 0.4).should_retrain(cf.RetrainContext(5, None, history, {}, last))
+
+
+def test_trigger_signals(daily):
+    seen = []
+
+    def trigger(history, latest):
+        seen.append((len(history), history["mae"].iloc[-1] == latest["mae"]))
+        return [{"retrain": False, "reason": "calm"}, {"retrain": True, "checkpoint": False, "level": 2}, {"checkpoint": False}, True][latest["batch"]]
+
+    r = online(4, 1, retrain_trigger=trigger).run(daily(8)).records
+    assert list(r["retrain_checkpoint"]) == [False, True, False, True] and seen == [(i, True) for i in (1, 2, 3, 4)]
+    assert r["retrain_reason"].iloc[0] == "calm" and r["retrain_level"].iloc[1] == 2
+
+
+def test_spans_and_cells_of_any_size_agree(daily, monkeypatch):
+    from chronofold.functions import timeline
+    from chronofold.operators import online as module
+
+    odd = daily(40).selectExpr("row_id", "CASE WHEN row_id % 3 = 0 THEN null WHEN row_id < 20 THEN timestamp ELSE timestamp_ntz'2024-05-05' + make_interval(0, 0, 0, 0, 0, 0, row_id % 4) END AS timestamp", "feature", "target")
+    rows = sorted((r["timestamp"] is None, r["timestamp"], r["row_id"]) if r["timestamp"] else (True, None, r["row_id"]) for r in odd.collect())
+    want = [i for _, _, i in rows]
+    for cells, most in ((16, 1_000_000), (2, 1), (1, 3)):
+        monkeypatch.setattr(timeline, "LEAST_CELLS", cells)
+        monkeypatch.setattr(timeline, "RANGE_ROWS", most)
+        found = timeline.with_position(odd, timeline.as_time(odd, "timestamp"), ["row_id"]).collect()
+        assert [r["row_id"] for r in sorted(found, key=lambda r: r[timeline.POSITION])] == want and sorted(r[timeline.POSITION] for r in found) == list(range(40))
+    monkeypatch.setattr(module, "SPAN", 2)
+    assert list(online(4, 1).run(daily(8)).records["mae"]) == [2.5, 3, 3.5, 4]
+    assert [b.day for b in online("1D", "1D").run(daily(9).where("row_id in (0, 1, 4, 7)")).records["batch_start"]] == [2, 5, 8]
+
+
+def test_without_keys_ties_follow_all_columns(daily):
+    from chronofold.functions import timeline
+
+    tied = daily(9).selectExpr("timestamp_ntz'2024-01-01' AS timestamp", "8 - feature AS feature", "map('a', row_id) AS other")
+    for _ in range(2):
+        found = timeline.with_position(tied.repartition(3), timeline.as_time(tied, "timestamp"), []).collect()
+        assert [r["feature"] for r in sorted(found, key=lambda r: r[timeline.POSITION])] == list(range(9))

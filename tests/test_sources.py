@@ -2,6 +2,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from chronofold import tools
@@ -48,7 +49,7 @@ def test_adapters(spark):
 def test_tools(spark, files):
     path = str(files / "x.csv")
     found = tools.inspect_local_dataset(spark, path)
-    assert found["total_rows"] == 40 and found["time_candidates"][0][0] == "timestamp" and found["target_candidates"][0][0] == "target"
+    assert found["total_rows"] == 40 and found["time_candidates"][0]["name"] == "timestamp" and found["target_candidates"][0]["name"] == "target"
     policy = {"time_col": "timestamp", "partition": {"train_size": "10D", "test_size": "5D"}, "step": "5D"}
     assert tools.validate_temporal_partition_policy(spark, path, **policy)["total_folds"] == 5
     assert len(tools.plan_walk_forward_simulation(spark, path, preview=2, **policy)["folds"]) == 2
@@ -56,8 +57,19 @@ def test_tools(spark, files):
     assert tools.run_simulation_campaign(spark, path, {"a": policy})[0]["total_folds"] == 5
     assert tools.run_walk_forward_baseline_model(spark, path, "target", **policy)["summary"]["total_folds"] == 5
     assert tools.compare_retrain_policy_baselines(spark, path, "target", **policy)["never"]["retrains"] == 1
-    assert tools.suggest_temporal_partition_policy(spark, path, "timestamp")["train_size"] == "23D"
-    assert tools.inspect_and_recommend_local_dataset(spark, path)["recommendation"]["time_col"] == "timestamp"
+    assert found["sampled"] and found["target_candidates"][0]["score"] == 1.45 and not found["warnings"]
+    suggested = tools.suggest_temporal_partition_policy(spark, path)["suggestion"]
+    assert suggested["partition"] == {"layout": "train_test", "train_size": "23D", "test_size": "1D"} and suggested["max_folds"] == 20
+    weekly = tools.suggest_temporal_partition_policy(spark, path, "timestamp", "weekly_retraining")["suggestion"]
+    assert weekly["step"] == weekly["partition"]["test_size"] == "7D" and weekly["partition"]["train_size"] == "23D"
+    online = tools.suggest_temporal_partition_policy(spark, path, "timestamp", "online")["suggestion"]
+    assert online["initial_train_size"] == "12D" and online["update_size"] == 1
+    for bad in ({"objective": "monthly"}, {"time_col": "absent"}):
+        with pytest.raises(ValueError):
+            tools.suggest_temporal_partition_policy(spark, path, **bad)
+    with pytest.raises(ValueError):
+        tools.suggest_temporal_partition_policy(spark, spark.createDataFrame([("x",), ("y",)], "timestamp string"), "timestamp")
+    assert tools.inspect_and_recommend_local_dataset(spark, path, full_scan=True)["recommendation"]["suggestion"]["time_col"] == "timestamp"
     assert set(tools.compare_temporal_partition_strategies(spark, path, {"a": policy})) == {"a"}
     best = tools.find_train_history_window_baseline(spark, path, "target", "timestamp", "2024-01-20", ["5D", "10D"], "3D")
     assert best["optimal"]["train_rows"] == 5
@@ -76,3 +88,30 @@ def test_stream(spark, tmp_path):
     batch = prequential_mse(window_sums(rows, "ts", "value", "10 hours", "0 seconds")).orderBy("window_start").collect()
     assert found == batch and len(found) >= 3
     assert sessions(rows.withColumn("k", rows["k"] % 2), "ts", "k", "3 hours", "1 hour").count() == 2
+
+
+def test_engines_and_their_metadata(spark):
+    from chronofold.operators.splitting import TemporalBacktestSplitter
+    from chronofold.plans.spec import TemporalPartitionSpec
+    from chronofold.sources.adapters import PartitionEngine
+
+    pdf = pd.DataFrame({"t": pd.date_range("2024-01-01", periods=9), "v": range(9)})
+    found = PartitionEngine.from_input(pdf)
+    assert found.metadata.to_dict() == {"engine": "spark", "input_backend": "pandas", "converted": True} and found.columns == ["t", "v"] and found.total_rows == 9 and not found.empty
+    assert not PartitionEngine.from_input(spark.createDataFrame(pdf)).metadata.converted
+    make = lambda engine: TemporalBacktestSplitter(time_col="t", partition=TemporalPartitionSpec(train_size="3D", test_size="2D"), step="2D", engine=engine)
+    assert make("pandas").plan(pdf).materialize().engine_metadata.input_backend == "pandas"
+    for call in (lambda: make("duck"), lambda: make("polars").plan(spark.createDataFrame(pdf)), lambda: make("numpy").plan(pa.Table.from_pandas(pdf))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_time_indexer(daily):
+    from chronofold.operators.splitting import TimeIndexer
+
+    index = TimeIndexer(daily(8), "timestamp", ["row_id"])
+    assert (index.total_rows, index.min_time.day, index.max_time.day) == (8, 1, 8)
+    assert index.timestamp_at(2).day == 3 and index.timestamp_at(-1).day == 8 and index.bounds_between("2024-01-02", "2024-01-05") == (1, 4)
+    assert sorted(r["row_id"] for r in index.slice_positional(1, 3).collect()) == [1, 2] and index.slice_between("2024-01-02", "2024-01-05").count() == 3
+    with pytest.raises(IndexError):
+        index.timestamp_at(8)
