@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,49 +10,28 @@ from chronofold.llm import decontaminate, lines, near_duplicates, packing, toxic
 from chronofold.llm.common import drop_made, made_since, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_made: list[str] = []
 
 
-def stage(f: Stage) -> Stage:
-    """A stage's work tables go when the next stage begins: by then its result has been written."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_made(spark, _made)
-        _made.clear()
-        with made_since() as made:
-            out = f(spark, docs, sf_dir)
-        _made.extend(made)
-        return out
-
-    return run_stage
-
-
-@stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, doesn't call toxic."""
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-@stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line, up to an edit, stays where it is first; a document that has no line left goes."""
     return lines.clean(docs)
 
 
-@stage
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five words are similar to 0.8."""
     return near_duplicates.clean(docs, width=5, percent=80)
 
 
-@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences."""
     return packing.pack(docs)
@@ -67,13 +45,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Learned scores and tokens: SQL cannot express the stages; tests check that they drop rows and keep columns, not which rows.
+#: Learned scores, edit distances and tokens: SQL cannot express the stages; tests hold the rows of each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again; the work tables of a stage go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
-        docs = written(apply(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with made_since() as made:
+            found = apply(spark, docs, sf_dir)
+        docs = written(found, f"stage-{name.replace(' ', '-')}")
+        drop_made(spark, made)
     return docs
