@@ -1,13 +1,48 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links: by alternating large-star and small-star steps, or in one task where links are few."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import forget, written
 
 
+#: Links (16 bytes each) that one task takes; more are worked on in star steps over all tasks.
+FEW = 500_000
+
+
+def _solve(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node that each reaches): every node takes the least label over its links, and labels are followed to their own, until none changes."""
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = code[: len(u)], code[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (label[a], label[b]):
+            np.minimum.at(new, at, least)
+        while (further := new[new] != new).any():
+            new[further] = new[new[further]]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+        if held:
+            nodes, least = _solve(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -19,6 +54,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     many links is only ever reduced by a minimum or joined to one row, so its links may lie in many tasks.
     """
     links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    if links.count() <= FEW:
+        return _in_one_task(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both).withColumn("m", F.least("m", "u")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -10,11 +10,13 @@ from the end: min(i, k - i) places from where it is measured. A segment's key is
 line has the key of every such place, and neighbouring places mostly share one, so a line has about two keys for each segment instead of
 one for each place, and no near pair is without a common key. Pairs are verified by an edit distance over the band of k cells beside the diagonal.
 
-A bucket isn't spread into all its pairs: members are compared with one centre first, then, where a bucket still has several classes, in blocks.
+A bucket isn't spread into all its pairs: members are compared with one centre, the least of them, first, and then, where a bucket still has several classes,
+with each other in blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as V
-from chronofold.llm.common import col, free, map_arrow, small_batches, written
+from chronofold.llm.common import col, forget, free, map_arrow, small_batches, written
 from chronofold.llm.components import components, extended
 
 _U = np.uint64
@@ -39,6 +41,7 @@ EDITS, PER = 8, 20
 MAP_BITS = 26
 #: A character that makes a line one that isn't blank.
 INK = r"[^\x00-\x20\xA0]"
+BLANK = re.compile(r"[\x00-\x20\xA0]*")
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -107,26 +110,23 @@ def length_classes(longest: int, edits: int, per: int | None) -> list[tuple[int,
     return out
 
 
-def _chunks(texts: pa.Array, size: int = V.CHUNK) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts in groups of about a size, long ones in parts that end at line ends: (parts, text of each)."""
-    held, rows, total = [], [], 0
-    for i, text in enumerate(texts.to_pylist()):
+def _chunks(texts: pa.Array, least: int, size: int = V.CHUNK) -> Iterator[list[str]]:
+    """The distinct lines of texts that aren't blank and have `least` characters, in groups of about a size; a longer line is a group with others."""
+    held, total = set(), 0
+    for text in texts.to_pylist():
         text, at = text or "", 0
-        while True:
-            end = len(text)
-            if end - at > size and (cut := text.find("\n", at + size)) >= 0:
-                end = cut
-            held.append(text[at:end])
-            rows.append(i)
-            total += end - at + 1
+        while at <= len(text):
+            cut = text.find("\n", at + size) if len(text) - at > size else -1
+            for line in text[at : cut if cut >= 0 else len(text)].split("\n"):
+                if len(line) >= least and line not in held:
+                    held.add(line)
+                    total += len(line) + 1
             if total >= size:
-                yield held, rows
-                held, rows, total = [], [], 0
-            if end == len(text):
-                break
-            at = end + 1
+                yield list(held)
+                held, total = set(), 0
+            at = cut + 1 if cut >= 0 else len(text) + 1
     if held:
-        yield held, rows
+        yield list(held)
 
 
 def _least_of(value: np.ndarray, width: int) -> np.ndarray:
@@ -139,51 +139,49 @@ def _least_of(value: np.ndarray, width: int) -> np.ndarray:
     return value
 
 
-def line_entries(texts: pa.Array, edits: int = EDITS, per: int | None = PER, keys: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """For groups of lines: (text and 64-bit hash of each distinct line, line and bucket key of its entries, the lines). Lines that allow no edit aren't among them."""
+def line_entries(texts: pa.Array, edits: int = EDITS, per: int | None = PER, keys: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """For groups of lines: (64-bit hash of each distinct line, line and bucket key of its entries, the lines). Lines that allow no edit aren't among them."""
     least = min((c[0] for c in length_classes(1 << 20, edits, per)), default=1 << 62)
-    for held, rows in _chunks(texts):
-        whole = "\n".join(held) + "\n"
-        data = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        end = np.flatnonzero(data == 10)
-        start = np.concatenate([[0], end[:-1] + 1])
-        part = np.searchsorted(np.cumsum([h.count("\n") + 1 for h in held]), np.arange(len(end)), "right")
-        ink = np.concatenate([[0], np.cumsum((data > 32) & (data != 0xA0))])
-        some = (ink[end] > ink[start]) & (end - start >= least)
-        start, end, part = start[some], end[some], part[some]
+    for lines in _chunks(texts, least):
+        lines = sorted((x for x in lines if BLANK.fullmatch(x) is None), key=len)  # so that a length class is one stretch of the characters
+        if not lines:
+            continue
+        data = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        start = np.cumsum(length + 1) - length - 1
         up, down = V.powers(len(data) + 1)
         total = np.zeros(len(data) + 1, _U)
-        np.cumsum(V.mix(data.astype(_U) + _U(1)) * up[: len(data)], out=total[1:])
-        length = end - start
-        name = V.mix((total[end] - total[start]) * down[start] + V.mix(length.astype(_U)))
-        name, first = np.unique(name, return_index=True)
-        start, length, part = start[first], length[first], part[first]
+        np.cumsum(data * up[: len(data)], out=total[1:])
+        name = V.mix((total[start + length] - total[start]) * down[start] + V.mix(length.astype(_U)))
         owner, found = [], []
-        classes = length_classes(int(length.max(initial=0)), edits, per) if keys else []
+        classes = length_classes(int(length[-1]), edits, per) if keys else []
         for (low, own, size), high in zip(classes, [*(c[0] for c in classes[1:]), 1 << 40]):
-            lines = np.flatnonzero((length >= low) & (length < high + own))  # those of the class, and longer ones that are near enough to one of them
-            if not len(lines):
+            # Lines of the class, and longer ones that are near enough to one of them.
+            a, b = np.searchsorted(length, [low, high + own])
+            if a == b:
                 continue
             q = max(1, size * 3 // 4)
-            # Hashes of the q-grams of these lines, one line after the other, and the least hash of those in a segment from each place on.
-            n = length[lines] - q + 1
-            at = V.ragged(start[lines], n)
-            least_hash = _least_of((((total[at + q] - total[at]) * down[at]) * _U(0xD6E8FEB86659FD93)) ^ _U(0x5851F42D4C957F2D), size - q + 1)
-            place = np.cumsum(n) - n
+            s, e = int(start[a]), int(start[b - 1] + length[b - 1])
+            # Hashes of the q-grams from each place on, and the least hash of those in a segment from there.
+            least_hash = _least_of((total[s + q : e + 1] - total[s : e + 1 - q]) * down[s : e + 1 - q], size - q + 1)
+            place, who = start[a:b] - s, np.arange(a, b)
             for i in range(own + 1):
                 shift = min(i, own - i)
-                begin = place + (i * size if i <= own - i else length[lines] - (own + 1 - i) * size)
-                value = least_hash[begin[:, None] + np.arange(-shift, shift + 1)]
-                value.sort(axis=1)
-                new = np.ones(value.shape, bool)
-                new[:, 1:] = value[:, 1:] != value[:, :-1]
-                line, _ = np.nonzero(new)
-                owner.append(lines[line])
-                found.append(V.mix(value[new] + V.mix(np.full(1, (low << 8) + i + 1, _U))))
+                begin = place + (i * size if i <= own - i else length[a:b] - (own + 1 - i) * size)
+                value = least_hash[begin] if not shift else least_hash[begin[:, None] + np.arange(-shift, shift + 1)]
+                if shift:
+                    value.sort(axis=1)
+                    new = np.ones(value.shape, bool)
+                    np.not_equal(value[:, 1:], value[:, :-1], out=new[:, 1:])
+                    owner.append(np.repeat(who, new.sum(axis=1)))
+                    value = value[new]
+                else:
+                    owner.append(who)
+                salt = ((low << 8) + i + 1) * 0x9E3779B97F4A7C15 % 2**64
+                found.append((value ^ _U(salt)) * _U(0xD6E8FEB86659FD93))  # the least of many hashes has few high bits
         who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         key = np.concatenate(found) if found else np.zeros(0, _U)
-        texts_of = [] if keys else [whole[a : a + n] for a, n in zip(start.tolist(), length.tolist())]
-        yield np.array(rows)[part], name.view(np.int64), who, key.view(np.int64), texts_of
+        yield name.view(np.int64), who, key.view(np.int64), lines
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -200,18 +198,12 @@ def _map_of(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def _entries(rows: DataFrame, edits: int, per: int | None, slots=None) -> DataFrame:
-    """node (hash of a line), bucket of every line's keys; with slots, only of keys that may be shared."""
+def _entries(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
+    """node (hash of a line), bucket of every line's keys."""
 
     def make():
-        wanted = None if slots is None else slots.value
-
         def each(batch: pa.RecordBatch):
-            for _, name, who, key, _ in line_entries(batch.column("text"), edits, per):
-                if wanted is not None:
-                    slot = _slot(key)
-                    some = (wanted[slot >> 6] >> (slot & 63).astype(_U) & _U(1)).astype(bool)
-                    who, key = who[some], key[some]
+            for name, who, key, _ in line_entries(batch.column("text"), edits, per):
                 yield {"node": name[who], "bucket": key}
 
         return each
@@ -219,37 +211,63 @@ def _entries(rows: DataFrame, edits: int, per: int | None, slots=None) -> DataFr
     return map_arrow(rows.select("text"), make, "node long, bucket long")
 
 
-def _members(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """node, bucket, size of all buckets that several lines are in."""
-    spark = rows.sparkSession
-    entries = _entries(rows, edits, per)
-    shared = written(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
-    slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
-    members = written(_entries(rows, edits, per, slots).join(shared, "bucket", "left_semi").distinct(), "members")
-    return members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").select("bucket", "node", "size")
-
-
-def _texts(rows: DataFrame, ids: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """node, line of the lines whose hash is a node of ids. Two lines of one hash both are there."""
+def _sharing(rows: DataFrame, edits: int, per: int | None, slots) -> DataFrame:
+    """node, line, buckets (keys that other lines may have) of every line that has such keys."""
 
     def make():
         def each(batch: pa.RecordBatch):
-            for _, name, _, _, lines in line_entries(batch.column("text"), edits, per, keys=False):
-                yield {"node": name, "line": lines}
+            wanted = slots.value
+            for name, who, key, lines in line_entries(batch.column("text"), edits, per):
+                slot = _slot(key)
+                some = (wanted[slot >> 6] >> (slot & 63).astype(_U) & _U(1)).astype(bool)
+                who, key = who[some], key[some]
+                order = np.argsort(who, kind="stable")
+                who, key = who[order], key[order]
+                first = np.flatnonzero(np.diff(who, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), pa.array(key))
+                yield {"node": name[who[first]], "line": [lines[i] for i in who[first].tolist()], "buckets": lists}
 
         return each
 
+    return map_arrow(rows.select("text"), make, "node long, line string, buckets array<long>")
+
+
+def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, low of all buckets that several lines are in, low being the least of them; node, line, line_id of these lines).
+
+    Two lines of one hash are two rows of one node, and its pairs are verified for both.
+    """
+    spark = rows.sparkSession
+    ends = _entries(rows, edits, per).groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = written(ends.where("low < high").select("bucket", "low"), "shared")
+    slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
+    sharing = written(_sharing(rows, edits, per, slots), "sharing")
+    entries = sharing.select("node", F.explode("buckets").alias("bucket")).distinct()
+    members = written(entries.join(shared, "bucket"), "members")
+    ids = written(members.select("node").distinct(), "ids")
     few = ids.count() <= MOST_IDS
-    found = map_arrow(rows.select("text"), make, "node long, line string")
-    return found.join(F.broadcast(ids) if few else ids, "node", "left_semi").groupBy("node", F.md5(F.col("line").cast("binary")).alias("line_id")).agg(F.min("line").alias("line"))
+    texts = sharing.select("node", "line").join(F.broadcast(ids) if few else ids, "node", "left_semi").withColumn("line_id", F.md5(F.col("line").cast("binary")))
+    texts = written(texts.dropDuplicates(["node", "line_id"]), "texts")
+    forget(shared, sharing, ids)
+    return members, texts
 
 
-def near_lines(xs: list[str], ys: list[str], edits: int, per: int | None) -> np.ndarray:
+def tallies(lines: list[str]) -> np.ndarray:
+    """How often each line has characters of 64 kinds. An edit changes two counts by one at most, so near lines differ by twice their edits in all at most."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 63
+    return np.bincount(np.repeat(np.arange(len(lines)) << 6, size) + code, minlength=len(lines) << 6).reshape(-1, 64).astype(np.int32)
+
+
+def near_lines(xs: list[str], ys: list[str], edits: int, per: int | None, tally: bool = True) -> np.ndarray:
     """Whether each pair of lines is near: the columns of edit_distance for many pairs at once, short lines of like length together."""
     n, m = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
     limit = np.array([allowed(v, edits, per) for v in np.minimum(n, m).tolist()], np.int64)
     out = np.array([x == y for x, y in zip(xs, ys)], bool)
     todo = np.flatnonzero(~out & (np.abs(n - m) <= limit))
+    if tally and len(todo):
+        unlike = np.abs(tallies([xs[i] for i in todo]) - tallies([ys[i] for i in todo])).sum(axis=1)
+        todo = todo[unlike <= 2 * limit[todo]]
     todo = todo[np.argsort(m[todo], kind="stable")]
     at = 0
     while at < len(todo):
@@ -301,12 +319,9 @@ def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: n
     return np.array(good, np.int64)
 
 
-def _near(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
+def _near(members: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
     """Links (a, b) of each member of a bucket with its centre."""
-    weight = mixed.groupBy("node").agg(F.sum("size").alias("weight"))
-    ranked = mixed.join(weight, "node").select("bucket", "node", F.struct("weight", "node").alias("rank"))
-    centres = ranked.groupBy("bucket").agg(F.max("rank")["node"].alias("b"))
-    pairs = mixed.select("bucket", F.col("node").alias("a")).join(centres, "bucket").where("a <> b").select("a", "b").distinct()
+    pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -325,7 +340,7 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
     lengths = mixed.join(texts.select("node", F.octet_length("line").alias("bytes")), "node")
     size = lengths.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("chunks"))
     buckets = mixed.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # as many as a line has keys
-    members = written(texts.select("node", "line").join(buckets, "node"), "lines-compared")
+    members = texts.select("node", "line").join(buckets, "node")
     dealt = mixed.join(size, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).distinct()
@@ -337,47 +352,67 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             key = frame[["bucket", "i", "j"]].to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                yield _compared(frame.iloc[a:b], edits, per)
+            if len(edge) > 1:
+                yield _compared(frame.iloc[: edge[-1]], edge, edits, per)
             held = frame.iloc[edge[-1] :]
         if held is not None and len(held):
-            yield _compared(held, edits, per)
+            yield _compared(held, np.array([0, len(held)]), edits, per)
 
     parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // 2000))
     ordered = spread.join(members, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def _compared(group: pd.DataFrame, edits: int, per: int | None) -> pd.DataFrame:
-    """Links between classes among the lines of one bucket or of two chunks of one."""
-    bucket, across = int(group["bucket"].iloc[0]), int(group["i"].iloc[0]) != int(group["j"].iloc[0])
-    line, node, chunk = group["line"].tolist(), group["node"].to_numpy(), group["chunk"].to_numpy()
-    shared = [set(b.tolist()) for b in group["buckets"]]
+def _compared(rows: pd.DataFrame, edge: np.ndarray, edits: int, per: int | None) -> pd.DataFrame:
+    """Links between classes among the lines of each group (one bucket, or two chunks of one). edge: where groups start, and the end of the last."""
+    line, node, chunk, bucket = rows["line"].tolist(), rows["node"].to_numpy(), rows["chunk"].to_numpy(), rows["bucket"].to_numpy()
+    shared, own = [frozenset(b.tolist()) for b in rows["buckets"]], rows["component"].to_numpy().copy()
+    across = rows["i"].to_numpy() != rows["j"].to_numpy()
     size = np.array([len(x) for x in line])
     most = np.array([allowed(n, edits, per) for n in size.tolist()])
-    own = group["component"].to_numpy().copy()
-    # An edit changes the counts of at most two characters by one each, so lines whose counts differ by more in all are left out.
-    tally = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64) for x in line]).astype(np.int32)
-    label, where = np.unique(own, return_inverse=True)
-    main = where == np.bincount(where).argmax()  # members of the largest class needn't be compared with each other
-    number, found = np.arange(len(own)), []
-    waiting: list[tuple[int, int]] = []
+    tally = tallies(line)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[int, int]] = []
+
+    def consider(p: np.ndarray, q: np.ndarray) -> None:
+        """Pairs of one group: those that may be near wait to be verified, each in the least bucket that both lines are in."""
+        limit = np.minimum(most[p], most[q])
+        some = (own[p] != own[q]) & (~across[p] | (chunk[p] != chunk[q])) & (np.abs(size[p] - size[q]) <= limit)
+        p, q, limit = p[some], q[some], limit[some]
+        some = np.abs(tally[p] - tally[q]).sum(axis=1) <= 2 * limit
+        p, q = p[some], q[some]
+        first = np.fromiter((min(shared[i] & shared[j]) for i, j in zip(p.tolist(), q.tolist())), np.int64, len(p)) == bucket[p]
+        if first.any():
+            waiting.append((p[first], q[first]))
+            if sum(len(x) for x, _ in waiting) >= 2048:
+                decide()
 
     def decide() -> None:
-        for (p, q), near in zip(waiting, near_lines([line[p] for p, _ in waiting], [line[q] for _, q in waiting], edits, per)):
-            if near and own[p] != own[q]:
-                own[own == max(own[p], own[q])] = min(own[p], own[q])
-                found.append((node[p], node[q]))
+        pairs = [np.concatenate(x) for x in zip(*waiting)] if waiting else [np.zeros(0, np.int64)] * 2
         waiting.clear()
-
-    for p in np.flatnonzero(~main).tolist():
-        some = np.flatnonzero((own != own[p]) & (main | (number > p)) & ((chunk != chunk[p]) | (not across)))
-        limit = np.minimum(most[some], most[p])
-        some, limit = (v[np.abs(size[some] - size[p]) <= limit] for v in (some, limit))
-        some = some[np.abs(tally[some] - tally[p]).sum(axis=1) <= 2 * limit]
-        waiting.extend((p, q) for q in some.tolist() if min(shared[p] & shared[q]) == bucket)
-        if len(waiting) >= 256:
-            decide()
+        for at in range(0, len(pairs[0]), 2048):
+            p, q = (x[at : at + 2048] for x in pairs)
+            apart = own[p] != own[q]
+            p, q = p[apart], q[apart]
+            close = near_lines([line[i] for i in p], [line[i] for i in q], edits, per)
+            for i, j in zip(p[close].tolist(), q[close].tolist()):
+                if own[i] != own[j]:
+                    own[own == max(own[i], own[j])] = min(own[i], own[j])
+                    found.append((node[i], node[j]))
+
+    many = np.diff(edge)
+    small = np.repeat(many <= 48, many)
+    group = np.repeat(np.arange(len(many)), many)
+    for d in range(1, int(many[many <= 48].max(initial=1))):
+        p = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        consider(p, p + d)
+    for g in np.flatnonzero(many > 48).tolist():
+        at = np.arange(edge[g], edge[g + 1])
+        label, where = np.unique(own[at], return_inverse=True)
+        main = where == np.bincount(where).argmax()  # members of the largest class needn't be compared with each other
+        for p in at[~main].tolist():
+            q = at[main | (at > p)]
+            consider(np.full(len(q), p), q)
     decide()
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -398,16 +433,16 @@ def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     each = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(INK))
     lines = written(each.select("rid", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("id")), "lines")
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("first"), F.count("*").alias("copies"))
-    mixed = written(_members(rows, edits, per), "buckets")
-    texts = written(_texts(rows, written(mixed.select("node").distinct(), "ids"), edits, per), "texts")
-    links = written(_near(mixed, texts, edits, per).distinct(), "near")
+    members, texts = _members(rows, edits, per)
+    links = written(_near(members, texts, edits, per).distinct(), "near")
     found = written(components(links), "components")
-    large = mixed.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    large = written(large, "large")
-    apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    more = written(_inside(large.join(written(apart, "apart"), "bucket"), texts, edits, per), "inside")
+    large = written(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "large")
+    apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("bucket")
+    apart = written(apart, "apart")
+    more = written(_inside(large.join(apart, "bucket"), texts, edits, per), "inside")
     if not more.isEmpty():
         found = written(extended(found, more), "components")
+    forget(members, links, large, apart, more)  # the result reads the other tables
     named = texts.join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
     labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))

@@ -72,7 +72,7 @@ def edited(r, a, most):
 
 def keys_of(a, b, *options):
     """The bucket keys of two lines."""
-    (_, name, who, key, _), = line_entries(pa.array([f"{a}\n{b}"]), *options)
+    (name, who, key, _), = line_entries(pa.array([f"{a}\n{b}"]), *options)
     return [set(key[who == i].tolist()) for i in range(len(name))]
 
 
