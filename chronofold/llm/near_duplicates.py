@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import shingles as S
 from chronofold.llm import textvec as V
-from chronofold.llm.common import documents, forget, map_arrow, written
+from chronofold.llm.common import documents, forget, free, map_arrow, written
 from chronofold.llm.components import components, extended
 
 SIGNED = "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch binary"
 #: Coordinates, a byte each, that estimate a similarity before sets are fetched.
 SKETCH = 256
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1000
+#: Members of a bucket that one task compares with as many others, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 1000, 32 << 20
 #: Ids that may be broadcast (8 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
 
@@ -50,9 +50,9 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return map_arrow(docs, make, SIGNED)
 
 
-def _estimate(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sketches are within seven standard errors of the threshold or above."""
-    count = min(SKETCH, 1 << 30)
+def _estimate(pairs: DataFrame, threshold: float, coordinates: int) -> DataFrame:
+    """Pairs whose sketches are within seven standard errors of the threshold or above, for sketches of so many coordinates."""
+    count = min(SKETCH, coordinates)
     limit = threshold - 7 * (threshold * (1 - threshold) / count) ** 0.5
 
     @F.pandas_udf("boolean")
@@ -104,8 +104,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _inside(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside buckets. mixed: bucket, node, size, component."""
-    chunks = mixed.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    """Links between components inside buckets. mixed: bucket, node, size, component. Members are dealt into chunks of bounded number and bytes; a task compares two chunks."""
+    lengths = mixed.join(sets.select("node", F.octet_length("elements").alias("bytes")), "node")
+    sizes = lengths.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("chunks"))
+    chunks = mixed.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = chunks.select("bucket", "node", "component", "chunk", other.alias("other"))
     spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
@@ -146,7 +148,8 @@ def _inside(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found.append((int(node[p]), int(node[q])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return spread.join(sets.select("node", "elements"), "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // 2000))
+    return spread.join(sets.select("node", "elements"), "node").repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, rows: int = 8, miss: float = 1e-6) -> DataFrame:
@@ -158,7 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     threshold = percent / 100
     docs = documents(docs, id_col, text_col)
-    signed = written(_signed(docs, width, S.bands_for(threshold, rows, miss), rows), "signed")
+    bands = S.bands_for(threshold, rows, miss)
+    signed = written(_signed(docs, width, bands, rows), "signed")
     classes = signed.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("node"))
     members = signed.select("doc_id", "n_shingles", "one", "two").join(classes, ["one", "two"], "left")
     nodes = signed.where("n_shingles > 0 and doc_id is not null").join(classes.where("node is not null"), ["one", "two"]).where("doc_id = node").select("node", "n_shingles", "bands", "sketch")
@@ -171,18 +175,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = ranked.groupBy("bucket").agg((-F.max("rank")["id"]).alias("b"))
     pairs = mixed.select("bucket", F.col("node").alias("a")).join(centres, "bucket").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).drop("shared")
     sketches = nodes.select("node", "sketch")
-    near = _estimate(pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b"), threshold)
+    near = _estimate(pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b"), threshold, bands * rows)
     near = written(near.select("a", "b"), "near")
     # Buckets of two are done with their one pair; of larger ones, any member may have to be compared again.
     ids = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(mixed.where("size > 2").select("node")).distinct()
-    sets = written(_sets(docs.where("doc_id is not null"), written(ids, "ids"), width).dropDuplicates(["node", "elements"]), "sets")
+    ids = written(ids, "ids")
+    sets = written(_sets(docs.where("doc_id is not null"), ids, width).dropDuplicates(["node", "elements"]), "sets")
     links = written(_verify(near, sets, percent).distinct(), "verified")
     found = written(components(links), "components")
-    large = mixed.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    large = written(mixed.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "large")
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    apart = written(apart, "apart")
     more = written(_inside(large.join(apart, "bucket"), sets, percent), "inside")
     if not more.isEmpty():
         found = written(extended(found, more), "components")
+    members = written(members, "members")
+    forget(signed, mixed, near, ids, sets, links, large, apart, more)  # the result reads the other tables
     out = members.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
@@ -206,8 +214,8 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON least_of.a = w.doc_id
 
 
 def clean(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of docs but one of each component of near duplicates, with all their columns: the first row stays."""
-    key = "chronofold_rid"
+    """The rows of docs but one of each component of near duplicates, with all their columns, whatever their names: the first row stays. Null and empty texts stay."""
+    key = free(docs, "chronofold_rid")
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    stays = near_duplicates(rows, id_col=key, width=width, percent=percent, **options).where("kept").select(F.col("doc_id").alias(key))
+    stays = near_duplicates(rows.select(key, "text"), id_col=key, width=width, percent=percent, **options).where("kept").select(F.col("doc_id").alias(key))
     return rows.join(stays, key, "left_semi").drop(key)
