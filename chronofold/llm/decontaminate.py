@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as V
-from chronofold.llm.common import col, documents, map_arrow, written
+from chronofold.llm.common import col, documents, free, map_arrow, written
 
-#: Words of test items that one automaton may have; more items make more automata, each with a pass of its own over the documents.
-MOST_WORDS = 2_000_000
+#: Words of test items that one automaton may have (some 400 MB of a Python worker); more items make more automata, each with a pass of its own over the documents.
+MOST_WORDS = 500_000
 FOUND = "rid long, doc_id long, n_words long, spans array<int>, items array<long>"
 
 
@@ -118,6 +119,20 @@ class Automaton:
                     yield i - n, i, items
 
 
+@dataclass(frozen=True, eq=False)
+class Items:
+    """Words of test items, as tasks get them."""
+
+    items: list[tuple[int, np.ndarray]]
+    window: int
+
+
+@lru_cache(1)
+def automaton_of(items: Items) -> Automaton:
+    """One automaton for all tasks of a Python worker that get the same items."""
+    return Automaton(items.items, items.window)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, most_words: int = MOST_WORDS) -> DataFrame:
     """rid, doc_id, n_words, spans (start and end of each run of hit words, in turn), items (whose windows occur) of every document.
 
@@ -156,10 +171,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def _one_pass(rows: DataFrame, items: list[tuple[int, np.ndarray]], window: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    shared = rows.sparkSession.sparkContext.broadcast(Items(items, window))
 
     def make():
-        automaton = Automaton(shared.value, window)
+        automaton = automaton_of(shared.value)
 
         def each(batch: pa.RecordBatch):
             n = np.zeros(batch.num_rows, np.int64)
@@ -214,8 +229,8 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    key = "chronofold_rid"
+    """The rows of docs that aren't contaminated, with all their columns, whatever their names; rows without text or id stay."""
+    key = free(docs, "chronofold_rid")
     docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     gone = judged(find(docs.select(col(key), col("text")), benchmark, id_col=key, window=window), share).where("contaminated").select(F.col("doc_id").alias(key))
     return docs.join(gone, key, "left_anti").drop(key)
