@@ -1,13 +1,16 @@
 """Exact top-k by a Voronoi join: data grouped by pivots, bounds from group summaries, only groups that can matter searched for a query.
 
-For inner products the bounds are q.x <= q.p + |q| |x - p| and q.x >= q.p - |q| |x - p| for data x of a group with pivot p. A group's summary is its
-greatest distance and its k least distances. A query's k-th best lower bound over all summaries is a score that its k-th result
-has at least, so it goes only to groups whose upper bound isn't below. Cells are cut into blocks of bounded size, so that a cell which
-holds a large share of the data is searched in many tasks.
+Pivots are rows of the data, about the square root of their number. A group's summary is the least and greatest distance of its rows from its pivot and their
+greatest length. For a row x of a group with pivot p and a query q at a distance d from p, q.x is at most q.p + |q| |x - p|, and at most (|q|^2 + |x|^2 - g^2) / 2 where
+g is how far d lies outside the group's range of distances. The k-th best score of q among the pivots of other ids is a score that its k-th result has
+at least, so q goes only to groups whose bound isn't below. Queries are dealt by their own nearest pivot, and a share of them gets only the
+groups that one of them needs. Groups are cut into blocks of bounded size, so that one which holds a large part of the data is searched in many tasks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import col, map_arrow, written
 
-#: Data rows that a task compares with queries at once, and queries that it takes at once.
-BLOCK, QUERIES = 4096, 1024
+#: Data rows that a task compares with queries at once, queries that it takes at once, and queries that share a copy of the groups they need.
+BLOCK, QUERIES, SHARE = 4096, 1024, 8192
+#: Pivots that every task gets.
+MOST_PIVOTS = 2048
 
 
 def _valid(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -28,12 +33,14 @@ def _valid(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataF
     return out.where(good & F.col("vec_id").isNotNull()).select("vec_id", "v")
 
 
-def _pivots(rows: DataFrame, count: int) -> np.ndarray:
-    """At most `count` distinct vectors, those with the least hash."""
-    found = rows.select("v").orderBy(F.xxhash64("v")).limit(count * 4).distinct().limit(count).collect()
-    if not found:
-        return np.zeros((0, 1))
-    return _matrix([r["v"] for r in found])
+def _pivots(rows: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of at most `count` rows with vectors that differ, drawn by a hash of the id."""
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(count * 4).collect()
+    found = {tuple(r["v"]): r["vec_id"] for r in reversed(drawn)}
+    chosen = list(found.items())[::-1][:count]
+    if not chosen:
+        return np.zeros(0, np.int64), np.zeros((0, 1))
+    return np.array([i for _, i in chosen], np.int64), _matrix([v for v, _ in chosen])
 
 
 def _matrix(vectors, width: int = 0) -> np.ndarray:
@@ -54,64 +61,95 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(a) * int(b) for a, b in zip(i, j)) for j in x] for i in q], object)
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int = 32) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest inner products over the other ids, ties to the smaller id.
+@dataclass(frozen=True)
+class Groups:
+    """Data by pivot (cell, far, vec_id, v), and a summary of each group that has rows."""
 
-    Vectors of unlike length are padded with zeros. A repeated id is a row of its own in the data and one query; a query never meets rows of its own id. Queries and data
-    without a valid vector take no part; without data there are no rows. Scores must fit a long.
-    """
+    rows: DataFrame
+    ids: np.ndarray  # of the pivots
+    pivots: np.ndarray
+    cell: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    length: np.ndarray
+    size: np.ndarray
+
+
+def groups(data: DataFrame, pivots: int | None = None) -> Groups:
+    """Each row (vec_id, v) with its nearest pivot; a row for each pivot comes to the driver."""
     spark = data.sparkSession
-    data = _valid(data, id_col, vector_col, scale)
-    queries = _valid(queries, id_col, vector_col, scale).dropDuplicates(["vec_id"])
-    centre = _pivots(data, pivots)
-    shared = spark.sparkContext.broadcast(centre)  # `pivots` vectors
+    count = pivots or int(min(MOST_PIVOTS, max(32, data.count() ** 0.5)))
+    ids, centre = _pivots(data, count)
+    shared = spark.sparkContext.broadcast(centre)  # MOST_PIVOTS vectors at most
 
     def placed():
-        p = shared.value
-
         def each(batch: pa.RecordBatch):
-            x = _matrix(batch.column("v").to_pylist(), p.shape[1])
-            q = np.pad(p, ((0, 0), (0, x.shape[1] - p.shape[1])))
-            d = np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ q.T) + (q * q).sum(axis=1), 0)
-            cell = d.argmin(axis=1)
-            far = np.sqrt(((x - q[cell]) ** 2).sum(axis=1))
-            yield {"cell": cell, "far": far, "vec_id": batch.column("vec_id"), "v": batch.column("v")}
+            x = _matrix(batch.column("v").to_pylist(), shared.value.shape[1])
+            cell, far = _nearest(x, shared.value)
+            yield {"cell": cell, "far": far, "length": np.sqrt((x * x).sum(axis=1)), "vec_id": batch.column("vec_id"), "v": batch.column("v")}
 
         return each
 
-    cells = written(map_arrow(data, placed, "cell int, far double, vec_id long, v array<double>"), "cells")
-    # A query's own rows are no results, so a bound counts as many more distances as an id has rows.
-    times = cells.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    least = k + times if times <= 1000 else 0
-    summary = _summary(cells, least).groupBy("cell").agg(F.max("far").alias("far"), F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, max(least, 1)).alias("near"))
-    groups = [(r["cell"], r["far"], int(-(-r["n"] // BLOCK)), r["near"]) for r in summary.orderBy("cell").collect()]  # `pivots` rows
+    cells = written(map_arrow(data, placed, "cell int, far double, length double, vec_id long, v array<double>"), "cells")
+    found = cells.groupBy("cell").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.max("length").alias("length"), F.count("*").alias("n")).orderBy("cell").collect()
+    return Groups(cells.drop("length"), ids, centre, *(np.array([r[c] for r in found], k) for c, k in (("cell", np.int64), ("near", float), ("far", float), ("length", float), ("n", np.int64))))
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = np.pad(pivots, ((0, 0), (0, x.shape[1] - pivots.shape[1])))
+    cell = ((p * p).sum(axis=1) - 2 * (x @ p.T)).argmin(axis=1)
+    return cell, np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+
+
+def needed(queries: DataFrame, g: Groups, k: int) -> DataFrame:
+    """cell, home (the query's own nearest pivot), query_id, v: a row for each group that a query has to look at."""
+    shared = queries.sparkSession.sparkContext.broadcast((g.ids, g.pivots, g.cell, g.near, g.far, g.length))
 
     def asked():
-        p = shared.value
-        ids = np.array([g[0] for g in groups], np.int64)
-        far = np.array([g[1] for g in groups])
-        close = np.concatenate([np.array(g[3]) for g in groups]) if groups else np.zeros(0)
-        of = np.repeat(np.arange(len(groups)), [len(g[3]) for g in groups])
+        ids, pivots, cells, near, far, length = shared.value
 
         def each(batch: pa.RecordBatch):
-            q = _matrix(batch.column("v").to_pylist(), p.shape[1])
-            c = np.pad(p[ids], ((0, 0), (0, q.shape[1] - p.shape[1]))) if len(groups) else np.zeros((0, q.shape[1]))
-            length = np.sqrt((q * q).sum(axis=1))[:, None]
-            dot = q @ c.T
-            slack = 1e-9 * (1 + np.abs(dot) + length * far)  # rounding
-            lower = (dot - slack)[:, of] - length * close
-            bound = np.sort(lower, axis=1)[:, -least][:, None] if lower.shape[1] >= least > 0 else np.full((len(q), 1), -np.inf)
-            row, group = np.nonzero(dot + slack + length * far >= bound)
-            yield {"cell": ids[group], "query_id": batch.column("vec_id").take(pa.array(row)), "v": batch.column("v").take(pa.array(row))}
+            if not len(cells):
+                return
+            q = _matrix(batch.column("v").to_pylist(), pivots.shape[1])
+            own = batch.column("vec_id").to_numpy()
+            p = np.pad(pivots, ((0, 0), (0, q.shape[1] - pivots.shape[1])))
+            score = q @ p.T
+            known = np.where(own[:, None] == ids, -np.inf, score)
+            bound = -np.sort(-known, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(q), -np.inf)
+            dot, square = score[:, cells], (q * q).sum(axis=1)[:, None]
+            away = np.sqrt(np.maximum(square - 2 * dot + (p[cells] ** 2).sum(axis=1), 0))
+            gap = np.maximum(np.maximum(away - far, near - away), 0)
+            upper = np.minimum(dot + np.sqrt(square) * far, (square + length**2 - gap**2) / 2)
+            slack = 1e-9 * (1 + square + length**2)  # rounding
+            row, at = np.nonzero(upper + slack >= bound[:, None])
+            yield {"cell": cells[at], "home": _nearest(q, pivots)[0][row], "query_id": batch.column("vec_id").take(pa.array(row)), "v": batch.column("v").take(pa.array(row))}
 
         return each
 
-    needed = map_arrow(queries, asked, "cell int, query_id long, v array<double>")
-    blocks = spark.createDataFrame([(g[0], g[2]) for g in groups], "cell int, blocks int")
-    left = needed.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", F.pmod(F.xxhash64("query_id"), F.lit(_shares(queries.count()))).alias("part"), "query_id", F.lit(None).cast("long").alias("vec_id"), "v")
-    parts = left.select("part").distinct().count() if groups else 0
-    right = cells.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    right = right.withColumn("part", F.explode(F.array(*map(F.lit, range(max(parts, 1)))))).select("cell", "block", F.col("part").cast("long").alias("part"), F.lit(None).cast("long").alias("query_id"), "vec_id", "v")
+    return map_arrow(queries, asked, "cell int, home int, query_id long, v array<double>")
+
+
+def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest inner products over the other ids, ties to the smaller id.
+
+    Vectors of unlike length are padded with zeros. A repeated id is a row of its own in the data and one query; a query never meets rows of its own id. Queries and data
+    without a valid vector take no part; without data there are no rows. Scores must fit a long.
+    """
+    spark = data.sparkSession
+    data = _valid(data, id_col, vector_col, scale)
+    queries = _valid(queries, id_col, vector_col, scale).dropDuplicates(["vec_id"])
+    g = groups(data, pivots)
+    blocks = spark.createDataFrame([(int(c), int(-(-n // BLOCK))) for c, n in zip(g.cell, g.size)], "cell int, blocks int")
+    # Queries of one nearest pivot are shared out by its own number and a hash, so that a share holds about SHARE of them that look at like groups.
+    shares = max(1, -(-queries.count() // SHARE))
+    per_home = max(1, -(-shares // max(len(g.cell), 1)))
+    share = F.pmod(F.col("home"), F.lit(min(shares, max(len(g.cell), 1)))) * per_home + F.pmod(F.xxhash64("query_id"), F.lit(per_home))
+    asked = written(needed(queries, g, k).withColumn("part", share.cast("long")), "asked")
+    left = asked.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "part", "query_id", F.lit(None).cast("long").alias("vec_id"), "v")
+    wanted = asked.select("cell", "part").distinct()
+    right = g.rows.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    right = right.join(wanted, "cell").select("cell", "block", "part", F.lit(None).cast("long").alias("query_id"), "vec_id", "v")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         ask, have = group[group["query_id"].notna()], group[group["vec_id"].notna()].sort_values("vec_id")
@@ -139,24 +177,6 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _summary(cells: DataFrame, least: int) -> DataFrame:
-    """cell, far (greatest distance), n, near (least distances) of the rows of each batch."""
-
-    def make():
-        def each(batch: pa.RecordBatch):
-            cell, far = batch.column("cell").to_numpy(), batch.column("far").to_numpy()
-            found = [(c, np.sort(far[cell == c])) for c in np.unique(cell).tolist()]
-            yield {"cell": [c for c, _ in found], "far": [d[-1] for _, d in found], "n": [len(d) for _, d in found], "near": pa.array([d[:least] for _, d in found], pa.list_(pa.float64()))}
-
-        return each
-
-    return map_arrow(cells.select("cell", "far"), make, "cell int, far double, n long, near array<double>")
-
-
-def _shares(queries: int) -> int:
-    return max(1, -(-queries // (8 * QUERIES)))
-
-
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(data, data.where("vec_id % 50 = 0"))
