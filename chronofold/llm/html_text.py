@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes lines: one for each block element, without markup. Regions that are boilerplate by their element or their class have
-lines of no length, as have lines that are mostly links outside article and main, whose text weighs more. Text lengths are summed over sliding windows of lines; a surge, where the sum rises
+A page becomes lines: one for each block element, without markup and without regions that are boilerplate by their element or their class. Lines
+that are mostly links have no length, but for those inside article and main, whose text weighs more. Text lengths are summed over sliding windows of lines; a surge, where the sum rises
 to the level of the page and stays, opens a run of text, and a dive, where a whole window is empty, closes it. Text between the first
 surge and its dive is kept; further runs are kept too, and short lines inside a run stay.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,14 @@ LABELS = frozenset(
 #: An end tag of one of these also ends what is left open inside; other end tags without a start are ignored.
 CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that may stand beside one of LABELS in a name, as in site-header or comment-list; a name with any other word says something else (no-sidebar, topic-social).
+BESIDE = frozenset(
+    "site page main top bottom left right global primary secondary list box bar area block container wrapper inner outer section link links button buttons "
+    "item items panel form text policy consent slot unit post posts article articles content row col group toggle title icon icons media".split()
+)
+
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+QUOTE = re.compile(r"=\s*([\"'])|>")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDES = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PART = re.compile(r"[a-z]+")
@@ -49,11 +57,24 @@ def _labelled(name: str, rest: str) -> bool:
         return False
     for m in NAMED.finditer(rest):
         for one in (m[1] or m[2] or m[3] or "").lower().split():
-            if not LABELS.isdisjoint(PART.findall(one)):
+            parts = PART.findall(one)
+            if one in LABELS or not LABELS.isdisjoint(parts) and all(w in LABELS or w in BESIDE for w in parts):
                 return True
     return bool(HIDES.search(rest))
 
 
+def _tag_end(page: str, at: int, gone: set[str]) -> int:
+    """The place behind the > of a tag. A quote counts only as the start of a value; one that nothing closes is an ordinary character. gone: quotes of which no more come."""
+    while m := QUOTE.search(page, at):
+        if not m[1]:
+            return m.end()
+        close = -1 if m[1] in gone else page.find(m[1], m.end())
+        if close < 0:
+            gone.add(m[1])
+        at = m.end() if close < 0 else close + 1
+    return len(page)
+
+
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters inside links, boilerplate, inside article or main) of each line of a page."""
     out: list[tuple[str, int, bool, bool]] = []
@@ -71,9 +92,18 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             held.clear()
         linked = 0
 
-    at, size = 0, len(page)
+    at, size, gone = 0, len(page), set()
+    is_open: Counter[str] = Counter()
+
+    def close(depth: int) -> None:
+        nonlocal off, plain, main
+        for entry in stack[depth:]:
+            is_open[entry[0]] -= 1
+        del stack[depth:]
+        _, off, plain, main = stack[-1] if stack else ("", False, False, False)
+
     while at < size:
-        m = TOKEN.search(page, at)
+        m = START.search(page, at)
         stop = m.start() if m else size
         if stop > at and not off:
             held.append(page[at:stop])
@@ -81,42 +111,46 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 linked += stop - at
         if not m:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else ">", m.end())
+            at = size if end < 0 else end + (3 if m[1] else 1)
             continue
-        if m[1]:
+        name, rest = m[4].lower(), m.end()
+        at = _tag_end(page, rest, gone)
+        if m[3]:
             if name in BLOCKS or name in HIDDEN:
                 end_line()
             if name == "a":
                 links = max(links - 1, 0)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    _, off, plain, main = stack[-1] if stack else ("", False, False, False)
-                    break
-                if name not in BLOCKS and stack[i][0] in BLOCKS:
-                    break
+            if is_open[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        close(i)
+                        break
+                    if name not in BLOCKS and stack[i][0] in BLOCKS:
+                        break
             continue
+        attributes = page[rest : at - 1]
         if name in BLOCKS:
             end_line()
         elif name == "br":
             held.append(" ")
         elif name == "a":
             links += 1
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
+            end = re.compile(rf"</{name}\b", re.I).search(page, at)
+            at = size if not end else size if (end := page.find(">", end.end())) < 0 else end + 1
             continue
         if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == name:
-            stack.pop()
-            _, off, plain, main = stack[-1] if stack else ("", False, False, False)
-        if name in BLOCKS or name in HIDDEN or name in BOILERPLATE or _labelled(name, m[3]):
+            close(len(stack) - 1)
+        label = _labelled(name, attributes)
+        if name in BLOCKS or name in HIDDEN or name in BOILERPLATE or label:
             inside = main or name in ("article", "main")
-            bad = name in BOILERPLATE and not (name == "header" and main) or _labelled(name, m[3])
+            bad = name in BOILERPLATE and not (name == "header" and main) or label
             stack.append((name, off or name in HIDDEN, plain or bad, inside))
+            is_open[name] += 1
             _, off, plain, main = stack[-1]
     end_line()
     return out
@@ -125,26 +159,26 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def kept(rows: list[tuple[str, int, bool, bool]], window: int = 3, level: float = 0.2, weight: float = 4.0) -> list[bool]:
     """Which lines lie between a surge and its dive.
 
-    Text inside article or main counts `weight` times, links in it as text; elsewhere lines that are mostly links have no length. Boilerplate has none anywhere.
+    Text inside article or main counts `weight` times, links in it as text; elsewhere lines that are mostly links have no length. Boilerplate is stripped with the markup: it is no line here.
     """
-    if not rows:
-        return []
-    size = np.array([0 if bad or not main and 2 * linked > len(text) else len(text) * (weight if main else 1) for text, linked, bad, main in rows], float)
-    padded = np.concatenate([size, np.zeros(window)])
-    block = np.convolve(padded, np.ones(window))[window - 1 : window - 1 + len(size)]
+    shown = [i for i, row in enumerate(rows) if not row[2]]
+    if not shown:
+        return [False] * len(rows)
+    size = np.array([0 if not main and 2 * linked > len(text) else len(text) * (weight if main else 1) for text, linked, _, main in (rows[i] for i in shown)], float)
+    block = np.convolve(np.concatenate([size, np.zeros(window)]), np.ones(window))[window - 1 : window - 1 + len(size)]
     surge = min(block.max() * level, 80.0)
     out = [False] * len(rows)
     on = False
-    for i in range(len(rows)):
+    for i, line in enumerate(shown):
         if not on and size[i] and block[i] >= surge:
             on = True
             j = i  # short lines of the article right before it, such as headlines
-            while j and size[j - 1] and rows[j - 1][3]:
+            while j and size[j - 1] and rows[shown[j - 1]][3] and not out[shown[j - 1]]:
                 j -= 1
-                out[j] = True
+                out[shown[j]] = True
         elif on and not block[i]:
             on = False
-        out[i] = bool(on and size[i] > 0)
+        out[line] = bool(on and size[i] > 0)
     return out
 
 
