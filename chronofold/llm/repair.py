@@ -5,8 +5,8 @@ after round; the rules are stored with the length of what each symbol stands for
 starts at a symbol of its own and any stretch of it can be decoded alone.
 
 Block, little-endian: b"RPB1", counts of documents, rules and symbols, first nonterminal and end id (unsigned 32 bits each); for each document its
-doc_id (signed 64), whether it has one (8), number of ids (unsigned 64) and of symbols (unsigned 32); for each rule its two symbols and its
-expansion length (unsigned 32 each); the symbols (unsigned 16 if all fit, else 32); crc32 of all that comes before.
+doc_id (signed 64), whether it has one (8), number of ids (unsigned 64) and of symbols (unsigned 32); for each rule its two symbols, then for each its
+expansion length (unsigned 32); the symbols; crc32 of all that comes before. A symbol has 2, 3 or 4 bytes, as few as all rules need.
 """
 
 from __future__ import annotations
@@ -23,66 +23,104 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import documents, map_arrow, small_batches, spark_schema, work_path
-from chronofold.llm.encode import crc, encoder, word_tokenizer
+from chronofold.llm.encode import crc, encoder, vocabulary_size, word_tokenizer
 from chronofold.llm.textvec import ragged
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
-#: Slots in which pairs are counted.
+#: Slots (2 to this) by which rare pairs are told before pairs are counted.
 SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
 HEAD = struct.Struct("<4s5I")
-FILE = "shard int, block int, payload binary"
+FILE = "shard int, block int, low long, high long, payload binary"
 
 
-def compress(ids: np.ndarray, first: int, end_id: int, rounds: int = 6, each: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, expansion lengths). Each round makes rules of the most frequent pairs that occur `least` times, and replaces them from left to right."""
+def frequent_pairs(seq: np.ndarray, places: np.ndarray | None, end_id: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, both symbols as one number) of every pair that occurs `least` times or more at the places (all, if None), and of some that don't. None takes in an end id."""
+    left, right = seq[:-1], seq[1:]
+    if places is not None:
+        left, right = left[places], right[places]
+    # A slot of a hash that is hit less often than `least` holds no such pair; only what is left has to be sorted.
+    slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+    some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
+    a, b = left[some], right[some]
+    inner = (a != end_id) & (b != end_id)
+    some = some[inner]
+    return some if places is None else places[some], a[inner].astype(np.uint64) << np.uint64(32) | b[inner]
+
+
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of pairs that overlap in a row every other one, from the left, as a mask."""
+    begin = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+
+
+def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, expansion lengths), where no pair occurs `least` times any more; a rule that is used less often costs more than it saves.
+
+    Rules are made in rounds, the most frequent pairs first: those that occur as often as a level says, which falls to `least` by quarters. All pairs of a round are
+    replaced at once, from left to right. A round after another on the same level looks only at places next to new symbols, since no other
+    pair has become more frequent; before the level falls, and at the end, all places are counted again.
+    """
     seq = ids.astype(np.uint32)  # a copy
-    rules: list[np.ndarray] = []
-    lengths = [np.zeros(0, np.int64)]
-    top = first
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        # Pairs are counted by slots of a hash; a slot stands for the last pair in it, and the occurrences of that pair are counted exactly.
-        left, right = seq[:-1], seq[1:]
-        slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-        end = np.flatnonzero(seq == end_id)
-        slot[np.concatenate([end[end < len(slot)], end[end > 0] - 1])] = SLOTS
-        frequent = np.bincount(slot, minlength=SLOTS + 1) >= least
-        frequent[SLOTS] = False
-        inner = np.flatnonzero(frequent[slot])
-        slot, a, b = slot[inner], left[inner], right[inner]
-        pair = np.zeros((2, SLOTS), np.uint32)
-        pair[0, slot] = a
-        pair[1, slot] = b
-        same = (pair[0][slot] == a) & (pair[1][slot] == b)
-        inner, slot = inner[same], slot[same]
-        count = np.bincount(slot, minlength=SLOTS)
-        good = np.flatnonzero(count >= least)
-        good = good[np.argsort(-count[good], kind="stable")[:each]]
-        if not len(good):
-            break
-        new = np.full(SLOTS, -1, np.int32)
-        new[good] = top + np.arange(len(good))
-        symbol = new[slot]
-        some = symbol >= 0
-        at, symbol = inner[some], symbol[some]
-        # Of overlapping pairs in a row every other one is replaced, from the left.
-        run = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        begin = np.flatnonzero(run)
-        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 1
-        at, symbol = at[~odd], symbol[~odd]
-        seq[at] = symbol
+    rules, lengths, top = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64), first
+    level, fresh = 0, None
+    while len(seq) > 1:
+        at, key = frequent_pairs(seq, fresh, end_id, level or least)
+        pair, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        level = level or max(least, int(count.max(initial=0)) // 4)
+        good = count >= level
+        symbol = np.where(good, np.cumsum(good) - 1, -1)[back]
+        at, symbol = at[symbol >= 0], symbol[symbol >= 0]
+        free = _alternate(at)
+        at, symbol = at[free], symbol[free]
+        used = np.bincount(symbol, minlength=int(good.sum()))
+        keep = used >= least  # pairs that lose too many places to their neighbours wait
+        if not keep.any():
+            if fresh is not None or level > least:
+                level, fresh = max(least, level // 4), None
+                continue
+            if not good.any():
+                break
+            keep = used == used.max()
+        chosen = keep[symbol]
+        at, symbol = at[chosen], (np.cumsum(keep) - 1)[symbol[chosen]]
+        made = pair[good][keep]
+        made = np.column_stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        seq[at] = (top + symbol).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        made = pair[:, good].T.copy()
-        known = np.concatenate(lengths)
-        lengths.append(sum(np.where(made[:, k] < first, 1, known[np.maximum(made[:, k].astype(np.int64) - first, 0)] if len(known) else 1) for k in (0, 1)))
+        lengths = np.concatenate([lengths, sizes(made[:, 0], lengths, first) + sizes(made[:, 1], lengths, first)])
         rules.append(made)
-        top += len(good)
-    return seq, np.concatenate([*rules, np.zeros((0, 2), np.uint32)]), np.concatenate(lengths)
+        new = seq >= top
+        fresh = np.flatnonzero(new[:-1] | new[1:])
+        top += len(made)
+    return seq, np.concatenate(rules), lengths
+
+
+def sizes(symbols: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    out = np.ones(len(symbols), np.int64)
+    rule = symbols >= first
+    out[rule] = lengths[symbols[rule].astype(np.int64) - first]
+    return out
+
+
+def expand_part(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, start: int, stop: int) -> np.ndarray:
+    """Ids start to stop of what symbols stand for. Rules are opened one level after the other, and symbols outside the stretch fall away, so that only rules that hold some of it are read."""
+    while True:
+        end = np.cumsum(sizes(symbols, lengths, first))
+        i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop) + 1
+        before = int(end[i - 1]) if i else 0
+        symbols, start, stop = symbols[i:j], start - before, stop - before
+        rule = symbols >= first
+        if not rule.any():
+            return symbols[start:stop]
+        out = np.repeat(symbols, np.where(rule, 2, 1))
+        place = np.cumsum(np.where(rule, 2, 1))[rule]
+        pair = rules[symbols[rule].astype(np.int64) - first]
+        out[place - 2], out[place - 1] = pair[:, 0], pair[:, 1]
+        symbols = out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
@@ -98,27 +136,41 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: i
                 n = int(lengths[s - first])
                 whole[at : at + n] = whole[begin[s - first] : begin[s - first] + n]
                 at += n
-    rule = symbols >= first
-    size = np.ones(len(symbols), np.int64)
-    size[rule] = lengths[symbols[rule].astype(np.int64) - first]
+    rule, size = symbols >= first, sizes(symbols, lengths, first)
     # Terminals are looked up behind the expansions.
     offset = np.where(rule, begin[np.where(rule, symbols.astype(np.int64) - first, 0)] if len(begin) else 0, 0)
     offset[~rule] = len(whole) + np.arange(int((~rule).sum()))
     return np.concatenate([whole, symbols[~rule].astype(np.uint32)])[ragged(offset, size)]
 
 
+def _width(symbols: int) -> int:
+    """Bytes of a symbol where there are so many."""
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
+def _as_bytes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _from_bytes(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u4").ravel()
+
+
 def pack_block(doc_ids: list[int | None], texts: list[np.ndarray], first: int, end_id: int) -> bytes:
     ids = np.concatenate(texts)
+    if int(ids.max()) >= first:
+        raise ValueError(f"id {int(ids.max())} is taken for a rule: first must be above all ids")
     symbols, rules, lengths = compress(ids, first, end_id)
-    size = np.where(symbols >= first, lengths[np.maximum(symbols.astype(np.int64) - first, 0)] if len(lengths) else 1, 1)
-    at = np.cumsum(size)
+    at = np.cumsum(sizes(symbols, lengths, first))
     last = np.searchsorted(at, np.cumsum([len(t) for t in texts])) + 1
-    wide = "<u2" if len(rules) + first <= 1 << 16 else "<u4"
+    width = _width(first + len(rules))
     body = b"".join([
         HEAD.pack(b"RPB1", len(texts), len(rules), len(symbols), first, end_id),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
         np.array([len(t) for t in texts], "<u8").tobytes(), np.diff(last, prepend=0).astype("<u4").tobytes(),
-        rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(wide).tobytes(),
+        _as_bytes(rules.ravel(), width), lengths.astype("<u4").tobytes(), _as_bytes(symbols, width),
     ])
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -147,9 +199,10 @@ class Block:
             return out
 
         ids, has = take("<i8", docs), take("u1", docs)
-        counts, sizes = take("<u8", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
-        pairs, lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
-        return cls([i if h else None for i, h in zip(ids.tolist(), has.tolist())], counts, sizes, pairs, lengths, take("<u2" if rules + first <= 1 << 16 else "<u4", symbols).astype(np.uint32), first)
+        counts, held = take("<u8", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
+        width = _width(first + rules)
+        pairs, lengths = _from_bytes(take("u1", 2 * rules * width), width).reshape(-1, 2), take("<u4", rules).astype(np.int64)
+        return cls([i if h else None for i, h in zip(ids.tolist(), has.tolist())], counts, held, pairs, lengths, _from_bytes(take("u1", symbols * width), width), first)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         ids = expand(self.symbols, self.rules, self.lengths, self.first)
@@ -158,28 +211,27 @@ class Block:
             yield d, ids[a:b]
 
     def tokens(self, document: int, start: int, stop: int) -> np.ndarray:
-        """Ids start to stop of one document; only the symbols that cover them are expanded."""
+        """Ids start to stop of one document (by its number in the block); of the rules only those that hold some of them are opened."""
         a = int(self.symbol_counts[:document].sum())
-        symbols = self.symbols[a : a + int(self.symbol_counts[document])]
-        rule = symbols >= self.first
-        size = np.ones(len(symbols), np.int64)
-        size[rule] = self.lengths[symbols[rule].astype(np.int64) - self.first]
-        end = np.cumsum(size)
-        i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop)
-        part = expand(symbols[i : j + 1], self.rules, self.lengths, self.first)
-        skip = start - int(end[i - 1] if i else 0)
-        return part[skip : skip + stop - start]
+        n = int(self.counts[document])
+        start, stop = min(max(start, 0), n), min(max(stop, 0), n)
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        return expand_part(self.symbols[a : a + int(self.symbol_counts[document])], self.rules, self.lengths, self.first, start, stop)
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None, first: int = 49_408, block_ids: int = BLOCK_IDS) -> None:
-    """Write all documents (null text: empty) to a folder of shard files, one for each range of doc_id; nulls come first, equal ids by text.
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None, first: int | None = None, block_ids: int = BLOCK_IDS) -> None:
+    """Write all documents (null text: empty) to a folder of shard files, one for each range of doc_id; nulls come first, equal ids by a hash of the text.
 
-    first: the least id that the tokenizer doesn't give. The blocks of a shard are rows (shard, block, payload) of Parquet files, which any store of Spark's can hold.
+    first: the symbol of the first rule; by default the first number that is neither an id of the tokenizer nor end_id. The blocks of a shard are rows of
+    Parquet files, which any store of Spark's can hold, with the least and greatest doc_id of each, by which fetch() finds a document. Long texts are
+    encoded whole; repeated rows are documents of their own; an empty table gives no block.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kinds = spark_schema(spark, FILE)
     vocabulary = tokenizer or word_tokenizer()
+    first = max(vocabulary_size(vocabulary), end_id + 1) if first is None else first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
@@ -188,7 +240,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         held: list[np.ndarray] = []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([pack_block(names, held, first, end_id)], pa.binary())], schema=kinds)
+            known = [d for d in names if d is not None]
+            row = (shard, block, min(known, default=None), max(known, default=None), pack_block(names, held, first, end_id))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds)], schema=kinds)
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
@@ -203,7 +257,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield done()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents(docs, id_col, text_col).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]  # an id that many rows share, or none, is dealt to several shards
+    ordered = documents(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").drop("tie")
     ordered.mapInArrow(run, FILE).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -224,6 +279,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def fetch(spark: SparkSession, path: str, doc_id: int, start: int = 0, stop: int = 1 << 62) -> list[np.ndarray]:
+    """Ids start to stop of the documents of an id, by the blocks whose range holds it; Parquet's statistics leave out the others."""
+    blocks = spark.read.schema(FILE).parquet(path).where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).orderBy("shard", "block").select("payload")
+    out = []
+    for row in blocks.toLocalIterator():
+        block = Block.read(row["payload"])
+        out += [block.tokens(i, start, stop) for i, d in enumerate(block.doc_ids) if d == doc_id]
+    return out
+
+
 def encode(docs: DataFrame, **options) -> DataFrame:
     """Write the ids of all documents and read them back."""
     spark = docs.sparkSession
