@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from chronofold.llm import grams as G
 from chronofold.llm.common import documents, map_arrow, small_batches
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class LanguageModel:
     """A text's logits: the mean over its n-grams of idf * weight, plus bias, divided by the temperature."""
 
@@ -35,8 +36,8 @@ def _document_counts(rows: DataFrame, least: int, most: int, bits: int) -> tuple
         total = np.zeros((1 << bits) + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
-            for _, gram, _ in G.distinct(batch.column("text"), least, most, bits):
-                total += np.bincount(gram, minlength=len(total))
+            for _, gram in G.gram_store(least, most, bits).distinct(batch.column("text"), 1 << bits):
+                total[gram] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], schema=kind)
 
@@ -47,20 +48,23 @@ def _document_counts(rows: DataFrame, least: int, most: int, bits: int) -> tuple
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", least: int = 1, most: int = 3, bits: int = 16, sample: int = 4_000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel | None:
+def fit(docs: DataFrame, lang_col: str = "lang", least: int = 1, most: int = 3, bits: int = 16, sample: int = 4_000, each_least: int = 100, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel | None:
     """Learn from the texts with a language that aren't held out; None if there are none.
 
-    Document frequencies come from all of them. The regression sees about `sample` rows, those whose hash of the id is under a limit,
-    a fifth of which sets the temperature; that bound is the only one.
+    Document frequencies come from all of them. The regression sees about `sample` rows, those whose hash of the id is under a limit, and of
+    each language about `each_least` (all, if fewer), however rare it is; a fifth of them sets the temperature. That bound is the only one.
     """
     rows = documents(docs).select("doc_id", "text").withColumn("lang", F.lit(None).cast("string")) if lang_col not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(~G.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = tuple(sorted(r["lang"] for r in rows.select("lang").distinct().collect()))
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = tuple(sorted(many))
     if not languages:
         return None
     seen, n = _document_counts(rows, least, most, bits)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
+    limit = {x: int((1 << 30) * min(1.0, max(sample / max(n, 1), each_least / m))) for x, m in many.items()}
+    limits = docs.sparkSession.createDataFrame(list(limit.items()), "lang string, most long")  # a row for each language
+    few = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("most")).select("doc_id", "text", "lang")
     code = {x: i for i, x in enumerate(languages)}
 
     def make():
@@ -121,6 +125,19 @@ def _temperature(pairs) -> float:
     return float(tried[int(np.argmin(loss))])
 
 
+@lru_cache(2)
+def _sums(m: LanguageModel) -> G.WordStore:
+    """Sums of the weights of each word's n-grams, by language, and how many n-grams it has; kept for as many tasks of a Python worker as have the model."""
+
+    def make(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        gram, size = G.word_grams(words, m.least, m.most, m.bits)
+        begin = np.minimum(np.cumsum(size) - size, max(len(gram) - 1, 0))
+        sums = np.where(size[:, None] > 0, np.add.reduceat(m.weight[gram].astype(float), begin, axis=0), 0.0)
+        return np.column_stack([sums, size]), np.ones(len(size), np.int64)
+
+    return G.WordStore(make)
+
+
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; `und` with score 0 if the text is null or has no letter, or nothing could be learned."""
     rows = documents(docs)
@@ -131,16 +148,15 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def make():
         m = shared.value
+        known_words = _sums(m)
 
         def each(batch: pa.RecordBatch):
             total, many = np.zeros((batch.num_rows, len(m.languages))), np.zeros(batch.num_rows)
-            for row, word, times, words in G.word_counts(batch.column("text")):
-                gram, size = G.word_grams(words, m.least, m.most, m.bits)
-                begin = np.minimum(np.cumsum(size) - size, max(len(gram) - 1, 0))
-                many += np.bincount(row, times * size[word], batch.num_rows)
+            for row, slot, times in known_words.words(batch.column("text")):
+                value = known_words.values[known_words.at[slot]] * times[:, None]
+                many += np.bincount(row, value[:, -1], batch.num_rows)
                 for c in range(len(m.languages)):
-                    of_word = np.where(size > 0, np.add.reduceat(m.weight[gram, c], begin), 0.0)
-                    total[:, c] += np.bincount(row, times * of_word[word], batch.num_rows)
+                    total[:, c] += np.bincount(row, value[:, c], batch.num_rows)
             p = _soft((total / np.maximum(many, 1)[:, None] + m.bias) / m.temperature)
             best = p.argmax(axis=1)
             known = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)

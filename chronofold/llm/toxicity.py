@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import grams as G
-from chronofold.llm.common import col, documents, map_arrow, small_batches, written
-from chronofold.llm.textvec import ragged
+from chronofold.llm.common import col, documents, map_arrow, small_batches
 
 
 #: Labels that are broadcast (some 16 MB); more are joined by a shuffle.
 MOST_LABELS = 500_000
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class ToxicityModel:
     """gram: sorted buckets with a weight; weight: log-count ratio times learned coefficient; a text scores 1 / (1 + exp(-(bias + sum)))."""
 
@@ -38,10 +39,9 @@ def _counts(rows: DataFrame, least: int, most: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            for row, gram, _ in G.distinct(batch.column("text"), least, most, bits):
-                for c in (0, 1):
-                    total[c] += np.bincount(gram[label[row] == c], minlength=1 << bits)
+            label = batch.column("label").to_pylist()
+            for row, gram in G.gram_store(least, most, bits).distinct(batch.column("text"), 1 << bits):
+                total[label[row], gram] += 1
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((some, total[1][some], total[0][some]), kind.types)], schema=kind)
 
@@ -52,8 +52,8 @@ def _counts(rows: DataFrame, least: int, most: int, bits: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int = 3, most: int = 6, bits: int = 20, sample: int = 10_000, clear: float = 4.0, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> ToxicityModel:
     """Learn from the labelled texts that aren't held out.
 
-    Log-count ratios come from the counts over all of them. Buckets whose ratio isn't `clear` standard errors from zero have
-    weight zero. The coefficients are fitted by logistic regression on about `sample` labelled rows, those whose hash of the
+    Log-count ratios come from the counts over all of them. Features are selected by their evidence: buckets whose ratio isn't `clear` standard
+    errors from zero have weight zero, which with `clear=0` are none. The coefficients are fitted by logistic regression on about `sample` labelled rows, those whose hash of the
     id is under a limit; that bound is the only one. Rows with another label than 0 and 1 take no part; without rows of both, the
     model has a bias alone.
     """
@@ -67,22 +67,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), bias, least, most, bits)
     p, q = F.col("pos") + smooth, F.col("neg") + smooth
     ratio = F.log(p / (pos + 2 * smooth)) - F.log(q / (neg + 2 * smooth))
-    found = _counts(rows.select("text", "label"), least, most, bits).where("pos + neg >= 5").select("gram", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("sure"))
+    found = _counts(rows.select("text", "label"), least, most, bits).select("gram", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("sure"))
     found = found.where(F.col("sure") >= clear).orderBy("gram").toArrow()  # 2^bits rows at most
     gram, ratio = found["gram"].to_numpy().astype(np.int64), found["ratio"].to_numpy()
     few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / (pos + neg))))
 
     def make():
+        number = np.full(1 << bits, -1, np.int32)
+        number[gram] = np.arange(len(gram))
+
         def each(batch: pa.RecordBatch):
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            held = [np.zeros(0, np.int64)] * len(label)
-            for row, g, _ in G.distinct(batch.column("text"), least, most, bits):
-                at = np.minimum(np.searchsorted(gram, g), max(len(gram) - 1, 0))
-                use = gram[at] == g if len(gram) else np.zeros(len(g), bool)
-                row, at = row[use], at[use]
-                for i, a, b in zip(*(x.tolist() for x in _runs(row))):
-                    held[i] = at[a:b]
-            yield {"label": label, "at": pa.array(held, pa.list_(pa.int32()))}
+            held = [np.zeros(0, np.int32)] * batch.num_rows
+            for i, g in G.gram_store(least, most, bits).distinct(batch.column("text"), 1 << bits):
+                held[i] = np.sort(number[g[number[g] >= 0]])
+            yield {"label": batch.column("label"), "at": pa.array(held, pa.list_(pa.int32()))}
 
         return each
 
@@ -96,11 +94,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int
     return ToxicityModel(gram, ratio * w, b, least, most, bits)
 
 
-def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    return row[first], first, np.concatenate([first[1:], [len(row)]]) if len(row) else first
-
-
 def _logistic(row, at, ratio, y, bias, ridge, steps):
     """Coefficients of the scaled presence features, by Adam over all rows."""
     w, b = np.full(len(ratio), 0.1), bias
@@ -116,19 +109,22 @@ def _logistic(row, at, ratio, y, bias, ridge, steps):
     return w, float(b)
 
 
+def scores(texts: pa.Array, m: ToxicityModel) -> np.ndarray:
+    """The score of each text; null and empty texts have that of the bias alone."""
+    z = np.full(len(texts), m.bias)
+    if len(m.gram):
+        for row, at in _weighted(m).distinct(texts, len(m.gram)):
+            z[row] += m.weight[np.sort(at)].sum()
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts have the score of the bias alone."""
+    """doc_id, held_out, score, predicted of every row, repeated rows included; null and empty texts have the score of the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = shared.value
-
         def each(batch: pa.RecordBatch):
-            z = np.full(batch.num_rows, m.bias)
-            if len(m.gram):
-                for row, word, times, words in _active(batch.column("text"), m):
-                    z += np.bincount(row, words, batch.num_rows)
-            yield {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
+            yield {"doc_id": batch.column("doc_id"), "score": scores(batch.column("text"), shared.value)}
 
         return each
 
@@ -136,23 +132,19 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     return out.select("doc_id", G.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _active(texts: pa.Array, m: ToxicityModel):
-    """(text, -, -, weight) of each distinct weighted bucket of each text; only words that have such a bucket are spread out."""
-    held: list[np.ndarray] = []
-    for row, word, _, words in G.word_counts(texts):
+@lru_cache(2)
+def _weighted(m: ToxicityModel) -> G.WordStore:
+    """Numbers of the weighted buckets of each word; kept for as many tasks of a Python worker as have the model."""
+    number = np.full(1 << m.bits, -1, np.int32)
+    number[m.gram] = np.arange(len(m.gram))
+
+    def make(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         gram, many = G.word_grams(words, m.least, m.most, m.bits)
-        at = np.minimum(np.searchsorted(m.gram, gram), len(m.gram) - 1)
-        hit = m.gram[at] == gram
-        owner = np.repeat(np.arange(len(many)), many)[hit]
-        at = at[hit]
-        many = np.bincount(owner, minlength=len(many))
-        begin = np.cumsum(many) - many
-        size = many[word]
-        held.append(np.unique(np.repeat(row * len(m.gram), size) + at[ragged(begin[word], size)]))
-    if held:
-        key = np.unique(np.concatenate(held))
-        yield key // len(m.gram), None, None, m.weight[key % len(m.gram)]
+        at = number[gram]
+        owner = np.repeat(np.arange(len(many)), many)[at >= 0]
+        return at[at >= 0], np.bincount(owner, minlength=len(many))
 
+    return G.WordStore(make)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +153,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score under the threshold, with all their columns."""
-    key = "chronofold_rid"
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    gone = score(rows.select(col(key).alias("doc_id"), "text"), model, threshold).where("predicted = 1").select(F.col("doc_id").alias(key))
-    return rows.join(gone, key, "left_anti").drop(key)
+    """The rows of docs that score under the threshold, with all their columns, whatever their names; rows may repeat, and null and empty texts have the bias's score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(scores(pa.array(text, pa.string(), from_pandas=True), shared.value))
+
+    return docs.where(scored(col("text").cast("string")) < threshold)
