@@ -225,15 +225,17 @@ def _sharing(rows: DataFrame, edits: int, per: int | None, slots) -> DataFrame:
                 who, key = who[order], key[order]
                 first = np.flatnonzero(np.diff(who, prepend=-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), pa.array(key))
-                yield {"node": name[who[first]], "line": [lines[i] for i in who[first].tolist()], "buckets": lists}
+                held = [lines[i] for i in who[first].tolist()]
+                counts = np.minimum(tallies(held), 255).astype(np.uint8)  # what is cut off only makes lines look more alike
+                yield {"node": name[who[first]], "line": held, "tally": [c.tobytes() for c in counts], "buckets": lists}
 
         return each
 
-    return map_arrow(rows.select("text"), make, "node long, line string, buckets array<long>")
+    return map_arrow(rows.select("text"), make, "node long, line string, tally binary, buckets array<long>")
 
 
 def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node, low of all buckets that several lines are in, low being the least of them; node, line, line_id of these lines).
+    """(bucket, node, low of all buckets that several lines are in, low being the least of them; node, line, line_id, tally of these lines). A member may come twice.
 
     Two lines of one hash are two rows of one node, and its pairs are verified for both.
     """
@@ -242,11 +244,10 @@ def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, D
     shared = written(ends.where("low < high").select("bucket", "low"), "shared")
     slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
     sharing = written(_sharing(rows, edits, per, slots), "sharing")
-    entries = sharing.select("node", F.explode("buckets").alias("bucket")).distinct()
-    members = written(entries.join(shared, "bucket"), "members")
+    members = written(sharing.select("node", F.explode("buckets").alias("bucket")).join(shared, "bucket"), "members")
     ids = written(members.select("node").distinct(), "ids")
     few = ids.count() <= MOST_IDS
-    texts = sharing.select("node", "line").join(F.broadcast(ids) if few else ids, "node", "left_semi").withColumn("line_id", F.md5(F.col("line").cast("binary")))
+    texts = sharing.select("node", "line", "tally").join(F.broadcast(ids) if few else ids, "node", "left_semi").withColumn("line_id", F.md5(F.col("line").cast("binary")))
     texts = written(texts.dropDuplicates(["node", "line_id"]), "texts")
     forget(shared, sharing, ids)
     return members, texts
@@ -320,15 +321,30 @@ def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: n
 
 
 def _near(members: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """Links (a, b) of each member of a bucket with its centre."""
+    """Links (a, b) of each member of a bucket with its centre. Lengths and tallies are compared first, so that few lines are fetched."""
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
+    @F.pandas_udf("boolean")
+    def alike(m: pd.Series, n: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        limit = np.array([allowed(k, edits, per) for k in np.minimum(m, n).tolist()], np.int64)
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, 64).astype(np.int16) for v in (x, y))
+        return pd.Series((np.abs(m.to_numpy() - n.to_numpy()) <= limit) & (np.abs(x - y).sum(axis=1) <= 2 * limit))
+
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(near_lines(x.tolist(), y.tolist(), edits, per), dtype=bool)
+        return pd.Series(near_lines(x.tolist(), y.tolist(), edits, per, tally=False), dtype=bool)
+
+    def side(node: str, *columns) -> DataFrame:
+        return texts.select(F.col("node").alias(node), *columns)
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near("x", "y")).select("a", "b")
+    size = F.length("line")
+    sketched = pairs.join(side("a", size.alias("m"), F.col("tally").alias("x")), "a").join(side("b", size.alias("n"), F.col("tally").alias("y")), "b")
+    likely = written(sketched.where(F.abs(F.col("m") - F.col("n")) <= edits).where(alike("m", "n", "x", "y")).select("a", "b").distinct(), "likely")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = likely.count() <= MOST_IDS // 2
+    wanted = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    both = likely.join(wanted.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(wanted.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    return both.where(near("x", "y")).select("a", "b")
 
 
 def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
@@ -343,7 +359,7 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
     members = texts.select("node", "line").join(buckets, "node")
     dealt = mixed.join(size, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).distinct()
+    spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Groups may go on from one batch to the next: the last one of a batch waits.
@@ -436,13 +452,13 @@ def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     members, texts = _members(rows, edits, per)
     links = written(_near(members, texts, edits, per).distinct(), "near")
     found = written(components(links), "components")
-    large = written(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "large")
+    large = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("bucket")
-    apart = written(apart, "apart")
-    more = written(_inside(large.join(apart, "bucket"), texts, edits, per), "inside")
+    mixed = written(large.join(apart, "bucket").distinct(), "apart")
+    more = written(_inside(mixed, texts, edits, per), "inside")
     if not more.isEmpty():
         found = written(extended(found, more), "components")
-    forget(members, links, large, apart, more)  # the result reads the other tables
+    forget(members, links, mixed, more)  # the result reads the other tables
     named = texts.join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
     labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))
