@@ -210,23 +210,69 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, docs, items, tmp_path):
-    import corpus_pipeline
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_in_one_task_and_in_many(spark, monkeypatch, few):
+    from chronofold.llm import components
 
-    df, labels = labelled(spark)
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
-    both = plain.unionByName(df.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")))
-    both.write.parquet(str(tmp_path / "documents.parquet"))
-    labels.select((F.col("doc_id") + 10_000).alias("doc_id"), "toxic").write.parquet(str(tmp_path / "labels.parquet"))
-    items.write.parquet(str(tmp_path / "benchmark.parquet"))
-    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "line dedup", "minhash near-dedup", "benchmark decontamination", "packing"]
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, seen, str(tmp_path)).write.parquet(str(tmp_path / str(i)))
-        after = spark.read.parquet(str(tmp_path / str(i)))
-        if i < 4:
-            assert after.columns == seen.columns and after.count() < seen.count()
-        seen = after
-    assert seen.count() > 0
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen.count()
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(7)
+    links = [(r.randrange(90), r.randrange(90)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(30)] + [(None, 3), (5, 5)]
+    home = {}
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = home.setdefault(a, a), home.setdefault(b, b)
+            home.update({k: min(x, y) for k, h in home.items() if h in (x, y)})
+    df = spark.createDataFrame(links, "a long, b long")
+    found = components.components(df)
+    assert {r["node"]: r["component"] for r in found.collect()} == home
+    more = spark.createDataFrame([(0, 200), (300, 301), (301, 230)], "a long, b long")
+    whole = components.components(df.unionByName(more))
+    assert sorted(map(tuple, components.extended(found, more).collect())) == sorted(map(tuple, whole.collect()))
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_grammar_leaves_no_frequent_pair():
+    r = random.Random(2)
+    phrases = [[r.randrange(50) for _ in range(r.randint(2, 30))] for _ in range(40)]
+    ids = np.array([x for _ in range(700) for x in (*r.choice(phrases), *([7] * r.randint(0, 9)), *([99] if r.random() < 0.1 else []))], np.uint32)
+    symbols, rules, lengths = repair.compress(ids, 100, 99)
+    at, key = repair.frequent_pairs(symbols, None, 99, 8)
+    assert np.unique(key, return_counts=True)[1].max(initial=0) < 8 and len(symbols) < len(ids) / 5
+    assert np.array_equal(repair.expand(symbols, rules, lengths, 100), ids)
+    for a, b in ((0, len(ids)), (5, 6), (1000, 1400), (len(ids) - 3, len(ids)), (10, 10)):
+        assert np.array_equal(repair.expand_part(symbols, rules, lengths, 100, a, b), ids[a:b])
+    for odd in ([], [1], [99] * 20, [3] * 1000):
+        s, u, n = repair.compress(np.array(odd, np.uint32), 100, 99)
+        assert np.array_equal(repair.expand(s, u, n, 100), odd)
+
+
+def test_documents_are_fetched_by_id(spark, docs, tmp_path):
+    path = str(tmp_path / "tokens")
+    repair.write(docs, path, block_ids=50)
+    want = {r["doc_id"]: r for r in repair.read(spark, path).collect()}
+    for d in (4, 5, 25):
+        (ids,) = repair.fetch(spark, path, d)
+        assert len(ids) == want[d]["n_tokens"] and repair.crc(ids) == want[d]["ids_crc32"]
+        (some,) = repair.fetch(spark, path, d, 2, 5)
+        assert np.array_equal(some, ids[2:5])
+    assert repair.fetch(spark, path, -12345) == []
+    with pytest.raises(ValueError):
+        repair.pack_block([1], [np.array([7, 500, 1], np.uint32)], 500, 1)
+
+
+def test_bounds_leave_out_groups_of_clustered_data(spark):
+    """Queries look at few groups where groups are apart, and results are those of all pairs."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 8)) * 40
+    rows = [(i, (centres[i % 20] + r.normal(size=8)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0")
+    valid = lambda t: knn._valid(t, "vec_id", "embedding", 256.0)
+    groups = knn.groups(valid(df))
+    assert knn.needed(valid(asked), groups, 5).count() < 0.5 * asked.count() * len(groups.cell)
+    x = np.floor(256 * np.array([v for _, v in rows]))
+    for q, found in knn.top_k(df, asked).toPandas().groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(1200), -score))[:5]
+        assert found.sort_values("rank")["vec_id"].tolist() == best.tolist() and found.sort_values("rank")["score"].tolist() == score[best].tolist()
