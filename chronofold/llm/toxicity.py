@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -90,18 +90,36 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", least: int
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), bias, least, most, bits)
     lists = data["at"].combine_chunks()
     at, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    w, b = _logistic(np.repeat(np.arange(len(y), dtype=np.int32), size), at, ratio, y, bias, ridge, steps)
+    w, b = _logistic(size, at, ratio, y, bias, ridge, steps)
     return ToxicityModel(gram, ratio * w, b, least, most, bits)
 
 
-def _logistic(row, at, ratio, y, bias, ridge, steps):
-    """Coefficients of the scaled presence features, by Adam over all rows."""
+def _sums(index: np.ndarray, start: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of values: their sums by runs of an index, run i being index[start[i] : start[i + 1]]."""
+    some = np.flatnonzero(start[1:] > start[:-1])
+
+    def of(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start) - 1)
+        if len(some):
+            out[some] = np.add.reduceat(values[index], start[some])
+        return out
+
+    return of
+
+
+def _logistic(size, at, ratio, y, bias, ridge, steps):
+    """Coefficients of the scaled presence features, by Adam over all rows. size: features of each row; at: these features, row after row."""
+    by_row = _sums(at, np.concatenate([[0], np.cumsum(size)]))
+    order = np.argsort(at, kind="stable")
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[order]
+    by_feature = _sums(row, np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(ratio)))]))
+    del order
     w, b = np.full(len(ratio), 0.1), bias
     state = np.zeros((2, len(ratio) + 1))
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, (ratio * w)[at], len(y))
+        z = b + by_row(ratio * w)
         miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.concatenate([np.bincount(at, miss[row], len(ratio)) * ratio / len(y) + ridge * w, [miss.mean()]])
+        g = np.concatenate([by_feature(miss) * ratio / len(y) + ridge * w, [miss.mean()]])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         step = 0.03 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
