@@ -271,6 +271,10 @@ class WalkForwardRunner:
         return WalkForwardRunResult(pd.DataFrame(records), predictions, dict(self.profile.directions), type(self.policy).__name__, self.profile.primary_metric, tuple(self.profile.metrics), plan.spark)
 
 
+#: Folds whose losses one job gives where decisions depend on them: some LOSSES * LOSSES / 2 pairs of a fold and a state.
+LOSSES = 48
+
+
 @dataclass
 class FoldRuns:
     """Predictions of the test rows of folds by states fitted on the train rows of (other) folds."""
@@ -362,15 +366,16 @@ class FoldRuns:
                 out[(r["k"], r["m"])] |= dict(zip(python, r["v"]))
         return {key: {n: row.get(n) for n in profile.metrics} for key, row in out.items()}
 
-    def losses(self) -> dict[tuple[int, int], dict[str, float]]:
-        """Metrics of every fold under every earlier state: one job, from which any policy can be replayed."""
-        if "losses" not in self.cache:
-            n = len(self.plan.folds)
-            self.cache["losses"] = self.metrics(self.scored([(k, m) for k in range(n) for m in range(k + 1)]))
-        return self.cache["losses"]
+    def loss(self, k: int, m: int) -> dict[str, float]:
+        """Metrics of fold k under the state of fold m. A job scores a block of folds from k on, under m and under every state that a decision among them may fit."""
+        if (k, m) not in self.cache:
+            block = range(k, min((k // LOSSES + 1) * LOSSES, len(self.plan.folds)))
+            pairs = {(j, s) for j in block for s in (m, *range(k, j + 1)) if s <= j} - self.cache.keys()
+            self.cache |= self.metrics(self.scored(sorted(pairs)))
+        return self.cache[(k, m)]
 
     def replay(self, policy: RetrainPolicy) -> tuple[list[bool], dict]:
-        """Decide fold after fold; a native model takes all its losses from one job, another is fitted when a decision asks for it."""
+        """Decide fold after fold; a native model takes its losses from a job for each block of folds, another is fitted when a decision asks for it."""
         native = isinstance(self.model, NativeModel)
         schedule, found, history, last = [], {}, [], None
         for k, f in enumerate(self.plan.folds):
@@ -378,7 +383,7 @@ class FoldRuns:
             again = k == 0 or bool(policy.should_retrain(context))
             last = k if again else last
             schedule.append(again)
-            loss = self.losses()[(k, last)] if native else self.metrics(self.scored([(k, last)]))[(k, last)]
+            loss = self.loss(k, last) if native else self.metrics(self.scored([(k, last)]))[(k, last)]
             found[(k, last)] = loss
             history.append({"fold": f.iteration, "retrained": again, "last_retrain_fold": self.plan.folds[last].iteration, "train_rows": f.counts["train"], "test_rows": f.counts["test"]} | {n: float("nan") if v is None else v for n, v in loss.items()})
         return schedule, found

@@ -85,7 +85,7 @@ def run_walk_forward_baseline_model(spark, source, target_col: str, model: str =
 
 
 def compare_retrain_policy_baselines(spark, source, target_col: str, model: str = "mean", policies: dict[str, object] | None = None, **policy):
-    """All policies from one matrix of losses."""
+    """All policies from the same losses, a job for each block of folds."""
     df = _table(spark, source)
     native, own = _baseline(model)
     from chronofold.functions.metrics import EvaluationProfile

@@ -268,3 +268,15 @@ def test_without_keys_ties_follow_all_columns(daily):
     for _ in range(2):
         found = timeline.with_position(tied.repartition(3), timeline.as_time(tied, "timestamp"), []).collect()
         assert [r["feature"] for r in sorted(found, key=lambda r: r[timeline.POSITION])] == list(range(9))
+
+
+def test_losses_of_blocks_of_folds(daily, monkeypatch):
+    from chronofold.operators import runner as module
+
+    runs = []
+    for size in (48, 1, 3):
+        monkeypatch.setattr(module, "LOSSES", size)
+        r = cf.WalkForwardRunner(model=cf.MeanModel(), target_col="target", feature_cols=["feature"], metrics=["mae"], retrain_policy=cf.FunctionRetrainPolicy(lambda c: c.fold in (2, 3, 6)), key_col="row_id")
+        policy = cf.WalkForwardPolicy(time_col="timestamp", partition=cf.TemporalPartitionSpec(train_size="3D", test_size="1D"), step="1D")
+        runs.append(r.run(policy, daily(13)).records[["fold", "retrained", "mae"]].values.tolist())
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) >= 9
