@@ -458,8 +458,9 @@ def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     more = written(_inside(mixed, texts, edits, per), "inside")
     if not more.isEmpty():
         found = written(extended(found, more), "components")
-    forget(members, links, mixed, more)  # the result reads the other tables
-    named = texts.join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
+    named = texts.select("node", "line_id").join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
+    named = written(named, "named")
+    forget(members, texts, links, mixed, more, found)  # the result reads the other tables
     labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))
     whole = labelled.select("id", "copies", "class").join(first, "class")
