@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,8 +174,8 @@ def clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(scores(pa.array(text, pa.string(), from_pandas=True), shared.value))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(scores(text, shared.value))
 
     return docs.where(scored(col("text").cast("string")) < threshold)
