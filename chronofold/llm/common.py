@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +101,37 @@ def forget(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.chronofold_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: its cleaner waits until the driver's memory is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
+_stores: list = []
+
+
+def stored(most: int) -> Callable:
+    """lru_cache for what a Python worker keeps from task to task; drop_stores() empties it."""
+
+    def wrap(f: Callable) -> Callable:
+        _stores.append(lru_cache(most)(f))
+        return _stores[-1]
+
+    return wrap
+
+
+def drop_stores() -> None:
+    """Forget what earlier steps kept in this worker, where a step needs none of it."""
+    for f in _stores:
+        f.cache_clear()
+
+
+def tidy() -> None:
+    """Give memory that a Python worker has freed back to the system, so that it isn't held beside that of other workers."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what Python workers get at once, however long texts are; a smaller bound that was set stays."""
     most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
@@ -112,10 +145,12 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         each = make()
         for batch in batches:
             for columns in each(batch):
                 yield pa.RecordBatch.from_arrays([as_arrow(columns[f.name], f.type) for f in kinds], schema=kinds)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from chronofold.llm import textvec as V
+from chronofold.llm.common import stored
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ",.;:!?"]] = True
@@ -106,7 +106,7 @@ class Encoder:
             done += 1
 
 
-@lru_cache(2)
+@stored(2)
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker, so that words stay known from task to task."""
     return Encoder(path)

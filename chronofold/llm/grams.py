@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as V
+from chronofold.llm.common import stored
 
 #: Learning and evaluation are split by crc32(doc_id as text) mod this; this remainder is held out.
 FOLDS, HELD_OUT = 3, 1
@@ -98,7 +98,7 @@ class WordStore:
 
     def words(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For groups of words: (text of each distinct pair, slot of its word, how often). Texts ascend; one longer than a group goes on in the next."""
-        for data, at, rows in V.parts(texts):
+        for data, at, rows in V.parts(texts, V.CHUNK // 2):
             start, end = V.spans(data, V.WHITE)
             if not len(start):
                 continue
@@ -133,7 +133,7 @@ class WordStore:
             yield going, held
 
 
-@lru_cache(4)
+@stored(4)
 def gram_store(least: int, most: int, bits: int) -> WordStore:
     """The n-grams of words, kept for all tasks of a Python worker."""
 

@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import textvec as V
-from chronofold.llm.common import col, forget, free, map_arrow, small_batches, written
+from chronofold.llm.common import as_arrow, col, drop_stores, forget, free, map_arrow, release, small_batches, spark_schema, tidy, written
 from chronofold.llm.components import components, extended
 
 _U = np.uint64
@@ -39,6 +40,10 @@ MOST_IDS = 1_000_000
 EDITS, PER = 8, 20
 #: Bits of the map of shared keys that executors get (8 MB); with more keys it lets more pass, and a join decides.
 MAP_BITS = 26
+#: Bits of a bucket's key, of which those over 32 are its slice (half a million keys of 30 GB). Buckets that agree in them are one, which costs comparisons but no link.
+KEY_BITS = 44
+#: Keys that a task holds before it hands them on.
+MOST_HELD = 1 << 20
 #: A character that makes a line one that isn't blank.
 INK = r"[^\x00-\x20\xA0]"
 BLANK = re.compile(r"[\x00-\x20\xA0]*")
@@ -181,7 +186,7 @@ def line_entries(texts: pa.Array, edits: int = EDITS, per: int | None = PER, key
                 found.append((value ^ _U(salt)) * _U(0xD6E8FEB86659FD93))  # the least of many hashes has few high bits
         who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         key = np.concatenate(found) if found else np.zeros(0, _U)
-        yield name.view(np.int64), who, key.view(np.int64), lines
+        yield name.view(np.int64), who, (key & ~_U((1 << 64 - KEY_BITS) - 1)).view(np.int64), lines
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -199,16 +204,83 @@ def _map_of(shared: DataFrame) -> np.ndarray:
 
 
 def _entries(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """node (hash of a line), bucket of every line's keys."""
-
-    def make():
-        def each(batch: pa.RecordBatch):
+    """slice, keys, nodes of every line's keys: sorted keys without the bits that are their slice (4 bytes each), and the hashes of their lines (8 bytes each)."""
+    schema = "slice int, keys binary, nodes binary"
+    kinds = spark_schema(rows.sparkSession, schema)
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        drop_stores()
+        tidy()
+        for batch in batches:
             for name, who, key, _ in line_entries(batch.column("text"), edits, per):
-                yield {"node": name[who], "bucket": key}
-
-        return each
-
-    return map_arrow(rows.select("text"), make, "node long, bucket long")
+                held.append((key, name[who]))
+                total += len(key)
+                if total >= MOST_HELD:
+                    yield sliced(held)
+                    held, total = [], 0
+        if total:
+            yield sliced(held)
+        held = []
+        tidy()
+
+    def sliced(held) -> pa.RecordBatch:
+        key, node = map(np.concatenate, zip(*held))
+        key = key.view(_U) >> _U(64 - KEY_BITS)
+        order = np.argsort(key)
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        edge = np.searchsorted(key, np.arange((1 << KEY_BITS - 32) + 1, dtype=_U) << _U(32))
+        some = np.flatnonzero(np.diff(edge))
+        edge = np.append(edge[some], len(key))
+        binary = [pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((edge * v.itemsize).astype(np.int32)), pa.py_buffer(v)]) for v in (key.astype("<u4"), node)]
+        return pa.RecordBatch.from_arrays([as_arrow(some, pa.int32()), *binary], schema=kinds)
+
+    return rows.select("text").mapInArrow(run, schema)
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """bucket, low (least node) of all buckets that several lines are in."""
+    schema = "bucket long, low long"
+    kinds = spark_schema(entries.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A slice may go on from one batch to the next: the last one of a batch waits.
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            slices = batch.column("slice").to_numpy()
+            keys, nodes = batch.column("keys"), batch.column("nodes")
+            many = pc.binary_length(keys).to_numpy() // 4
+            key = np.repeat(slices.astype(_U) << _U(32), many) | np.frombuffer(b"".join(keys.to_pylist()), "<u4")
+            node = np.frombuffer(b"".join(nodes.to_pylist()), np.int64)
+            cut = int(many[slices != slices[-1]].sum()) if len(slices) else 0
+            if len(slices) and held and held[-1][0][0] >> _U(32) != slices[0]:
+                yield found(held)
+                held = []
+            if cut:
+                yield found([*held, (key[:cut], node[:cut])])
+                held = []
+            if len(slices):
+                held.append((key[cut:], node[cut:]))
+        if held:
+            yield found(held)
+        held = []
+        tidy()
+
+    def found(held) -> pa.RecordBatch:
+        key, node = map(np.concatenate, zip(*held))
+        order = np.argsort(key)
+        key, node = key[order], node[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        low, high = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
+        some = low < high
+        bucket = (key[start[some]] << _U(64 - KEY_BITS)).view(np.int64)
+        return pa.RecordBatch.from_arrays([as_arrow(bucket, pa.int64()), as_arrow(low[some], pa.int64())], schema=kinds)
+
+    return entries.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
 
 
 def _sharing(rows: DataFrame, edits: int, per: int | None, slots) -> DataFrame:
@@ -240,8 +312,8 @@ def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, D
     Two lines of one hash are two rows of one node, and its pairs are verified for both.
     """
     spark = rows.sparkSession
-    ends = _entries(rows, edits, per).groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = written(ends.where("low < high").select("bucket", "low"), "shared")
+    shared = written(_shared(_entries(rows, edits, per)), "shared")
+    release(spark)
     slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
     sharing = written(_sharing(rows, edits, per, slots), "sharing")
     members = written(sharing.select("node", F.explode("buckets").alias("bucket")).join(shared, "bucket"), "members")
@@ -250,6 +322,7 @@ def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, D
     texts = sharing.select("node", "line", "tally").join(F.broadcast(ids) if few else ids, "node", "left_semi").withColumn("line_id", F.md5(F.col("line").cast("binary")))
     texts = written(texts.dropDuplicates(["node", "line_id"]), "texts")
     forget(shared, sharing, ids)
+    release(spark)
     return members, texts
 
 
@@ -294,6 +367,7 @@ def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: n
     who = np.arange(len(xs))
     plus, minus = np.full(len(xs), int(mask) ^ ((1 << most) - 1), _U), np.zeros(len(xs), _U)
     score = np.minimum(most, n)
+    shortest, first_end = int(n.min()), int(m.min())
     good = []
     for column in range(int(m.max())):
         window = x[:, column : column + 2 * most + 1]
@@ -302,21 +376,26 @@ def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: n
         equal = ((window == y[:, column, None]) @ bits).astype(_U)
         diagonal = ((((equal & plus) + plus) ^ plus) | equal | minus) & mask
         rise, fall = minus | ~(diagonal | plus) & mask, diagonal & plus
-        bit = (n - 1 - column + most).clip(0, 63).astype(_U)
-        last = (rise >> bit & _U(1)).astype(np.int64) - (fall >> bit & _U(1)).astype(np.int64)
-        score = score + np.where(column + most < n, 1 - (diagonal >> top & _U(1)).astype(np.int64), last)
+        step = 1 - (diagonal >> top & _U(1)).astype(np.int64)
+        if column + most >= shortest:  # the last row of some matrix is in its band
+            bit = (n - 1 - column + most).clip(0, 63).astype(_U)
+            last = (rise >> bit & _U(1)).astype(np.int64) - (fall >> bit & _U(1)).astype(np.int64)
+            step = np.where(column + most < n, step, last)
+        score = score + step
         down = diagonal >> _U(1)
         plus, minus = (fall | ~(down | rise)) & mask, down & rise
-        ended = m == column + 1
-        if ended.any():
+        ending = column + 1 >= first_end
+        if ending:
+            ended = m == column + 1
             good.extend(who[ended & (score <= limit)].tolist())
-        if ended.any() or column % 16 == 15:
+        if ending or column % 16 == 15:
             left = np.where(column + most < n, most + m - n, m - column - 1)
-            stay = ~ended & (score - left <= limit)
+            stay = (m > column + 1) & (score - left <= limit)
             if not stay.any():
                 break
             if not stay.all():
                 who, x, y, n, m, limit, plus, minus, score = (v[stay] for v in (who, x, y, n, m, limit, plus, minus, score))
+                shortest, first_end = int(n.min()), int(m.min())
     return np.array(good, np.int64)
 
 
@@ -341,6 +420,7 @@ def _near(members: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
     sketched = pairs.join(side("a", size.alias("m"), F.col("tally").alias("x")), "a").join(side("b", size.alias("n"), F.col("tally").alias("y")), "b")
     likely = written(sketched.where(F.abs(F.col("m") - F.col("n")) <= edits).where(alike("m", "n", "x", "y")).select("a", "b").distinct(), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    release(members.sparkSession)
     few = likely.count() <= MOST_IDS // 2
     wanted = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
     both = likely.join(wanted.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(wanted.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
@@ -374,7 +454,7 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
         if held is not None and len(held):
             yield _compared(held, np.array([0, len(held)]), edits, per)
 
-    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // 2000))
+    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // 8000))
     ordered = spread.join(members, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
@@ -451,16 +531,19 @@ def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("first"), F.count("*").alias("copies"))
     members, texts = _members(rows, edits, per)
     links = written(_near(members, texts, edits, per).distinct(), "near")
+    release(rows.sparkSession)
     found = written(components(links), "components")
     large = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("bucket")
     mixed = written(large.join(apart, "bucket").distinct(), "apart")
+    release(rows.sparkSession)
     more = written(_inside(mixed, texts, edits, per), "inside")
     if not more.isEmpty():
         found = written(extended(found, more), "components")
     named = texts.select("node", "line_id").join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
     named = written(named, "named")
     forget(members, texts, links, mixed, more, found)  # the result reads the other tables
+    release(rows.sparkSession)
     labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))
     whole = labelled.select("id", "copies", "class").join(first, "class")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import grams as G
-from chronofold.llm.common import col, documents, map_arrow, small_batches
+from chronofold.llm.common import col, documents, map_arrow, small_batches, stored
 
 
 #: Labels that are broadcast (some 16 MB); more are joined by a shuffle.
@@ -149,9 +148,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     return out.select("doc_id", G.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-@lru_cache(2)
+@stored(2)
 def _weighted(m: ToxicityModel) -> G.WordStore:
     """Numbers of the weighted buckets of each word; kept for as many tasks of a Python worker as have the model."""
+    G.gram_store.cache_clear()  # fitting is over
     number = np.full(1 << m.bits, -1, np.int32)
     number[m.gram] = np.arange(len(m.gram))
 

@@ -57,3 +57,32 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert any(len({texts[i] for i in c}) > 1 for c in want.values())
     assert {x["doc_id"] for x in found if x["kept"]} == {min(c) for c in want.values()}
+
+
+def test_shared_buckets_are_found_in_slices_of_twelve_bytes_a_key(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["\n".join(f"line {j * i % 40} of the text, {i % 3} for all and {j} for some" for j in range(30)) for i in range(12)] + [None, "", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen: dict[int, set[int]] = {}
+    for name, who, key, _ in lines.line_entries(pa.array(texts)):
+        for b, n in zip(key.tolist(), name[who].tolist()):
+            seen.setdefault(b, set()).add(n)
+    want = sorted((b, min(n)) for b, n in seen.items() if len(n) > 1)
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(lines, "MOST_HELD", most)
+        entries = lines._entries(rows, lines.EDITS, lines.PER)
+        assert sorted(map(tuple, lines._shared(entries).collect())) == want and want
+        sizes = entries.selectExpr("sum(length(keys)) k", "sum(length(nodes)) n").first()
+        assert 8 * sizes["k"] == 4 * sizes["n"]
+    assert lines._shared(lines._entries(rows.where("text is null"), lines.EDITS, lines.PER)).isEmpty()
+    assert np.all([b % (1 << 64 - lines.KEY_BITS) == 0 for b in seen])
+
+
+def test_a_worker_forgets_what_other_steps_kept(spark):
+    from chronofold.llm import common, grams
+
+    grams.gram_store(3, 4, 10)
+    common.drop_stores()
+    assert grams.gram_store.cache_info().currsize == 0
