@@ -11,6 +11,8 @@ import pyarrow as pa
 from chronofold.llm import textvec as V
 from chronofold.llm.common import stored
 
+#: Slots (2 to this) in which a word is looked up before it is searched for.
+LAST_BITS = 21
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ",.;:!?"]] = True
 _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -34,15 +36,20 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.key, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of words, and their numbers
+        self.name, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # by number
+        self.last = np.zeros(1 << LAST_BITS, np.int32)  # the number of a word that was looked up last, by the first bits of its hash
         self.ids = np.zeros(0, np.uint32)
-        self.used = 0
+        self.used = self.words = 0
 
-    def _together(self, key: np.ndarray, words: list[str]) -> None:
+    def _together(self, key: np.ndarray, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> None:
         """Words of ASCII letters alone are one piece for the tokenizer, whose last id is one with the end mark; so many fit in one call."""
-        found = self.tokenizer.encode_batch_fast([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)], add_special_tokens=False)
+        size = stop - begin
+        end = np.cumsum(size + 1)
+        joined = np.full(int(end[-1]), 0x20, np.uint8)
+        joined[V.ragged(end - size - 1, size)] = data[V.ragged(begin, size)]
+        text, edge = joined.tobytes().decode("ascii"), [0, *end[199:-1:200].tolist(), int(end[-1])]
+        found = self.tokenizer.encode_batch_fast([text[a : b - 1] for a, b in zip(edge, edge[1:])], add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
         self._store(key, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1), flat)
 
@@ -50,10 +57,44 @@ class Encoder:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used // 2, 1 << 16), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
+        place, number = np.searchsorted(self.key, key), self.words + np.arange(len(key))
+        self.key, self.number = np.insert(self.key, place, key), np.insert(self.number, place, number)
+        if self.words + len(key) > len(self.name):
+            room = max(len(key), self.words // 2, 1 << 14)
+            self.name, self.at, self.size = (np.concatenate([x[: self.words], np.zeros(room, x.dtype)]) for x in (self.name, self.at, self.size))
+        new = slice(self.words, self.words + len(key))
+        self.name[new], self.at[new], self.size[new] = key, self.used + np.cumsum(size) - size, size
+        self.words += len(key)
         self.used += len(flat)
-        place = np.searchsorted(self.key, key)
-        self.key, self.at, self.size = (np.insert(old, place, new) for old, new in ((self.key, key), (self.at, at), (self.size, size)))
+
+    def _numbers(self, key: np.ndarray, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The number of each word; those that aren't known are encoded."""
+        slot = (key >> np.uint64(64 - LAST_BITS)).astype(np.int64)
+        number = self.last[slot].astype(np.int64)
+        other = np.flatnonzero(self.name[number] != key) if self.words else np.arange(len(key))
+        if not len(other):
+            return number
+        unique, one, back = np.unique(key[other], return_index=True, return_inverse=True)
+        if len(self.key) + len(unique) > self.most and len(self.key):
+            self._clear()
+            return self._numbers(key, data, begin, stop)
+        place = np.minimum(np.searchsorted(self.key, unique), max(len(self.key) - 1, 0))
+        new = self.key[place] != unique if len(self.key) else np.ones(len(unique), bool)
+        if new.any():
+            fresh, first, last = unique[new], begin[other[one[new]]], stop[other[one[new]]]
+            letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+            plain = letters[last] - letters[first] == last - first
+            if plain.any():
+                self._together(fresh[plain], data, first[plain], last[plain])
+            if not plain.all():
+                raw = data.tobytes()
+                rest = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(first[~plain].tolist(), last[~plain].tolist())], add_special_tokens=False)
+                ids = [e.ids for e in rest]
+                self._store(fresh[~plain], np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for y in ids for x in y), np.uint32))
+        found = self.number[np.searchsorted(self.key, unique)]
+        self.last[unique >> np.uint64(64 - LAST_BITS)] = found
+        number[other] = found[back]
+        return number
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For groups of words in order: (index of the text, number of ids) of each word, all ids one after the other."""
@@ -68,25 +109,9 @@ class Encoder:
             begin[first], stop[first] = start, end - cut
             last = first[cut] + 1
             begin[last], stop[last] = end[cut] - 1, end[cut]
-            key = V.hashes(data, begin, stop, fold=False)
-            unique, one, back = np.unique(key, return_index=True, return_inverse=True)
-            if len(self.key) + len(unique) > self.most:
-                self._clear()
-            place = np.minimum(np.searchsorted(self.key, unique), max(len(self.key) - 1, 0))
-            new = self.key[place] != unique if len(self.key) else np.ones(len(unique), bool)
-            if new.any():
-                raw = data.tobytes()
-                fresh = [raw[a:b].decode() for a, b in zip(begin[one[new]].tolist(), stop[one[new]].tolist())]
-                plain = np.fromiter((x.isascii() and x.isalpha() for x in fresh), bool, len(fresh))
-                if plain.any():
-                    self._together(unique[new][plain], [x for x, p in zip(fresh, plain.tolist()) if p])
-                if not plain.all():
-                    rest = self.tokenizer.encode_batch_fast([x for x, p in zip(fresh, plain.tolist()) if not p], add_special_tokens=False)
-                    ids = [e.ids for e in rest]
-                    self._store(unique[new][~plain], np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for y in ids for x in y), np.uint32))
-            place = np.searchsorted(self.key, unique)[back]
-            size = self.size[place]
-            yield rows[np.searchsorted(at, begin, "right") - 1], size, self.ids[V.ragged(self.at[place], size)]
+            number = self._numbers(V.hashes(data, begin, stop, fold=False), data, begin, stop)
+            size = self.size[number]
+            yield rows[np.searchsorted(at, begin, "right") - 1], size, self.ids[V.ragged(self.at[number], size)]
 
     def documents(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
         """(index, ids with the end id) of every text, in order; empty texts and nulls have the end id alone."""
@@ -107,9 +132,9 @@ class Encoder:
 
 
 @stored(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 1_000_000) -> Encoder:
     """One encoder for all tasks of a Python worker, so that words stay known from task to task."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def crc(ids: np.ndarray) -> int:

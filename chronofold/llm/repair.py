@@ -28,8 +28,12 @@ from chronofold.llm.textvec import ragged
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
-#: Slots (2 to this) by which rare pairs are told before pairs are counted.
-SLOT_BITS = 18
+#: Slots (2 to this at most, one for each pair or more below) by which rare pairs are told before pairs are counted.
+SLOT_BITS = 20
+#: Words that a worker keeps with their ids, in some 170 MB.
+WORDS = 2_000_000
+#: A level ends with a round that replaces less than one of so many symbols.
+FEW = 16
 HEAD = struct.Struct("<4s5I")
 FILE = "shard int, block int, low long, high long, payload binary"
 
@@ -40,8 +44,9 @@ def frequent_pairs(seq: np.ndarray, places: np.ndarray | None, end_id: int, leas
     if places is not None:
         left, right = left[places], right[places]
     # A slot of a hash that is hit less often than `least` holds no such pair; only what is left has to be sorted.
-    slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-    some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
+    bits = min(SLOT_BITS, max(8, len(left).bit_length()))
+    slot = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.intp)
+    some = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least).take(slot))
     a, b = left[some], right[some]
     inner = (a != end_id) & (b != end_id)
     some = some[inner]
@@ -57,7 +62,7 @@ def _alternate(at: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, expansion lengths), where no pair occurs `least` times any more; a rule that is used less often costs more than it saves.
 
-    Rules are made in rounds, the most frequent pairs first: those that occur as often as a level says, which falls to `least` by quarters. All pairs of a round are
+    Rules are made in rounds, the most frequent pairs first: those that occur as often as a level says, which falls to `least` by eighths. All pairs of a round are
     replaced at once, from left to right. A round after another on the same level looks only at places next to new symbols, since no other
     pair has become more frequent; before the level falls, and at the end, all places are counted again.
     """
@@ -67,7 +72,7 @@ def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[
     while len(seq) > 1:
         at, key = frequent_pairs(seq, fresh, end_id, level or least)
         pair, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        level = level or max(least, int(count.max(initial=0)) // 4)
+        level = level or max(least, int(count.max(initial=0)) // 8)
         good = count >= level
         symbol = np.where(good, np.cumsum(good) - 1, -1)[back]
         at, symbol = at[symbol >= 0], symbol[symbol >= 0]
@@ -77,7 +82,7 @@ def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[
         keep = used >= least  # pairs that lose too many places to their neighbours wait
         if not keep.any():
             if fresh is not None or level > least:
-                level, fresh = max(least, level // 4), None
+                level, fresh = max(least, level // 8), None
                 continue
             if not good.any():
                 break
@@ -92,8 +97,11 @@ def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[
         seq = seq[stay]
         lengths = np.concatenate([lengths, sizes(made[:, 0], lengths, first) + sizes(made[:, 1], lengths, first)])
         rules.append(made)
-        new = seq >= top
-        fresh = np.flatnonzero(new[:-1] | new[1:])
+        if level > least and len(at) < len(seq) // FEW:  # what is left on this level is found on the next
+            level, fresh = max(least, level // 8), None
+        else:
+            new = seq >= top
+            fresh = np.flatnonzero(new[:-1] | new[1:])
         top += len(made)
     return seq, np.concatenate(rules), lengths
 
@@ -234,7 +242,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     first = max(vocabulary_size(vocabulary), end_id + 1) if first is None else first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)
+        words = encoder(vocabulary, WORDS)
         shard, block, total = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         held: list[np.ndarray] = []

@@ -165,3 +165,24 @@ def test_main_text():
     assert main_text("plain") == "plain" and main_text("<p>5 < 6</p>") == "5 < 6"
     assert main_text("<p>" + "long " * 100_000 + "</p>") == ("long " * 100_000).strip()
     assert zlib.crc32(b"") == 0
+
+
+def test_few_rounds_of_pairs_and_words_looked_up_in_few_slots(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from chronofold.llm import encode, repair
+
+    calls = []
+    whole = repair.frequent_pairs
+    monkeypatch.setattr(repair, "frequent_pairs", lambda *a: calls.append(1) or whole(*a))
+    ids = np.minimum(np.random.default_rng(5).zipf(1.3, 60_000), 40_000).astype(np.uint32)
+    symbols, rules, lengths = repair.compress(ids, 50_000, 1)
+    assert np.array_equal(repair.expand(symbols, rules, lengths, 50_000), ids) and len(calls) < 9  # it took 9 before
+    monkeypatch.setattr(encode, "LAST_BITS", 3)
+    texts = ["the house, the garden. Haus und Garten!", None, "x1 y2 été " * 40, "", "a b c d e f g " + " ".join(f"{chr(97 + i % 26)}word{chr(97 + i // 26)} q" for i in range(450))]
+    for most in (5, 1000):
+        e = encode.Encoder(encode.word_tokenizer(), most)
+        for _ in range(2):
+            got = [ids.tolist() for _, ids in e.documents(pa.array(texts), 1)]
+            assert got == [[*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
