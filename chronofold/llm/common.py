@@ -85,11 +85,11 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows of df as a table in the shared folder: later steps don't compute them again, and a lost executor costs none."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.chronofold_path = path
     return out

@@ -11,7 +11,7 @@ line has the key of every such place, and neighbouring places mostly share one,
 one for each place, and no near pair is without a common key. Pairs are verified by an edit distance over the band of k cells beside the diagonal.
 
 A bucket isn't spread into all its pairs: members are compared with one centre, the least of them, first, and then, where a bucket still has several classes,
-with each other in blocks.
+with each other in blocks. Both times lengths and tallies of characters (64 bytes a line) come first, and lines are fetched only where these leave a pair.
 """
 
 from __future__ import annotations
@@ -242,9 +242,9 @@ def _entries(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, schema)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """bucket, low (least node) of all buckets that several lines are in."""
-    schema = "bucket long, low long"
+def _shared(entries: DataFrame, sums: bool = False) -> DataFrame:
+    """bucket, low (least node) of all buckets that several lines are in; with sums also one and two, which are equal for buckets of the same lines."""
+    schema = "bucket long, low long" + ", one long, two long" * sums
     kinds = spark_schema(entries.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +277,30 @@ def _shared(entries: DataFrame) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         low, high = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
         some = low < high
-        bucket = (key[start[some]] << _U(64 - KEY_BITS)).view(np.int64)
-        return pa.RecordBatch.from_arrays([as_arrow(bucket, pa.int64()), as_arrow(low[some], pa.int64())], schema=kinds)
+        columns = [(key[start[some]] << _U(64 - KEY_BITS)).view(np.int64), low[some]]
+        if sums:
+            member = np.repeat(some, np.diff(np.append(start, len(key))))
+            key, node = key[member], node[member]
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a line may come from several tasks
+            key, node = key[new], node[new]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+            columns += [np.add.reduceat(V.mix(node.view(_U) ^ _U(salt)), start).view(np.int64) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        return pa.RecordBatch.from_arrays([as_arrow(c, pa.int64()) for c in columns], schema=kinds)
 
     return entries.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
 
 
+def _sets(entries: DataFrame) -> DataFrame:
+    """bucket, low as _shared, of the least of the buckets that the same lines are in: near lines mostly share several keys, of which one does.
+
+    Sets are told apart by two sums of 64-bit hashes of their members, and the least of these.
+    """
+    return _shared(entries, True).groupBy("low", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "low")
+
+
 def _sharing(rows: DataFrame, edits: int, per: int | None, slots) -> DataFrame:
     """node, line, buckets (keys that other lines may have) of every line that has such keys."""
 
@@ -306,24 +324,37 @@ def _sharing(rows: DataFrame, edits: int, per: int | None, slots) -> DataFrame:
     return map_arrow(rows.select("text"), make, "node long, line string, tally binary, buckets array<long>")
 
 
-def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node, low of all buckets that several lines are in, low being the least of them; node, line, line_id, tally of these lines). A member may come twice.
+def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bucket, node, low of all buckets that several lines are in, one for each set of lines, low being the least of them; node, line_id, size, bytes, tally of these lines; a table that _fetched reads).
 
-    Two lines of one hash are two rows of one node, and its pairs are verified for both.
+    A member may come twice. Two lines of one hash are two rows of one node, and its pairs are verified for both.
     """
     spark = rows.sparkSession
-    shared = written(_shared(_entries(rows, edits, per)), "shared")
+    shared = written(_sets(_entries(rows, edits, per)), "shared")
     release(spark)
     slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
-    sharing = written(_sharing(rows, edits, per, slots), "sharing")
+    line = F.col("line")
+    found = _sharing(rows, edits, per, slots).select("*", F.unhex(F.md5(line.cast("binary"))).alias("line_id"), F.length(line).alias("size"), F.octet_length(line).alias("bytes"))
+    sharing = written(found, "sharing", "zstd")
     members = written(sharing.select("node", F.explode("buckets").alias("bucket")).join(shared, "bucket"), "members")
     ids = written(members.select("node").distinct(), "ids")
     few = ids.count() <= MOST_IDS
-    texts = sharing.select("node", "line", "tally").join(F.broadcast(ids) if few else ids, "node", "left_semi").withColumn("line_id", F.md5(F.col("line").cast("binary")))
-    texts = written(texts.dropDuplicates(["node", "line_id"]), "texts")
-    forget(shared, sharing, ids)
+    sketches = sharing.select("node", "line_id", "size", "bytes", "tally").join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    sketches = written(sketches.dropDuplicates(["node", "line_id"]), "sketches")
+    forget(shared, ids)
     release(spark)
-    return members, texts
+    return members, sketches, sharing
+
+
+def _fetched(sharing: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, line of the lines of some nodes, each once."""
+    ids = written(nodes.distinct(), "ids")
+    few = ids.count() <= MOST_IDS
+    wanted = sharing.select("node", "line_id", "line").join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    out = written(wanted.dropDuplicates(["node", "line_id"]).select("node", "line"), "fetched")
+    forget(ids)
+    release(sharing.sparkSession)
+    return out
 
 
 def tallies(lines: list[str]) -> np.ndarray:
@@ -399,7 +430,7 @@ def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: n
     return np.array(good, np.int64)
 
 
-def _near(members: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
+def _near(members: DataFrame, sketches: DataFrame, sharing: DataFrame, edits: int, per: int | None) -> DataFrame:
     """Links (a, b) of each member of a bucket with its centre. Lengths and tallies are compared first, so that few lines are fetched."""
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
@@ -413,33 +444,30 @@ def _near(members: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(near_lines(x.tolist(), y.tolist(), edits, per, tally=False), dtype=bool)
 
-    def side(node: str, *columns) -> DataFrame:
-        return texts.select(F.col("node").alias(node), *columns)
+    def side(node: str, size: str, tally: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(node), F.col("size").alias(size), F.col("tally").alias(tally))
 
-    size = F.length("line")
-    sketched = pairs.join(side("a", size.alias("m"), F.col("tally").alias("x")), "a").join(side("b", size.alias("n"), F.col("tally").alias("y")), "b")
+    sketched = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
     likely = written(sketched.where(F.abs(F.col("m") - F.col("n")) <= edits).where(alike("m", "n", "x", "y")).select("a", "b").distinct(), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     release(members.sparkSession)
-    few = likely.count() <= MOST_IDS // 2
-    wanted = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
-    both = likely.join(wanted.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(wanted.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(near("x", "y")).select("a", "b")
-
+    lines = _fetched(sharing, likely.select(F.explode(F.array("a", "b")).alias("node")))
+    both = likely.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    near_ones = written(both.where(near("x", "y")).select("a", "b").distinct(), "near")
+    forget(likely, lines)
+    release(members.sparkSession)
+    return near_ones
 
-def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """Links between classes inside buckets that have several. mixed: bucket, node, component.
 
-    A bucket's members are dealt into chunks of bounded number and bytes, and a task compares two chunks. A pair is compared in the least of the
-    buckets that it shares.
-    """
-    lengths = mixed.join(texts.select("node", F.octet_length("line").alias("bytes")), "node")
-    size = lengths.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("chunks"))
-    buckets = mixed.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # as many as a line has keys
-    members = texts.select("node", "line").join(buckets, "node")
+def _spread(mixed: DataFrame, chunks) -> DataFrame:
+    """bucket, node, component, chunk, i, j: members of a bucket dealt into `chunks` (an aggregate over its rows), and each where chunks i and j are compared."""
+    size = mixed.groupBy("bucket").agg(chunks.cast("int").alias("chunks"))
     dealt = mixed.join(size, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    spread = spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
+def _in_groups(spread: DataFrame, others: DataFrame, tasks: int, compare, schema: str) -> DataFrame:
+    """What `compare` gives for the rows of spread, joined with others by their nodes, and where their groups (bucket, i, j) start."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Groups may go on from one batch to the next: the last one of a batch waits.
@@ -449,34 +477,96 @@ def _inside(mixed: DataFrame, texts: DataFrame, edits: int, per: int | None) ->
             key = frame[["bucket", "i", "j"]].to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
             if len(edge) > 1:
-                yield _compared(frame.iloc[: edge[-1]], edge, edits, per)
+                yield compare(frame.iloc[: edge[-1]], edge)
             held = frame.iloc[edge[-1] :]
         if held is not None and len(held):
-            yield _compared(held, np.array([0, len(held)]), edits, per)
+            yield compare(held, np.array([0, len(held)]))
+
+    parts = max(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    return spread.join(others, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, schema)
+
+
+def _alike(mixed: DataFrame, sketches: DataFrame, edits: int, per: int | None) -> DataFrame:
+    """The rows of mixed (bucket, node, component) that lengths and tallies leave near a row of their bucket that is of another class.
+
+    Two lines that may be near have a row in each bucket that both are in, so _inside finds the links among these rows that it finds among all.
+    """
+    rows = mixed.count()
+    found = _in_groups(_spread(mixed, F.ceil(F.count("*") / BLOCK)), sketches.select("node", "size", "tally"), -(-rows // 8000), lambda rows, edge: _paired(rows, edge, edits, per), "bucket long, node long, component long")
+    return found.distinct()
+
+
+def _inside(mixed: DataFrame, sketches: DataFrame, sharing: DataFrame, edits: int, per: int | None) -> DataFrame:
+    """Links between classes inside buckets that have several. mixed: bucket, node, component.
+
+    A bucket's members are dealt into chunks of bounded number and bytes, and a task compares two chunks. A pair is compared in the least of the
+    buckets that it shares.
+    """
+    lines = _fetched(sharing, mixed.select("node"))
+    buckets = mixed.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # as many as a line has keys
+    lengths = mixed.join(sketches.groupBy("node").agg(F.max("bytes").alias("bytes")), "node")
+    spread = _spread(lengths, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))))
+    found = _in_groups(spread, lines.join(buckets, "node"), -(-spread.count() // 8000), lambda rows, edge: _compared(rows, edge, edits, per), "a long, b long")
+    out = written(found.distinct(), "inside")
+    forget(lines)
+    return out
+
+
+def _pairs(edge: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, as numbers. edge: where groups start, and the end of the last; own: the rows' classes, which may become fewer meanwhile."""
+    many = np.diff(edge)
+    small = np.repeat(many <= 48, many)
+    group = np.repeat(np.arange(len(many)), many)
+    for d in range(1, int(many[many <= 48].max(initial=1))):
+        p = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        yield p, p + d
+    for g in np.flatnonzero(many > 48).tolist():
+        at = np.arange(edge[g], edge[g + 1])
+        label, where = np.unique(own[at], return_inverse=True)
+        main = where == np.bincount(where).argmax()  # members of the largest class needn't be compared with each other
+        for p in at[~main].tolist():
+            q = at[main | (at > p)]
+            yield np.full(len(q), p), q
+
+
+def _possible(rows: pd.DataFrame, own: np.ndarray, size: np.ndarray, tally: np.ndarray, edits: int, per: int | None):
+    """A function that leaves of pairs of rows those of two classes, and of two chunks if the group has two, that lengths and tallies leave near."""
+    chunk, across = rows["chunk"].to_numpy(), rows["i"].to_numpy() != rows["j"].to_numpy()
+    most = np.array([allowed(n, edits, per) for n in size.tolist()])
+
+    def leave(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        limit = np.minimum(most[p], most[q])
+        some = (own[p] != own[q]) & (~across[p] | (chunk[p] != chunk[q])) & (np.abs(size[p] - size[q]) <= limit)
+        p, q, limit = p[some], q[some], limit[some]
+        some = np.abs(tally[p] - tally[q]).sum(axis=1) <= 2 * limit
+        return p[some], q[some]
+
+    return leave
+
 
-    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // 8000))
-    ordered = spread.join(members, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return ordered.mapInPandas(run, "a long, b long").distinct()
+def _paired(rows: pd.DataFrame, edge: np.ndarray, edits: int, per: int | None) -> pd.DataFrame:
+    """The rows of groups that are in a pair that _possible leaves."""
+    own, size = rows["component"].to_numpy(), rows["size"].to_numpy()
+    tally = np.frombuffer(b"".join(rows["tally"]), np.uint8).reshape(-1, 64).astype(np.int16)
+    leave, seen = _possible(rows, own, size, tally, edits, per), np.zeros(len(rows), bool)
+    for p, q in _pairs(edge, own):
+        new = ~(seen[p] & seen[q])
+        p, q = leave(p[new], q[new])
+        seen[p] = seen[q] = True
+    return rows.loc[seen, ["bucket", "node", "component"]]
 
 
 def _compared(rows: pd.DataFrame, edge: np.ndarray, edits: int, per: int | None) -> pd.DataFrame:
     """Links between classes among the lines of each group (one bucket, or two chunks of one). edge: where groups start, and the end of the last."""
-    line, node, chunk, bucket = rows["line"].tolist(), rows["node"].to_numpy(), rows["chunk"].to_numpy(), rows["bucket"].to_numpy()
+    line, node, bucket = rows["line"].tolist(), rows["node"].to_numpy(), rows["bucket"].to_numpy()
     shared, own = [frozenset(b.tolist()) for b in rows["buckets"]], rows["component"].to_numpy().copy()
-    across = rows["i"].to_numpy() != rows["j"].to_numpy()
-    size = np.array([len(x) for x in line])
-    most = np.array([allowed(n, edits, per) for n in size.tolist()])
-    tally = tallies(line)
+    leave = _possible(rows, own, np.array([len(x) for x in line]), tallies(line), edits, per)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     found: list[tuple[int, int]] = []
 
     def consider(p: np.ndarray, q: np.ndarray) -> None:
         """Pairs of one group: those that may be near wait to be verified, each in the least bucket that both lines are in."""
-        limit = np.minimum(most[p], most[q])
-        some = (own[p] != own[q]) & (~across[p] | (chunk[p] != chunk[q])) & (np.abs(size[p] - size[q]) <= limit)
-        p, q, limit = p[some], q[some], limit[some]
-        some = np.abs(tally[p] - tally[q]).sum(axis=1) <= 2 * limit
-        p, q = p[some], q[some]
+        p, q = leave(p, q)
         first = np.fromiter((min(shared[i] & shared[j]) for i, j in zip(p.tolist(), q.tolist())), np.int64, len(p)) == bucket[p]
         if first.any():
             waiting.append((p[first], q[first]))
@@ -496,19 +586,8 @@ def _compared(rows: pd.DataFrame, edge: np.ndarray, edits: int, per: int | None)
                     own[own == max(own[i], own[j])] = min(own[i], own[j])
                     found.append((node[i], node[j]))
 
-    many = np.diff(edge)
-    small = np.repeat(many <= 48, many)
-    group = np.repeat(np.arange(len(many)), many)
-    for d in range(1, int(many[many <= 48].max(initial=1))):
-        p = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
-        consider(p, p + d)
-    for g in np.flatnonzero(many > 48).tolist():
-        at = np.arange(edge[g], edge[g + 1])
-        label, where = np.unique(own[at], return_inverse=True)
-        main = where == np.bincount(where).argmax()  # members of the largest class needn't be compared with each other
-        for p in at[~main].tolist():
-            q = at[main | (at > p)]
-            consider(np.full(len(q), p), q)
+    for p, q in _pairs(edge, own):
+        consider(p, q)
     decide()
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -529,20 +608,22 @@ def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     each = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(INK))
     lines = written(each.select("rid", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("id")), "lines")
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("first"), F.count("*").alias("copies"))
-    members, texts = _members(rows, edits, per)
-    links = written(_near(members, texts, edits, per).distinct(), "near")
-    release(rows.sparkSession)
+    members, sketches, sharing = _members(rows, edits, per)
+    links = _near(members, sketches, sharing, edits, per)
     found = written(components(links), "components")
     large = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("bucket")
     mixed = written(large.join(apart, "bucket").distinct(), "apart")
+    forget(members, links)
+    release(rows.sparkSession)
+    alike = written(_alike(mixed, sketches, edits, per), "alike")
+    forget(mixed)
     release(rows.sparkSession)
-    more = written(_inside(mixed, texts, edits, per), "inside")
+    more = _inside(alike, sketches, sharing, edits, per)
     if not more.isEmpty():
         found = written(extended(found, more), "components")
-    named = texts.select("node", "line_id").join(found, "node").select(F.unhex("line_id").alias("id"), F.col("component").cast("string").cast("binary").alias("class"))
-    named = written(named, "named")
-    forget(members, texts, links, mixed, more, found)  # the result reads the other tables
+    named = written(sketches.select("node", F.col("line_id").alias("id")).join(found, "node").select("id", F.col("component").cast("string").cast("binary").alias("class")), "named")
+    forget(sketches, sharing, alike, more, found)  # the result reads the other tables
     release(rows.sparkSession)
     labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))

@@ -80,6 +80,61 @@ def test_shared_buckets_are_found_in_slices_of_twelve_bytes_a_key(spark, monkeyp
     assert np.all([b % (1 << 64 - lines.KEY_BITS) == 0 for b in seen])
 
 
+def test_buckets_of_the_same_lines_are_one(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["\n".join(f"the line number {j} has many words, of which {j * i % 4} is the last" for j in range(12)) for i in range(6)] + [None, "", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen: dict[int, set[int]] = {}
+    for name, who, key, _ in lines.line_entries(pa.array(texts)):
+        for b, n in zip(key.tolist(), name[who].tolist()):
+            seen.setdefault(b, set()).add(n)
+    want = {frozenset(x) for x in seen.values() if len(x) > 1}
+    assert len(want) < sum(len(x) > 1 for x in seen.values())
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(lines, "MOST_HELD", most)
+        members, _, _ = lines._members(rows, lines.EDITS, lines.PER)
+        got: dict[int, set[int]] = {}
+        for x in members.collect():
+            got.setdefault(x["bucket"], set()).add(x["node"])
+            assert x["low"] == min(seen[x["bucket"]])
+        assert len(got) == len(want) and {frozenset(x) for x in got.values()} == want
+    assert lines._sets(lines._entries(rows.where("text is null"), lines.EDITS, lines.PER)).isEmpty()
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_only_lines_with_a_possible_partner_are_fetched(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    # All share their first half, so they are in the same buckets; the other halves have characters of their own, but for a few pairs.
+    texts = ["a stretch of forty characters, for all: " + chr(0x100 + 2 * i) * 20 + chr(0x101 + 2 * i) * 20 for i in range(32)]
+    texts += [t[:-1] + "#" for t in texts[3:30:10]]
+    fetched, compared, inside = [], [], lines._inside
+    real = lines.written
+
+    def noted(df, name, *more):
+        out = real(df, name, *more)
+        if "line" in out.columns and name != "sharing" and "line_no" not in out.columns:
+            fetched.append(out.count())
+        return out
+
+    def counted(mixed, *more):
+        compared.append(mixed.select("node").distinct().count())
+        return inside(mixed, *more)
+
+    monkeypatch.setattr(lines, "written", noted)
+    monkeypatch.setattr(lines, "_inside", counted)
+    found = lines.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    home = {}
+    for x in found:
+        home.setdefault(x["class_id"], []).append(x["doc_id"])
+    want = {i: [i] for i in range(32)}
+    for k, i in enumerate(range(3, 30, 10)):
+        want[i].append(32 + k)
+    assert sorted(map(sorted, home.values())) == sorted(want.values())
+    assert compared and max(compared) < len(texts) // 3
+    assert fetched and max(fetched) < len(texts) // 3
+
+
 def test_a_worker_forgets_what_other_steps_kept(spark):
     from chronofold.llm import common, grams
 
