@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -13,23 +14,53 @@ from chronofold.llm.common import stored
 
 #: Slots (2 to this) in which a word is looked up before it is searched for.
 LAST_BITS = 21
-_ENDS = np.zeros(256, bool)
-_ENDS[[ord(c) for c in ",.;:!?"]] = True
-_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+#: Marks at the end of a word that are taken off; with more of them it stays whole.
+MARKS = 8
+#: What a tokenizer must do before its model for words to be taken in lower case and in pieces.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_ASCII = [chr(b) if b < 0x80 else "" for b in range(256)]
+_LETTER = np.array([c.isalpha() for c in _ASCII])
+_ALNUM = np.array([c.isalnum() for c in _ASCII])
+_MARK = np.array([c > " " and c != "\x7f" and not c.isalnum() for c in _ASCII])
+#: Lower case of ASCII bytes, and of the second bytes of Latin-1 letters (U+00C0 to U+00FF, whose first byte is C3).
+_LOWER, _LOWER_LATIN = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_LOWER_LATIN[[*range(0x80, 0x97), *range(0x98, 0x9F)]] += 0x20
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Where second bytes of Latin-1 letters are."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    return at[(data[at] != 0x97) & (data[at] != 0xB7)]  # the signs of times and division
 
 
 class Encoder:
     """Ids of texts under a tokenizer that splits at ASCII white space and drops it.
 
     For such a tokenizer the ids of a text are those of its white-space separated words, one after the other, so
-    each word is given to the tokenizers library once and its ids are kept. A last comma, point or the like after an ASCII
-    letter is a piece of its own for the tokenizer, too, and is taken off. The store of words is emptied when it has `most`.
+    each word is given to the tokenizers library once and its ids are kept. The store of words is emptied when it has `most`.
+
+    If the tokenizer makes texts lower case and splits them as _SPLIT does, words differ less: they are taken in lower case (those of ASCII and Latin-1 letters,
+    which no normalization joins with their neighbours), and marks at the end after a letter or digit, a piece of their own for the tokenizer, too, are taken off.
+    A word of such letters alone is one piece, which the model gets without the steps before it. Marks of added tokens, which are looked for
+    before all these steps, are left where they are, and words with them as they are.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        added = "".join(x["content"] for x in steps["added_tokens"])
+        marks = [ord(c) for c in added if not c.isalnum() and c.isascii()]
+        suffix = steps["model"].get("end_of_word_suffix") == "</w>" and all(not x["content"].isalnum() and x["content"].isascii() for x in steps["added_tokens"])
+        self.known = suffix and (steps["normalizer"], steps["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+        self.mark, self.keep = _MARK.copy(), np.array([b >= 0x80 for b in range(256)])
+        self.mark[marks], self.keep[marks] = False, True
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.most = most
@@ -43,13 +74,13 @@ class Encoder:
         self.used = self.words = 0
 
     def _together(self, key: np.ndarray, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> None:
-        """Words of ASCII letters alone are one piece for the tokenizer, whose last id is one with the end mark; so many fit in one call."""
+        """Words in lower case of ASCII and Latin-1 letters alone are one piece for the tokenizer, whose last id is one with the end mark; so many fit in one call."""
         size = stop - begin
         end = np.cumsum(size + 1)
         joined = np.full(int(end[-1]), 0x20, np.uint8)
         joined[V.ragged(end - size - 1, size)] = data[V.ragged(begin, size)]
-        text, edge = joined.tobytes().decode("ascii"), [0, *end[199:-1:200].tolist(), int(end[-1])]
-        found = self.tokenizer.encode_batch_fast([text[a : b - 1] for a, b in zip(edge, edge[1:])], add_special_tokens=False)
+        text, edge = joined.tobytes(), [0, *end[199:-1:200].tolist(), int(end[-1])]
+        found = self.plain.encode_batch_fast([text[a : b - 1].decode() for a, b in zip(edge, edge[1:])], add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
         self._store(key, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1), flat)
 
@@ -82,8 +113,7 @@ class Encoder:
         new = self.key[place] != unique if len(self.key) else np.ones(len(unique), bool)
         if new.any():
             fresh, first, last = unique[new], begin[other[one[new]]], stop[other[one[new]]]
-            letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-            plain = letters[last] - letters[first] == last - first
+            plain = self._of_letters(data, first, last)
             if plain.any():
                 self._together(fresh[plain], data, first[plain], last[plain])
             if not plain.all():
@@ -96,22 +126,67 @@ class Encoder:
         number[other] = found[back]
         return number
 
+    def _of_letters(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which words may be given to _together."""
+        if not self.known:
+            return np.zeros(len(begin), bool)
+        size = stop - begin
+        data = data[V.ragged(begin, size)]
+        letter, at = _LETTER[data], _latin(data)
+        letter[at] = letter[at - 1] = True
+        return np.logical_and.reduceat(letter, np.cumsum(size) - size)
+
+    def _lowered(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bytes with words in lower case, but for those with other characters than ASCII and Latin-1 letters, or marks of added tokens."""
+        out, at, other = _LOWER[data], _latin(data), self.keep[data]
+        out[at] = _LOWER_LATIN[data[at]]
+        other[at] = other[at - 1] = False
+        other = np.flatnonzero(other)
+        if len(other):
+            word = np.unique(np.searchsorted(start, other, "right") - 1)
+            place = V.ragged(start[word], end[word] - start[word])
+            out[place] = data[place]
+        return out
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end if up to MARKS marks after a last letter or digit are words of their own."""
+        cut = np.zeros(len(start), np.int64)  # where such marks begin
+        word = np.flatnonzero(self.mark[data[end - 1]])
+        at = end[word] - 1
+        for _ in range(MARKS):
+            at -= 1
+            inner = at >= start[word]
+            word, at = word[inner], at[inner]
+            last = data[at]
+            found = _ALNUM[last]
+            found |= (data[at - 1] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (at > 0)
+            cut[word[found]] = at[found] + 1
+            more = self.mark[last]
+            word, at = word[more], at[more]
+            if not len(word):
+                break
+        some = np.flatnonzero(cut)
+        if not len(some):
+            return start, end
+        many = np.ones(len(start), np.int64)
+        many[some] = 2
+        begin, stop, at = np.repeat(start, many), np.repeat(end, many), some + np.arange(1, len(some) + 1)
+        begin[at] = stop[at - 1] = cut[some]
+        return begin, stop
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For groups of words in order: (index of the text, number of ids) of each word, all ids one after the other."""
         for data, at, rows in V.parts(texts):
             start, end = V.spans(data, V.WHITE)
             if not len(start):
                 continue
-            cut = _ENDS[data[end - 1]] & (end - start > 1)
-            cut[cut] = _LETTER[data[end[cut] - 2]]
-            first = np.arange(len(start)) + np.cumsum(cut) - cut
-            begin, stop = (np.zeros(len(start) + int(cut.sum()), np.int64) for _ in range(2))
-            begin[first], stop[first] = start, end - cut
-            last = first[cut] + 1
-            begin[last], stop[last] = end[cut] - 1, end[cut]
+            begin, stop = start, end
+            if self.known:
+                data = self._lowered(data, start, end)
+                begin, stop = self._pieces(data, start, end)
             number = self._numbers(V.hashes(data, begin, stop, fold=False), data, begin, stop)
             size = self.size[number]
-            yield rows[np.searchsorted(at, begin, "right") - 1], size, self.ids[V.ragged(self.at[number], size)]
+            yield np.repeat(rows, np.diff(np.searchsorted(begin, at), append=len(begin))), size, self.ids[V.ragged(self.at[number], size)]
 
     def documents(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
         """(index, ids with the end id) of every text, in order; empty texts and nulls have the end id alone."""

@@ -38,15 +38,21 @@ HEAD = struct.Struct("<4s5I")
 FILE = "shard int, block int, low long, high long, payload binary"
 
 
+def _slots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each pair, and how often each slot is hit: no pair occurs more often than its slot is hit."""
+    bits = min(SLOT_BITS, max(8, len(left).bit_length()))
+    slot = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.intp)
+    return slot, np.bincount(slot, minlength=1 << bits)
+
+
 def frequent_pairs(seq: np.ndarray, places: np.ndarray | None, end_id: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, both symbols as one number) of every pair that occurs `least` times or more at the places (all, if None), and of some that don't. None takes in an end id."""
     left, right = seq[:-1], seq[1:]
     if places is not None:
         left, right = left[places], right[places]
     # A slot of a hash that is hit less often than `least` holds no such pair; only what is left has to be sorted.
-    bits = min(SLOT_BITS, max(8, len(left).bit_length()))
-    slot = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.intp)
-    some = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least).take(slot))
+    slot, hits = _slots(left, right)
+    some = np.flatnonzero((hits >= least).take(slot))
     a, b = left[some], right[some]
     inner = (a != end_id) & (b != end_id)
     some = some[inner]
@@ -63,26 +69,25 @@ def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[
     """(symbols, rules, expansion lengths), where no pair occurs `least` times any more; a rule that is used less often costs more than it saves.
 
     Rules are made in rounds, the most frequent pairs first: those that occur as often as a level says, which falls to `least` by eighths. All pairs of a round are
-    replaced at once, from left to right. A round after another on the same level looks only at places next to new symbols, since no other
-    pair has become more frequent; before the level falls, and at the end, all places are counted again.
+    replaced at once, from left to right. A round after another on the same level looks only at places next to new symbols and at those of
+    frequent pairs that weren't replaced: no other pair has become more frequent. When the level falls, all places are counted.
     """
     seq = ids.astype(np.uint32)  # a copy
     rules, lengths, top = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64), first
-    level, fresh = 0, None
+    level, places = max(least, int(_slots(seq[:-1], seq[1:])[1].max()) // 8), None
     while len(seq) > 1:
-        at, key = frequent_pairs(seq, fresh, end_id, level or least)
+        at, key = frequent_pairs(seq, places, end_id, level)
         pair, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        level = level or max(least, int(count.max(initial=0)) // 8)
         good = count >= level
         symbol = np.where(good, np.cumsum(good) - 1, -1)[back]
         at, symbol = at[symbol >= 0], symbol[symbol >= 0]
-        free = _alternate(at)
+        waiting, free = at, _alternate(at)
         at, symbol = at[free], symbol[free]
         used = np.bincount(symbol, minlength=int(good.sum()))
         keep = used >= least  # pairs that lose too many places to their neighbours wait
         if not keep.any():
-            if fresh is not None or level > least:
-                level, fresh = max(least, level // 8), None
+            if level > least:
+                level, places = max(least, level // 8), None
                 continue
             if not good.any():
                 break
@@ -98,10 +103,14 @@ def compress(ids: np.ndarray, first: int, end_id: int, least: int = 8) -> tuple[
         lengths = np.concatenate([lengths, sizes(made[:, 0], lengths, first) + sizes(made[:, 1], lengths, first)])
         rules.append(made)
         if level > least and len(at) < len(seq) // FEW:  # what is left on this level is found on the next
-            level, fresh = max(least, level // 8), None
+            level, places = max(least, level // 8), None
         else:
-            new = seq >= top
-            fresh = np.flatnonzero(new[:-1] | new[1:])
+            stay[at] = False
+            waiting = waiting[stay[waiting] & stay[waiting + 1]]
+            new = at - np.arange(len(at))
+            look = np.zeros(len(seq) + 1, bool)  # the pair before each symbol
+            look[new] = look[new + 1] = look[waiting - np.searchsorted(at, waiting) + 1] = True
+            places = np.flatnonzero(look[1:-1])
         top += len(made)
     return seq, np.concatenate(rules), lengths
 

@@ -186,3 +186,42 @@ def test_few_rounds_of_pairs_and_words_looked_up_in_few_slots(monkeypatch):
         for _ in range(2):
             got = [ids.tolist() for _, ids in e.documents(pa.array(texts), 1)]
             assert got == [[*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_words_that_differ_in_case_or_marks_are_encoded_once(tokenizer):
+    r = random.Random(11)
+    letters = [*"abJKsTzXÀÉÞßéþÿ×÷İŒœǄΣσ0 9²  '!$&#*%.,-<|>\x00\x1c\x85\xa0̸́̌ﬁK\n", "'S", "'re", "!!", "&&&", "." * 12, "<|endoftext|>", "<|ENDOFTEXT|>", " The ", "É́"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    found = [ids.tolist() for _, ids in Encoder(word_tokenizer()).documents(pa.array(texts), 1)]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    few = Encoder(word_tokenizer())
+    text = "Haus haus HAUS haus, Haus!! (haus haus&&& haus... Été été ÉTÉ été. été??! x1 X1 x1!!"
+    assert [ids.tolist() for _, ids in few.documents(pa.array([text]), 1)] == [tokenizer.encode(text, add_special_tokens=False).ids + [1]]
+    assert few.words == 10  # haus, (haus, été, x1 and six runs of marks; it took 16 before
+
+
+def test_a_tokenizer_that_tells_case_apart_gets_words_as_they_are(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({c: i for i, c in enumerate("abAB,!")}, []))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "other.json"))
+    text = "ab AB, Ab! aB!! a b"
+    assert [ids.tolist() for _, ids in Encoder(str(tmp_path / "other.json")).documents(pa.array([text]), 9)] == [other.encode(text).ids + [9]]
+
+
+def test_pairs_are_counted_at_all_places_only_when_the_level_falls(monkeypatch):
+    from chronofold.llm import repair
+
+    calls = []
+    whole = repair.frequent_pairs
+    monkeypatch.setattr(repair, "frequent_pairs", lambda *a: calls.append((a[1] is None, a[3])) or whole(*a))
+    r = np.random.default_rng(8)
+    for ids in (np.minimum(r.zipf(1.3, 60_000), 40_000), r.integers(2, 5, 20_000), np.full(5000, 7), np.tile([5, 5, 6, 1], 3000), np.array([1, 4]), np.array([1])):
+        calls.clear()
+        symbols, rules, lengths = repair.compress(ids.astype(np.uint32), 50_000, 1)
+        assert np.array_equal(repair.expand(symbols, rules, lengths, 50_000), ids)
+        pairs, count = np.unique(symbols[:-1].astype(np.int64) << 32 | symbols[1:], return_counts=True)
+        assert not ((count >= 8) & (pairs >> 32 != 1) & (pairs & 0xFFFFFFFF != 1)).any()
+        everywhere = [level for all_places, level in calls if all_places]
+        assert len(everywhere) == len(set(everywhere))  # once for each level; the last was counted again and again before
