@@ -364,15 +364,25 @@ def tallies(lines: list[str]) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(lines)) << 6, size) + code, minlength=len(lines) << 6).reshape(-1, 64).astype(np.int32)
 
 
-def near_lines(xs: list[str], ys: list[str], edits: int, per: int | None, tally: bool = True) -> np.ndarray:
+def _unlike(xs: list[str], ys: list[str]) -> np.ndarray:
+    """How much tallies of halves of two lines differ in all, by twice their edits at most.
+
+    The shorter line's first half is held against as many characters at the start of the longer one, and its rest against as many at the end. An edit before the
+    middle of the shorter line counts for the first ones only, by two: a character that is put in or taken out moves one over their end.
+    """
+    pairs = [(x, y, len(x) // 2) if len(x) <= len(y) else (y, x, len(y) // 2) for x, y in zip(xs, ys)]
+    start = np.abs(tallies([x[:h] for x, _, h in pairs]) - tallies([y[:h] for _, y, h in pairs])).sum(axis=1)
+    return start + np.abs(tallies([x[h:] for x, _, h in pairs]) - tallies([y[len(y) - len(x) + h :] for x, y, h in pairs])).sum(axis=1)
+
+
+def near_lines(xs: list[str], ys: list[str], edits: int, per: int | None) -> np.ndarray:
     """Whether each pair of lines is near: the columns of edit_distance for many pairs at once, short lines of like length together."""
     n, m = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
     limit = np.array([allowed(v, edits, per) for v in np.minimum(n, m).tolist()], np.int64)
     out = np.array([x == y for x, y in zip(xs, ys)], bool)
     todo = np.flatnonzero(~out & (np.abs(n - m) <= limit))
-    if tally and len(todo):
-        unlike = np.abs(tallies([xs[i] for i in todo]) - tallies([ys[i] for i in todo])).sum(axis=1)
-        todo = todo[unlike <= 2 * limit[todo]]
+    if len(todo):
+        todo = todo[_unlike([xs[i] for i in todo], [ys[i] for i in todo]) <= 2 * limit[todo]]
     todo = todo[np.argsort(m[todo], kind="stable")]
     at = 0
     while at < len(todo):
@@ -390,21 +400,19 @@ def _banded(xs: list[str], ys: list[str], n: np.ndarray, m: np.ndarray, limit: n
     """Numbers of the pairs within their limits; no limit is over 25."""
     most = int(limit.max())
     mask, top = _U((1 << 2 * most + 1) - 1), _U(2 * most)
-    x, y = (np.full((len(texts), int(size.max()) + 2 * most + 1), fill, np.uint32) for texts, size, fill in ((xs, n, 0xFFFFFFFE), (ys, m, 0xFFFFFFFF)))
-    for i, (a, b) in enumerate(zip(xs, ys)):
-        x[i, most : most + len(a)] = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
-        y[i, : len(b)] = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    bits = 2.0 ** np.arange(2 * most + 1)
+    wide = 32 if 2 * most < 32 else 64  # cells that are compared at once, of which the band's are used
+    code = [np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) for texts in (xs, ys)]
+    kind = np.uint16 if max(c.max(initial=0) for c in code) < 0xFFFF else np.uint32
+    x, y = np.full((len(xs), int(max(n.max(), m.max())) + most + wide), np.iinfo(kind).max, kind), np.zeros((len(ys), int(m.max())), kind)
+    for table, chars, size, at in ((x, code[0], n, most), (y, code[1], m, 0)):
+        table.reshape(-1)[V.ragged(np.arange(len(size)) * table.shape[1] + at, size)] = chars
     who = np.arange(len(xs))
     plus, minus = np.full(len(xs), int(mask) ^ ((1 << most) - 1), _U), np.zeros(len(xs), _U)
     score = np.minimum(most, n)
     shortest, first_end = int(n.min()), int(m.min())
     good = []
     for column in range(int(m.max())):
-        window = x[:, column : column + 2 * most + 1]
-        if window.shape[1] < len(bits):
-            window = np.pad(window, ((0, 0), (0, len(bits) - window.shape[1])), constant_values=0xFFFFFFFE)
-        equal = ((window == y[:, column, None]) @ bits).astype(_U)
+        equal = np.packbits(x[:, column : column + wide] == y[:, column, None], axis=1, bitorder="little").view(f"<u{wide // 8}").ravel().astype(_U)
         diagonal = ((((equal & plus) + plus) ^ plus) | equal | minus) & mask
         rise, fall = minus | ~(diagonal | plus) & mask, diagonal & plus
         step = 1 - (diagonal >> top & _U(1)).astype(np.int64)
@@ -442,7 +450,7 @@ def _near(members: DataFrame, sketches: DataFrame, sharing: DataFrame, edits: in
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(near_lines(x.tolist(), y.tolist(), edits, per, tally=False), dtype=bool)
+        return pd.Series(near_lines(x.tolist(), y.tolist(), edits, per), dtype=bool)
 
     def side(node: str, size: str, tally: str) -> DataFrame:
         return sketches.select(F.col("node").alias(node), F.col("size").alias(size), F.col("tally").alias(tally))

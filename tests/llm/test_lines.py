@@ -141,3 +141,30 @@ def test_a_worker_forgets_what_other_steps_kept(spark):
     grams.gram_store(3, 4, 10)
     common.drop_stores()
     assert grams.gram_store.cache_info().currsize == 0
+
+
+def test_tallies_of_halves_leave_out_pairs_before_their_edits_are_counted(monkeypatch):
+    import random
+
+    from chronofold.llm import lines
+
+    r = random.Random(4)
+    for _ in range(3000):  # never more than twice the edits
+        x = "".join(r.choice("abcé") for _ in range(r.randint(0, 14)))
+        y = list(x)
+        for _ in range(r.randint(0, 5)):
+            at = r.randint(0, len(y))
+            y[at : at + r.randint(0, 1)] = r.choice(["", "a", "b", "一"])
+        y = "".join(y)
+        assert lines._unlike([x], [y])[0] <= 2 * lines.edit_distance(x, y, 50)
+    seen = []
+    whole = lines._banded
+    monkeypatch.setattr(lines, "_banded", lambda xs, *rest: seen.extend(xs) or whole(xs, *rest))
+    words = ["a" * 30 + "b" * 30, "b" * 30 + "a" * 30]  # of the same characters, which was all that was looked at before
+    near = "a" * 30 + "c" + "b" * 29
+    found = lines.near_lines([words[0]] * 20 + [words[0]] * 20, [words[1]] * 20 + [near] * 20, 8, 20)
+    assert found.tolist() == [False] * 20 + [True] * 20 and len(seen) == 20
+    wide = [("".join(r.choice("ab\U0001f600￿") for _ in range(90))) for _ in range(40)]  # characters of more than 16 bits, and the fill of 16
+    changed = [x[:20] + "￿" + x[20:50] + x[52:] for x in wide]
+    for xs, ys in ((wide, changed), (changed, wide)):
+        assert lines.near_lines(xs, ys, 8, 20).tolist() == [lines.edit_distance(x, y, 4) <= 4 for x, y in zip(xs, ys)]
