@@ -16,6 +16,7 @@ with each other in blocks. Both times lengths and tallies of characters (64 byte
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -38,8 +39,12 @@ BLOCK_BYTES = 16 << 20
 MOST_IDS = 1_000_000
 #: Edits that two lines may be apart: one for each PER characters of the shorter one, at most EDITS.
 EDITS, PER = 8, 20
-#: Bits of the map of shared keys that executors get (8 MB); with more keys it lets more pass, and a join decides.
+#: Bits of the map of lines in shared buckets that executors get (8 MB); with more lines it lets more pass, which joins leave out.
 MAP_BITS = 26
+#: Lines of a bucket that one row holds.
+PART = 4096
+#: Lines that a task remembers to have handed on.
+MOST_SEEN = 1 << 17
 #: Bits of a bucket's key, of which those over 32 are its slice (half a million keys of 30 GB). Buckets that agree in them are one, which costs comparisons but no link.
 KEY_BITS = 44
 #: Keys that a task holds before it hands them on.
@@ -193,11 +198,11 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys.view(_U) >> _U(64 - MAP_BITS)).astype(np.int64)
 
 
-def _map_of(shared: DataFrame) -> np.ndarray:
-    """Which of 2^MAP_BITS slots a key falls in, as bits; at most 2^(MAP_BITS - 6) words come to the driver."""
-    word = F.shiftrightunsigned("bucket", 64 - MAP_BITS + 6)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(bucket, {64 - MAP_BITS}) & 63 as int))")
-    found = shared.select(word.cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _map_of(nodes: DataFrame) -> np.ndarray:
+    """Which of 2^MAP_BITS slots a node falls in, as bits; at most 2^(MAP_BITS - 6) words come to the driver."""
+    word = F.shiftrightunsigned("node", 64 - MAP_BITS + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - MAP_BITS}) & 63 as int))")
+    found = nodes.select(word.cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << MAP_BITS - 6, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
@@ -242,9 +247,12 @@ def _entries(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, schema)
 
 
-def _shared(entries: DataFrame, sums: bool = False) -> DataFrame:
-    """bucket, low (least node) of all buckets that several lines are in; with sums also one and two, which are equal for buckets of the same lines."""
-    schema = "bucket long, low long" + ", one long, two long" * sums
+def _shared(entries: DataFrame, members: bool = False) -> DataFrame:
+    """bucket, low (least node) of all buckets that several lines are in.
+
+    With members also one and two, which are equal for buckets of the same lines, size, and their nodes in order, PART in a row, and the row's number.
+    """
+    schema = "bucket long, low long" + ", one long, two long, size long, part long, nodes array<long>" * members
     kinds = spark_schema(entries.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,71 +285,78 @@ def _shared(entries: DataFrame, sums: bool = False) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         low, high = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
         some = low < high
-        columns = [(key[start[some]] << _U(64 - KEY_BITS)).view(np.int64), low[some]]
-        if sums:
-            member = np.repeat(some, np.diff(np.append(start, len(key))))
-            key, node = key[member], node[member]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a line may come from several tasks
-            key, node = key[new], node[new]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-            columns += [np.add.reduceat(V.mix(node.view(_U) ^ _U(salt)), start).view(np.int64) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-        return pa.RecordBatch.from_arrays([as_arrow(c, pa.int64()) for c in columns], schema=kinds)
+        bucket, low = (key[start[some]] << _U(64 - KEY_BITS)).view(np.int64), low[some]
+        if not members:
+            return pa.RecordBatch.from_arrays([as_arrow(c, pa.int64()) for c in (bucket, low)], schema=kinds)
+        member = np.repeat(some, np.diff(np.append(start, len(key))))
+        key, node = key[member], node[member]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a line may come from several tasks
+        key, node = key[new], node[new]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        size = np.diff(np.append(start, len(key)))
+        sums = [np.add.reduceat(V.mix(node.view(_U) ^ _U(salt)), start).view(np.int64) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        rows = -(-size // PART)
+        part = V.ragged(np.zeros(len(rows), np.int64), rows)
+        edge = np.append(np.repeat(start, rows) + part * PART, len(node)).astype(np.int32)
+        columns = [as_arrow(c, pa.int64()) for c in (*(np.repeat(c, rows) for c in (bucket, low, *sums, size)), part)]
+        return pa.RecordBatch.from_arrays([*columns, as_arrow(pa.ListArray.from_arrays(pa.array(edge), pa.array(node)), kinds.field("nodes").type)], schema=kinds)
 
     return entries.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
 
 
 def _sets(entries: DataFrame) -> DataFrame:
-    """bucket, low as _shared, of the least of the buckets that the same lines are in: near lines mostly share several keys, of which one does.
+    """bucket, low, size, part, nodes as _shared, of the least of the buckets that the same lines are in: near lines mostly share several keys, of which one does.
 
-    Sets are told apart by two sums of 64-bit hashes of their members, and the least of these.
+    Sets are told apart by two sums of 64-bit hashes of their members, and the least of these. Rows of the same number have the same nodes.
     """
-    return _shared(entries, True).groupBy("low", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "low")
+    same = _shared(entries, True).groupBy("low", "one", "two", "size", "part")
+    return same.agg(F.min("bucket").alias("bucket"), F.first("nodes").alias("nodes")).select("bucket", "low", "size", "part", "nodes")
 
 
 def _sharing(rows: DataFrame, edits: int, per: int | None, slots) -> DataFrame:
-    """node, line, buckets (keys that other lines may have) of every line that has such keys."""
+    """node, line_id, line, size, bytes, tally of the lines that the map of nodes has, at least once for each task."""
 
     def make():
+        seen: set[bytes] = set()
+
         def each(batch: pa.RecordBatch):
             wanted = slots.value
-            for name, who, key, lines in line_entries(batch.column("text"), edits, per):
-                slot = _slot(key)
-                some = (wanted[slot >> 6] >> (slot & 63).astype(_U) & _U(1)).astype(bool)
-                who, key = who[some], key[some]
-                order = np.argsort(who, kind="stable")
-                who, key = who[order], key[order]
-                first = np.flatnonzero(np.diff(who, prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), pa.array(key))
-                held = [lines[i] for i in who[first].tolist()]
+            for name, _, _, lines in line_entries(batch.column("text"), edits, per, keys=False):
+                slot = _slot(name)
+                some = np.flatnonzero(wanted[slot >> 6] >> (slot & 63).astype(_U) & _U(1))
+                data = [lines[i].encode() for i in some.tolist()]
+                ids = [hashlib.md5(x, usedforsecurity=False).digest() for x in data]
+                new = [k for k, x in enumerate(ids) if x not in seen]
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                seen.update(ids)
+                some, data, ids = some[new], [data[k] for k in new], [ids[k] for k in new]
+                held = [lines[i] for i in some.tolist()]
                 counts = np.minimum(tallies(held), 255).astype(np.uint8)  # what is cut off only makes lines look more alike
-                yield {"node": name[who[first]], "line": held, "tally": [c.tobytes() for c in counts], "buckets": lists}
+                sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (held, data)]
+                yield {"node": name[some], "line_id": ids, "line": held, "size": sizes[0], "bytes": sizes[1], "tally": [c.tobytes() for c in counts]}
 
         return each
 
-    return map_arrow(rows.select("text"), make, "node long, line string, tally binary, buckets array<long>")
+    return map_arrow(rows.select("text"), make, "node long, line_id binary, line string, size long, bytes long, tally binary")
 
 
 def _members(rows: DataFrame, edits: int, per: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bucket, node, low of all buckets that several lines are in, one for each set of lines, low being the least of them; node, line_id, size, bytes, tally of these lines; a table that _fetched reads).
+    """(bucket, node, low, size of all buckets that several lines are in, one for each set of lines, low being the least of them; node, line_id, size, bytes, tally of these lines; a table that _fetched reads).
 
-    A member may come twice. Two lines of one hash are two rows of one node, and its pairs are verified for both.
+    Two lines of one hash are two rows of one node, and its pairs are verified for both. The last two may have lines that no bucket has.
     """
     spark = rows.sparkSession
-    shared = written(_sets(_entries(rows, edits, per)), "shared")
+    sets = written(_sets(_entries(rows, edits, per)), "members")
     release(spark)
-    slots = spark.sparkContext.broadcast(_map_of(shared))  # 8 MB
-    line = F.col("line")
-    found = _sharing(rows, edits, per, slots).select("*", F.unhex(F.md5(line.cast("binary"))).alias("line_id"), F.length(line).alias("size"), F.octet_length(line).alias("bytes"))
-    sharing = written(found, "sharing", "zstd")
-    members = written(sharing.select("node", F.explode("buckets").alias("bucket")).join(shared, "bucket"), "members")
-    ids = written(members.select("node").distinct(), "ids")
-    few = ids.count() <= MOST_IDS
-    sketches = sharing.select("node", "line_id", "size", "bytes", "tally").join(F.broadcast(ids) if few else ids, "node", "left_semi")
-    sketches = written(sketches.dropDuplicates(["node", "line_id"]), "sketches")
-    forget(shared, ids)
+    members = sets.select("bucket", F.explode("nodes").alias("node"), "low", "size")
+    members.chronofold_path = sets.chronofold_path
+    slots = spark.sparkContext.broadcast(_map_of(members))  # 8 MB
+    sharing = written(_sharing(rows, edits, per, slots), "sharing", "zstd")
+    sketches = written(sharing.select("node", "line_id", "size", "bytes", "tally").dropDuplicates(["node", "line_id"]), "sketches")
     release(spark)
     return members, sketches, sharing
 
@@ -466,10 +481,9 @@ def _near(members: DataFrame, sketches: DataFrame, sharing: DataFrame, edits: in
     return near_ones
 
 
-def _spread(mixed: DataFrame, chunks) -> DataFrame:
-    """bucket, node, component, chunk, i, j: members of a bucket dealt into `chunks` (an aggregate over its rows), and each where chunks i and j are compared."""
-    size = mixed.groupBy("bucket").agg(chunks.cast("int").alias("chunks"))
-    dealt = mixed.join(size, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _spread(mixed: DataFrame) -> DataFrame:
+    """bucket, node, component, chunk, i, j: members of a bucket dealt into `chunks` (a column), and each where chunks i and j are compared."""
+    dealt = mixed.withColumn("chunks", F.col("chunks").cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     return spread.select("bucket", "node", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
@@ -495,28 +509,28 @@ def _in_groups(spread: DataFrame, others: DataFrame, tasks: int, compare, schema
 
 
 def _alike(mixed: DataFrame, sketches: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """The rows of mixed (bucket, node, component) that lengths and tallies leave near a row of their bucket that is of another class.
+    """The rows of mixed (bucket, node, component, and how many the bucket has) that lengths and tallies leave near a row of their bucket that is of another class, and the bytes of their lines.
 
     Two lines that may be near have a row in each bucket that both are in, so _inside finds the links among these rows that it finds among all.
     """
     rows = mixed.count()
-    found = _in_groups(_spread(mixed, F.ceil(F.count("*") / BLOCK)), sketches.select("node", "size", "tally"), -(-rows // 8000), lambda rows, edge: _paired(rows, edge, edits, per), "bucket long, node long, component long")
+    found = _in_groups(_spread(mixed.withColumn("chunks", F.ceil(F.col("members") / BLOCK))), sketches.select("node", "size", "bytes", "tally"), -(-rows // 8000), lambda rows, edge: _paired(rows, edge, edits, per), "bucket long, node long, component long, bytes long")
     return found.distinct()
 
 
-def _inside(mixed: DataFrame, sketches: DataFrame, sharing: DataFrame, edits: int, per: int | None) -> DataFrame:
-    """Links between classes inside buckets that have several. mixed: bucket, node, component.
+def _inside(mixed: DataFrame, sharing: DataFrame, edits: int, per: int | None) -> DataFrame:
+    """Links between classes inside buckets that have several. mixed: bucket, node, component, bytes.
 
     A bucket's members are dealt into chunks of bounded number and bytes, and a task compares two chunks. A pair is compared in the least of the
     buckets that it shares.
     """
     lines = _fetched(sharing, mixed.select("node"))
     buckets = mixed.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # as many as a line has keys
-    lengths = mixed.join(sketches.groupBy("node").agg(F.max("bytes").alias("bytes")), "node")
-    spread = _spread(lengths, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))))
+    chunks = mixed.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).alias("chunks"))
+    spread = written(_spread(mixed.join(chunks.hint("shuffle_hash"), "bucket")), "spread")
     found = _in_groups(spread, lines.join(buckets, "node"), -(-spread.count() // 8000), lambda rows, edge: _compared(rows, edge, edits, per), "a long, b long")
     out = written(found.distinct(), "inside")
-    forget(lines)
+    forget(lines, spread)
     return out
 
 
@@ -561,7 +575,7 @@ def _paired(rows: pd.DataFrame, edge: np.ndarray, edits: int, per: int | None) -
         new = ~(seen[p] & seen[q])
         p, q = leave(p[new], q[new])
         seen[p] = seen[q] = True
-    return rows.loc[seen, ["bucket", "node", "component"]]
+    return rows.loc[seen, ["bucket", "node", "component", "bytes"]]
 
 
 def _compared(rows: pd.DataFrame, edge: np.ndarray, edits: int, per: int | None) -> pd.DataFrame:
@@ -613,32 +627,39 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _classes(rows: DataFrame, edits: int, per: int | None) -> DataFrame:
-    each = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(INK))
-    lines = written(each.select("rid", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("id")), "lines")
-    distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("first"), F.count("*").alias("copies"))
+    line = F.col("line")
+    each = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where((line >= "!") & (line < "\x80") | line.rlike(INK))  # most begin with ink of ASCII
+    lines = written(each.select("rid", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.unhex(F.md5(line.cast("binary"))).alias("id")), "lines")
     members, sketches, sharing = _members(rows, edits, per)
     links = _near(members, sketches, sharing, edits, per)
     found = written(components(links), "components")
-    large = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("bucket")
-    mixed = written(large.join(apart, "bucket").distinct(), "apart")
+    # A bucket of two is decided, since one of them is its centre.
+    large = members.where("size > 2").select("bucket", "node", F.col("size").alias("members")).join(found.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    mixed = written(large.join(apart.hint("shuffle_hash"), "bucket"), "apart")
     forget(members, links)
     release(rows.sparkSession)
     alike = written(_alike(mixed, sketches, edits, per), "alike")
     forget(mixed)
     release(rows.sparkSession)
-    more = _inside(alike, sketches, sharing, edits, per)
+    more = _inside(alike, sharing, edits, per)
     if not more.isEmpty():
         found = written(extended(found, more), "components")
-    named = written(sketches.select("node", F.col("line_id").alias("id")).join(found, "node").select("id", F.col("component").cast("string").cast("binary").alias("class")), "named")
+    named = sketches.select("node", F.col("line_id").alias("id")).join(found, "node").select("id", F.col("component").cast("string").cast("binary").alias("class"))
+    # Of a line that comes once these are its own numbers.
+    totals = lines.groupBy("id").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
+    totals = written(totals.join(named.hint("shuffle_hash"), "id", "left"), "totals")
     forget(sketches, sharing, alike, more, found)  # the result reads the other tables
     release(rows.sparkSession)
-    labelled = distinct.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    first = labelled.groupBy("class").agg(F.min(F.struct("first", "id")).alias("least"))
-    whole = labelled.select("id", "copies", "class").join(first, "class")
-    out = lines.join(whole.select("id", "copies", "least"), "id")
-    kept = F.col("rid").eqNullSafe(F.col("least.first.rid")) & (F.col("line_no") == F.col("least.first.line_no"))
-    return out.select("rid", "doc_id", "line_no", F.lower(F.hex("id")).alias("line_id"), F.lower(F.hex("least.id")).alias("class_id"), "copies", kept.alias("kept"))
+    alone = (F.col("copies") == 1) & F.col("class").isNull()
+    columns = "rid", "doc_id", "line_no", "id", "class_id", "copies", "kept"
+    single = totals.where(alone).withColumns({"class_id": F.col("id"), "kept": F.lit(True)}).select(*columns)
+    several = totals.where(~alone).select("id", "copies", F.coalesce("class", "id").alias("class"))
+    first = lines.join(several.select("id", "class").hint("shuffle_hash"), "id").groupBy("class").agg(F.min(F.struct("doc_id", "rid", "line_no", "id")).alias("least"))
+    kept = F.col("rid").eqNullSafe(F.col("least.rid")) & (F.col("line_no") == F.col("least.line_no"))
+    others = lines.join(several.join(first, "class").select("id", "copies", "least").hint("shuffle_hash"), "id").withColumns({"class_id": F.col("least.id"), "kept": kept}).select(*columns)
+    out = single.unionByName(others)
+    return out.select("rid", "doc_id", "line_no", F.lower(F.hex("id")).alias("line_id"), F.lower(F.hex("class_id")).alias("class_id"), "copies", "kept")
 
 
 def clean(docs: DataFrame, edits: int = EDITS, per: int | None = PER) -> DataFrame:

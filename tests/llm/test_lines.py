@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from hashlib import md5
 
 import pytest
 
@@ -168,3 +169,55 @@ def test_tallies_of_halves_leave_out_pairs_before_their_edits_are_counted(monkey
     changed = [x[:20] + "￿" + x[20:50] + x[52:] for x in wide]
     for xs, ys in ((wide, changed), (changed, wide)):
         assert lines.near_lines(xs, ys, 8, 20).tolist() == [lines.edit_distance(x, y, 4) <= 4 for x, y in zip(xs, ys)]
+
+
+@pytest.mark.parametrize("part", [4096, 2])
+def test_members_come_once_with_the_keys_that_found_them(spark, monkeypatch, part):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lines, "PART", part, raising=False)
+    texts = ["\n".join(f"the line number {j} has many words, of which {j * i % 4} is the last" for j in range(12)) for i in range(6)] * 3 + [None, "", "alone, and like none of the others"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    seen: dict[int, set[int]] = {}
+    for name, who, key, _ in lines.line_entries(pa.array(texts)):
+        for b, n in zip(key.tolist(), name[who].tolist()):
+            seen.setdefault(b, set()).add(n)
+    members, sketches, sharing = lines._members(rows, lines.EDITS, lines.PER)
+    found = members.collect()
+    assert len({(x["bucket"], x["node"]) for x in found}) == len(found)  # lines that are in several tasks were there as often
+    got: dict[int, set[int]] = {}
+    for x in found:
+        got.setdefault(x["bucket"], set()).add(x["node"])
+        assert x["size"] == len(seen[x["bucket"]])
+    assert got and all(seen[b] == n for b, n in got.items())
+    assert "buckets" not in sharing.columns  # keys are made in the first pass only
+    held = {x["node"] for x in found}
+    assert {x["node"] for x in sketches.collect()} >= held
+    assert all(len(x["line"]) == x["size"] and len(x["line"].encode()) == x["bytes"] and x["line_id"] == md5(x["line"].encode()).digest() for x in sharing.collect())
+
+
+def test_lines_without_copies_or_near_ones_are_not_joined_again(spark, monkeypatch):
+    near_ones = ["a line of some forty characters, number 1", "a line of some forty characters, number 2"]
+    texts = [(5, "one\n\ntwo\none"), (None, "two\nthree \n \x01\xa0\t\n\xa0 four"), (None, near_ones[1]), (3, near_ones[0] + "\none"), (3, near_ones[1] + "\n\x7f\né five"), (1, None), (0, "")]
+    totals, real = [], lines.written
+
+    def noted(df, name, *more):
+        out = real(df, name, *more)
+        totals.extend(out.collect() if name == "totals" else [])
+        return out
+
+    monkeypatch.setattr(lines, "written", noted)
+    found = lines.line_classes(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    each = [(doc, at, n, x) for at, (doc, text) in enumerate(texts) for n, x in enumerate((text or "").split("\n")) if x.strip("".join(map(chr, range(33))) + "\xa0")]
+    name = {x: md5(x.encode()).hexdigest() for *_, x in each}
+    first = {}
+    for doc, at, n, x in sorted(each, key=lambda v: (v[0] is not None, v[0] or 0, v[1], v[2])):
+        first.setdefault(near_ones[0] if x in near_ones else x, (at, n, x))
+    copies = Counter(x for *_, x in each)
+    want = []
+    for doc, at, n, x in each:
+        to = first[near_ones[0] if x in near_ones else x]
+        want.append((str(doc), n, name[x], name[to[2]], copies[x], to[:2] == (at, n)))
+    assert sorted((str(x["doc_id"]), x["line_no"], x["line_id"], x["class_id"], x["copies"], x["kept"]) for x in found) == sorted(want)
+    alone = {x["id"].hex() for x in totals if x["copies"] == 1 and x["class"] is None}
+    assert alone == {name[x] for x in name if copies[x] == 1 and x not in near_ones} and len(alone) == 4
