@@ -170,6 +170,12 @@ def spark_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of rows that the driver has, as Arrow: rows of Python objects would be read by Python workers of a second kind, which stay beside the others."""
+    kinds = spark_schema(spark, ddl)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds))
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator works on, as doc_id long and text string; other columns, whatever their names, are left.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from chronofold.llm import textvec as V
 from chronofold.llm.common import stored
 
+#: Bytes of text that are worked on at once: less than elsewhere, since a word's arrays stand beside the store and the tokenizer.
+PART = V.CHUNK // 4
 #: Slots (2 to this) in which a word is looked up before it is searched for.
 LAST_BITS = 21
 #: Marks at the end of a word that are taken off; with more of them it stays whole.
@@ -49,6 +52,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
+        # A worker has one core; the library's threads, one for each core of the machine, would keep some 36 MB of memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -176,7 +181,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For groups of words in order: (index of the text, number of ids) of each word, all ids one after the other."""
-        for data, at, rows in V.parts(texts):
+        for data, at, rows in V.parts(texts, PART):
             start, end = V.spans(data, V.WHITE)
             if not len(start):
                 continue

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import documents, map_arrow, written
+from chronofold.llm.common import documents, local_table, map_arrow, written
 from chronofold.llm.encode import crc, encoder, word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
@@ -96,8 +96,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         bins += totals[length] // k
     open_ = {length: totals[length] - full for length, _, _, full in first}
     places = [(length, full + i, bins + at, place) for (length, _, _, full) in first for (x, i, at, place) in leftovers(open_, capacity) if x == length]
-    starts = spark.createDataFrame(first, "length long, k long, first long, full long")
-    extra = spark.createDataFrame(places, "length long, number long, at long, place long")
+    starts = local_table(spark, first, "length long, k long, first long, full long")
+    extra = local_table(spark, places, "length long, number long, at long, place long")
     return (
         numbered.join(F.broadcast(starts), "length")
         .join(F.broadcast(extra), ["length", "number"], "left")

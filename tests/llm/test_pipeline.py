@@ -170,3 +170,14 @@ def test_columns_of_other_operators_stay(spark, made):
     for name in list(STAGES)[1:4]:
         row = STAGES[name](spark, docs, path).first().asDict()
         assert (row["chronofold_rid"], row["rid"], row["node"], row["bucket"], row["class_id"]) == ("a", 1, 2, "b", "c"), name
+
+
+def test_tables_of_the_driver_need_no_python_workers(spark, made):
+    from chronofold.llm.common import local_table
+
+    path, _ = made
+    plan = STAGES["packing"](spark, spark.read.parquet(f"{path}/documents.parquet"), path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" in plan  # rows of Python objects were an RDD of Python workers
+    assert [tuple(r) for r in local_table(spark, [(1, "a"), (2, None)], "x long, y string").collect()] == [(1, "a"), (2, None)]
+    empty = local_table(spark, [], "x long, y string")
+    assert empty.count() == 0 and empty.columns == ["x", "y"]

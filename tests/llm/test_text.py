@@ -225,3 +225,45 @@ def test_pairs_are_counted_at_all_places_only_when_the_level_falls(monkeypatch):
         assert not ((count >= 8) & (pairs >> 32 != 1) & (pairs & 0xFFFFFFFF != 1)).any()
         everywhere = [level for all_places, level in calls if all_places]
         assert len(everywhere) == len(set(everywhere))  # once for each level; the last was counted again and again before
+
+
+def test_texts_are_encoded_in_small_parts(tokenizer, monkeypatch):
+    import tracemalloc
+
+    from chronofold.llm import encode
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefé.,") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 30, 5000, 300_000)] + [None]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    e = Encoder(word_tokenizer())
+    assert [ids.tolist() for _, ids in e.documents(pa.array(texts), 1)] == want
+    tracemalloc.start()
+    for _ in e.encode(pa.array(texts)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 18 << 20  # with words known already; it took 36 MB before
+    monkeypatch.setattr(encode, "PART", 150)
+    assert [ids.tolist() for _, ids in Encoder(word_tokenizer()).documents(pa.array(texts[:4]), 1)] == want[:4]
+
+
+def test_an_encoder_starts_no_threads():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import os
+import pyarrow as pa
+from chronofold.llm.encode import Encoder, word_tokenizer
+e = Encoder(word_tokenizer())
+before = len(os.listdir("/proc/self/task"))
+for _ in e.documents(pa.array([" ".join(f"w{chr(97 + i % 26)}{i:x}{'é' * (i % 2)} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(5000))]), 1):
+    pass
+print(before, len(os.listdir("/proc/self/task")))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    found = subprocess.run([sys.executable, "-c", code], env=env | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True)
+    before, after = found.stdout.split()[-2:]
+    assert before == after  # there was one more for each core
